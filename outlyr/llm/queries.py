@@ -1,10 +1,18 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from outlyr.llm import quality_rules
+from outlyr.llm import bpe, chat, media, mixing, quality_rules, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.query,
+    "op4_media": media.query,
+    "op6_bpe": bpe.query,
+    "op7_chat": chat.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_mixing": mixing.query,
 }
 ORACLES = {
+    "op2_url_filter": url_filter.ORACLE,
+    "op7_chat": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
