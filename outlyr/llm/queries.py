@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from outlyr.llm import bpe, chat, media, mixing, quality_rules, url_filter
+from outlyr.llm import bpe, chat, media, mixing, ngram_join, quality_rules, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op2_url_filter": url_filter.query,
     "op4_media": media.query,
     "op6_bpe": bpe.query,
