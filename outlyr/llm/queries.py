@@ -1,11 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from outlyr.llm import bpe, chat, media, mixing, ngram_join, quality_rules, url_filter
+from outlyr.llm import bpe, chat, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_url_filter": url_filter.query,
+    "op3_language_id": language_id.query,
     "op4_media": media.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op6_bpe": bpe.query,
     "op7_chat": chat.query,
     "op9_quality_rules": quality_rules.query,
