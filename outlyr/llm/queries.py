@@ -1,6 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from outlyr.llm import bpe, chat, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, url_filter
+import corpus_pipeline
+from outlyr.llm import bpe, chat, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -10,8 +11,10 @@ QUERIES = {
     "op5_quality_classifier": quality_classifier.query,
     "op6_bpe": bpe.query,
     "op7_chat": chat.query,
+    "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_mixing": mixing.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
