@@ -32,9 +32,11 @@ from outlyr.llm.shingles import blocks, shingle_sets
 FREQUENT_ABOVE, FREQUENT_MOST = 16, 1 << 18
 #: Bits of a shingle by which it is counted, and buckets in which counts are added up for each task that reads texts.
 COUNT_BITS, BUCKETS_A_TASK = 40, 4
+#: Bits of the filter that spares texts outside all pairs.
+FILTER_BITS = 1 << 26
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, key: int | str = 0) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
     """Each batch with the rows and the sets of a bounded stretch of its texts."""
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -190,6 +192,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     _freed(spark)
     items = known.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("id").alias("id"))
     items = cut(items)
+    _freed(spark)
     groups = items.groupBy("g").agg(F.min("fp").alias("head"))
 
     entries = known.filter("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -203,6 +206,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     first = first.join(groups.withColumnRenamed("head", "a"), "g").join(groups.select(F.col("g").alias("lead"), F.col("head").alias("b")), "lead").select("a", "b")
     inside = items.join(groups, "g").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     first = cut(first.unionByName(inside).distinct())
+    _freed(spark)
     links = _links(texts, items, first, size, percent)
     labels = components(links)
 
@@ -222,6 +226,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     second = across.join(one, ["g1", "l1"]).join(two, ["g2", "l2"]).select("a", "b").distinct()
     tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     second = cut(second.join(tried, ["a", "b"], "left_anti"))
+    _freed(spark)
     more = _links(texts, items, second, size, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
@@ -231,21 +236,38 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     return known.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those set to which a hash h of some row falls: its size is fixed, its misses cost only time."""
+    at = (F.pmod("h", F.lit(FILTER_BITS)) + 1).alias("at")
+    rows = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        bits[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits.ravel()
+
+
 def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that hold, tested on the whole sets of the texts that are in a pair; those texts alone are read into sets."""
+    """The pairs that hold, tested on the whole sets of the texts that are in a pair.
+
+    Texts are scanned once; a fixed-size filter over the wanted ids spares the others, and the joins drop what passes it
+    by chance. Rows that repeat give a link twice, which distinct() mends.
+    """
+    spark = texts.sparkSession
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ids = items.join(ends, "fp", "left_semi").select(F.col("id").alias("_id")).distinct()
-    chosen = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    wanted = spark.sparkContext.broadcast(_marked(items.join(ends, "fp", "left_semi").select(F.xxhash64("id").alias("h"))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
+        bits = wanted.value
+        for batch in batches:
+            at = batch.column("h").to_numpy(zero_copy_only=False) % FILTER_BITS
+            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, _, sets in _sets([chosen], size):
+                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
-    sets = chosen.mapInArrow(whole, "fp binary, set array<long>")
-    # Ids may repeat; of sets alike one is kept, and others are not in a pair.
-    sets = written(sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set")), "sets")
-    _freed(texts.sparkSession)
-    return cut(verified(pairs, sets, percent))
+    sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "fp binary, set array<long>")
+    links = cut(verified(pairs, written(sets, "sets"), percent).distinct())
+    _freed(spark)
+    return links
 
 
 def query(spark, sf_dir: str) -> DataFrame:
