@@ -137,7 +137,7 @@ class State:
                 self.net = Network([len(k) + 1 for k in self.ids], len(self.numbers), self.o)
             i, v = self._matrix()
             self.net.train(i, v)
-            self.baseline = sorted(self.net.errors(i, v).mean(1).tolist())
+            self.baseline = sorted(self.net.errors(i, v).mean(1).round(12).tolist())  # the last digits depend on the batch
         return None
 
     def score(self, row) -> tuple[float | None, str | None, list[tuple[str, float]]]:
@@ -148,7 +148,7 @@ class State:
         if error:
             return None, error, []
         each = self.net.errors(np.array([ids], np.int64).reshape(1, -1), np.array([x]).reshape(1, -1))[0]
-        score = scaled(100 * bisect_left(self.baseline, float(each.mean())) / len(self.baseline))
+        score = scaled(100 * bisect_left(self.baseline, round(float(each.mean()), 12)) / len(self.baseline))
         parts, at = [], 0
         for name, width in [*zip(self.categories, self.net.widths, strict=True), *[(n, 2) for n in self.numbers]]:
             parts.append((name, float(each[at : at + width].sum())))

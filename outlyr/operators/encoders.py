@@ -131,10 +131,10 @@ def blocks(df: DataFrame, v: str, keys: list[str], order: list[str], block: Colu
 
     block is a value that never falls along the order, such as a day. Sums of each block are added up in the order of
     the blocks, and rows inside their block; the rows of a key meet in as many tasks as it has blocks. Squares are taken
-    about the key's mean, so that close values far from 0 keep their digits.
+    about the key's median, so that close values keep their digits, far from 0 or beside an extreme one.
     """
     null_safe = lambda a, b, names: [a[k].eqNullSafe(b[k]) for k in names]
-    centre = df.groupBy(*keys).agg(F.avg(v).alias("_centre"))
+    centre = df.groupBy(*keys).agg(F.percentile_approx(v, 0.5).alias("_centre"))
     rows = df.join(centre, null_safe(df, centre, keys), "left").select(df["*"], "_centre") if keys else df.crossJoin(F.broadcast(centre))
     x = F.col(v) - F.col("_centre")
     rows = rows.withColumns({"_block": block, "_x": x, "_xx": x * x})

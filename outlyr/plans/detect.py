@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyr.functions import labels
-from outlyr.operators import composite, encoders, trees
+from outlyr.operators import composite, encoders, trees, windows
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,6 @@ def last_rows(rows: DataFrame, p: Plan) -> DataFrame:
 
     Spark keeps as many for each task before the shuffle, so a key that holds most rows costs no more than others.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*KEYS).orderBy(*[F.col(c).desc() for c in p.order])
     return rows.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= 2 * p.window)
 
@@ -55,33 +53,31 @@ def last_rows(rows: DataFrame, p: Plan) -> DataFrame:
 def fit(train: DataFrame, p: Plan) -> tuple[dict[str, DataFrame], DataFrame]:
     """The scalers' and the trees' states of each cohort key.
 
-    Training vectors take the running statistics of their moment; only the last 2 * window rows of a key need them, and
-    those come from the key's totals less what follows.
+    Training vectors take the running statistics of their moment. Only the last 2 * window rows of a key need them: sums
+    of what came before those rows, and running sums over them.
     """
     rows = _cohorts(train, p)
     states = {v: encoders.fitted(rows, v, KEYS) for v in p.scaled}
     total = rows.groupBy(*KEYS).agg(F.count("*").alias("_rows"))
     last = last_rows(rows, p)
-    from pyspark.sql import Window
-
+    since = last.groupBy(*KEYS).agg(F.min(F.struct(*p.order)).alias("_since"))
     for v in p.scaled:
-        # What came before the kept rows, as sums; then running sums over the kept rows.
-        head = rows.groupBy(*KEYS).agg(F.count(v).alias("_n"), F.avg(v).alias("_c"))
-        last = last.join(head, KEYS)
+        centre = rows.groupBy(*KEYS).agg(F.percentile_approx(v, 0.5).alias("_c"))
         x = F.col(v) - F.col("_c")
-        whole = rows.join(head, KEYS).groupBy(*KEYS).agg(F.sum(x).alias("_s"), F.sum(x * x).alias("_q"))
-        bounds = Window.partitionBy(*KEYS).orderBy("_back").rowsBetween(Window.unboundedPreceding, -1)
-        last = last.join(whole, KEYS)
-        after = {"_an": F.count(v).over(bounds), "_as": F.coalesce(F.sum(x).over(bounds), F.lit(0.0)), "_aq": F.coalesce(F.sum(x * x).over(bounds), F.lit(0.0))}
-        last = last.withColumns(after)
-        n = F.col("_n") - F.col("_an")
-        mean = F.try_divide(F.col("_s") - F.col("_as"), n)
-        std = F.sqrt(F.greatest(F.try_divide(F.col("_q") - F.col("_aq"), n) - mean * mean, F.lit(0.0)))
-        z = F.when((n < 2) | (std < 1e-9), F.lit(0.0)).otherwise(encoders.clipped((x - mean) / F.when(std >= 1e-9, std), -encoders.CLIP, encoders.CLIP))
-        last = last.withColumn(v, F.round(z, 6)).drop("_n", "_c", "_s", "_q", "_an", "_as", "_aq")
+        before = rows.join(since.join(centre, KEYS), KEYS).filter(F.struct(*p.order) < F.col("_since"))
+        before = before.groupBy(*KEYS).agg(F.count(v).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"), F.min(v).alias("_l"), F.max(v).alias("_h"))
+        upto = encoders.running(KEYS, list(p.order))
+        own = {"_on": F.count(v).over(upto), "_os": F.sum(x).over(upto), "_oq": F.sum(x * x).over(upto), "_ol": F.min(v).over(upto), "_oh": F.max(v).over(upto)}
+        last = last.join(centre, KEYS).join(before, KEYS, "left").withColumns(own)
+        both = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+        n = both("_n", "_on")
+        mean = F.try_divide(both("_s", "_os"), n)
+        std = F.sqrt(F.greatest(F.try_divide(both("_q", "_oq"), n) - mean * mean, F.lit(0.0)))
+        z = encoders.z_score(x, n, mean, std, F.least("_l", "_ol"), F.greatest("_h", "_oh"))
+        last = last.withColumn(v, F.round(z, 6)).drop("_c", "_n", "_s", "_q", "_l", "_h", *own)
     # Rows are numbered from the key's start, so that windows fall as if all rows were here.
     last = last.join(total, KEYS).withColumn("at", (F.col("_rows") - F.col("_back") + 1).cast("long")).select(*KEYS, "at", F.col("_rows").alias("trained"), _features(p))
-    active = last.withColumn("active", F.when(F.col("trained") >= p.window, windows_active(F.col("trained"), p)))
+    active = last.withColumn("active", windows.active_slice(F.col("trained"), p.window, p.slices))
     inside = F.floor((F.col("at") - 1 - F.col("active.slice") * (p.window // p.slices)) / p.window) == F.col("active.window")
     rows = active.filter(inside).select(*KEYS, "features", F.col("active.slice").alias("slice"), F.col("active.age").alias("age"))
     forests = p.forests()
@@ -90,12 +86,6 @@ def fit(train: DataFrame, p: Plan) -> tuple[dict[str, DataFrame], DataFrame]:
     return states, means.join(trees.masses(rows, KEYS, forests, "features", "slice"), KEYS)
 
 
-def windows_active(at: Column, p: Plan) -> Column:
-    from outlyr.operators import windows
-
-    return windows.active_slice(at, p.window, p.slices)
-
-
 def score(events: DataFrame, states: dict[str, DataFrame], model: DataFrame, p: Plan, explain: bool = False) -> DataFrame:
     """A row for each event and cohort: event, cohort, cohort_key, weight, score, label, reference_age (, explanation)."""
     rows = _cohorts(events, p)
