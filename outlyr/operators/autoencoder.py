@@ -157,15 +157,15 @@ class State:
         return score, None, sorted(((n, round(p / total * score, 4)) for n, p in parts), key=lambda p: -abs(p[1]))
 
 
-def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options()) -> DataFrame:
-    """keys, id_col, score, error, buffered, events_since_retrain, top_field of each row that does not learn.
+def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = ()) -> DataFrame:
+    """keys, id_col, keep, score, error, buffered, events_since_retrain, top_field of each row that does not learn.
 
     Rows where learns is true are learned in order, the others are scored with the state of their moment. events needs
     all named columns; numbers are encoded already.
     """
 
     def step(state: State, rows: pd.DataFrame) -> pd.DataFrame:
-        out, keep = [], []
+        out, shown = [], []
         for at, row in zip(rows.index, rows.itertuples(index=False), strict=True):
             if getattr(row, learns):
                 error = state.learn(row)
@@ -176,12 +176,12 @@ def scored(events: DataFrame, keys: list[str], order: list[str], categories: lis
                 score, error, parts = state.score(row)
                 since = (state.seen - options.warmup) % options.every if state.seen >= options.warmup else None
                 out.append((score, error, len(state.rows), since, parts[0][0] if parts else None))
-            keep.append(at)
-        found = pd.DataFrame(out, columns=["score", "error", "buffered", "events_since_retrain", "top_field"], index=keep)
+            shown.append(at)
+        found = pd.DataFrame(out, columns=["score", "error", "buffered", "events_since_retrain", "top_field"], index=shown)
         found["score"] = found["score"].astype("float64")
         found["events_since_retrain"] = found["events_since_retrain"].astype("Int64")
-        return pd.concat([rows.loc[keep, [*keys, id_col]], found], axis=1)
+        return pd.concat([rows.loc[shown, [*keys, id_col, *keep]], found], axis=1)
 
-    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (*keys, id_col))
-    used = events.select(*dict.fromkeys([*keys, *order, id_col, learns, *categories, *numbers]))
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
+    used = events.select(*dict.fromkeys([*keys, *order, id_col, *keep, learns, *categories, *numbers]))
     return by_key(used, keys, order, lambda: State(categories, numbers, options), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string")

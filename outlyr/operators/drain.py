@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from outlyr.operators.sequential import by_key
 
@@ -65,20 +66,25 @@ class Miner:
         return [t for t, own in zip(message.split(), template, strict=True) if own == WILD]
 
 
-def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, **params) -> DataFrame:
-    """keys, id_col, template_id, template, variables of each row, learned in order; NULLs for a blank text."""
+def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), **params) -> DataFrame:
+    """keys, id_col, keep, template_id, template, variables of each row, in order; NULLs for a blank text.
+
+    Rows where the condition learns is false are matched with the templates of their moment, or with none.
+    """
 
     def step(miner: Miner, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for message in rows[text]:
-            if not isinstance(message, str) or not message.strip():
+        for message, learn in zip(rows[text], rows["_learns"], strict=True):
+            found = miner.match(message) if isinstance(message, str) and message.strip() else None
+            if not isinstance(message, str) or not message.strip() or (found is None and not learn):
                 out.append((None, None, None))
                 continue
-            i = miner.learn(message)
+            i = miner.learn(message) if learn else found[0]
             out.append((i, " ".join(miner.clusters[i]), miner.variables(message, miner.clusters[i])))
         found = pd.DataFrame(out, columns=["template_id", "template", "variables"], index=rows.index)
         found["template_id"] = found["template_id"].astype("Int64")
-        return pd.concat([rows[[*keys, id_col]], found], axis=1)
+        return pd.concat([rows[[*keys, id_col, *keep]], found], axis=1)
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
+    df = df.withColumn("_learns", F.expr(learns))
     return by_key(df, keys, order, lambda: Miner(**params), step, f"{kinds}, template_id long, template string, variables array<string>")
