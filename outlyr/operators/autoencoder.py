@@ -158,8 +158,9 @@ class State:
 
 
 def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = ()) -> DataFrame:
-    """keys, id_col, keep, score, error, buffered, events_since_retrain, top_field of each row that does not learn.
+    """keys, id_col, keep, score, error, buffered, events_since_retrain, top_field, parts of each row that does not learn.
 
+    parts: each field's share of the score by its squared error, the largest first.
     Rows where learns is true are learned in order, the others are scored with the state of their moment. events needs
     all named columns; numbers are encoded already.
     """
@@ -171,17 +172,17 @@ def scored(events: DataFrame, keys: list[str], order: list[str], categories: lis
                 error = state.learn(row)
                 if error is None:
                     continue
-                out.append((None, error, len(state.rows), None, None))
+                out.append((None, error, len(state.rows), None, None, None))
             else:
                 score, error, parts = state.score(row)
                 since = (state.seen - options.warmup) % options.every if state.seen >= options.warmup else None
-                out.append((score, error, len(state.rows), since, parts[0][0] if parts else None))
+                out.append((score, error, len(state.rows), since, parts[0][0] if parts else None, [{"field": n, "delta": d} for n, d in parts] if parts else None))
             shown.append(at)
-        found = pd.DataFrame(out, columns=["score", "error", "buffered", "events_since_retrain", "top_field"], index=shown)
+        found = pd.DataFrame(out, columns=["score", "error", "buffered", "events_since_retrain", "top_field", "parts"], index=shown)
         found["score"] = found["score"].astype("float64")
         found["events_since_retrain"] = found["events_since_retrain"].astype("Int64")
         return pd.concat([rows.loc[shown, [*keys, id_col, *keep]], found], axis=1)
 
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
     used = events.select(*dict.fromkeys([*keys, *order, id_col, *keep, learns, *categories, *numbers]))
-    return by_key(used, keys, order, lambda: State(categories, numbers, options), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string")
+    return by_key(used, keys, order, lambda: State(categories, numbers, options), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string, parts array<struct<field:string,delta:double>>")

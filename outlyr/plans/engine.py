@@ -152,7 +152,12 @@ class Engine:
             rows = rows.withColumn("learns", (F.col("phase") == 0) & F.col("failed").isNull())
             out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"])
             shown = F.create_map(F.lit("buffer_size"), "buffered", F.lit("events_since_retrain"), F.coalesce("events_since_retrain", F.lit(0)))
-            return out.filter("phase = 1").select("seq", "key", F.col("score").alias("anomaly_score"), F.col("error").alias("failed"), shown.alias("properties"), F.lit(None).cast(empty).alias("explanation"))
+            told = F.lit(None).cast(empty)
+            if explain:
+                own = dict([(c, n) for n, c, _ in numbers] + [(f"n{k}", n) for k, n in enumerate(names)])
+                field = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in own.items() for v in kv]), x), x)
+                told = F.when(F.col("parts").isNotNull(), F.struct(F.lit(0.0).alias("baseline"), F.transform("parts", lambda x: F.struct(field(x["field"]).alias("field"), F.lit(None).cast("double").alias("value"), x["delta"].alias("delta"))).alias("features")).cast(empty))
+            return out.filter("phase = 1").select("seq", "key", F.col("score").alias("anomaly_score"), F.col("error").alias("failed"), shown.alias("properties"), told.alias("explanation"))
         if not numbers:
             return events.filter("phase = 1").select("seq", "key", *none)
         window, count, slices = cohort.params.get("window_size", 250), cohort.params.get("n_trees", 25), cohort.params.get("sliding_steps", 1)

@@ -95,7 +95,9 @@ def test_autoencoder_from_a_configuration(spark):
     raw = {"features": {"f": {"browser": "str_categorical", "os": "str_categorical", "message": "str_text"}}, "cohorts": [{"name": "all", "features_config": "f", "model": {"type": "Autoencoder", "params": {"warmup_count": 40, "retrain_every": 20, "epochs_per_retrain": 20, "lr": 0.01, "seed": 1}}}]}
     pairs = [("Chrome", "Linux"), ("Safari", "macOS"), ("Edge", "Windows")]
     ingest = [{"browser": pairs[i % 3][0], "os": pairs[i % 3][1], "message": f"login from {i}"} for i in range(240)]
-    out = run(spark, raw, ingest, [{"browser": "Chrome", "os": "Linux", "message": "login from 1"}, {"browser": "Chrome", "os": "macOS", "message": "login from 1"}])
+    out = run(spark, raw, ingest, [{"browser": "Chrome", "os": "Linux", "message": "login from 1"}, {"browser": "Chrome", "os": "macOS", "message": "login from 1"}], explain=True)
+    told = out[1].scores[0].explanation.features
+    assert {f.field for f in told} <= {"browser", "os", "message"} and abs(sum(f.delta for f in told) - out[1].scores[0].anomaly_score) < 0.01
     assert out[1].composite_score > out[0].composite_score and out[0].scores[0].properties == {"buffer_size": 240, "events_since_retrain": 0}
 
 
