@@ -9,16 +9,18 @@ columns are read, and repeated rows give a row each.
 """
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import table
+from outlyr.llm.common import slices, table
 
 #: Encoded pre-tokens that a task remembers.
 REMEMBERED = 200_000
@@ -100,36 +102,44 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """id_col, ids: each text's token ids in a binary column. vocabulary: the rank file, read by the driver."""
+def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, ids, decoded_sha256: each text's token ids in a binary column, and the digest of what they decode to.
+
+    vocabulary: the rank file, read by the driver. A task holds one batch of texts and the ids of a slice of it.
+    """
     tokens = read_ranks(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+    names = [f"_{k}" for k in range(len(keep))]
 
-    @F.pandas_udf("binary")
-    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(tokens, pattern)
-        for texts in batches:
-            yield texts.map(codec.encode)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value, pattern)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+                digests = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(ids, pa.binary()), pa.array(digests, pa.string())], [*names, "ids", "decoded_sha256"])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), to_ids(text).alias("ids"))
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, keep, strict=True)], F.col(f"`{text_col}`").alias("text"))
+    made = rows.mapInArrow(run, f"{kinds}, ids binary, decoded_sha256 string")
+    return made.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids", "decoded_sha256")
 
 
-def decoded(ids: DataFrame, vocabulary: str) -> DataFrame:
+def decoded(ids: DataFrame, vocabulary: str, ids_col="ids") -> DataFrame:
     """ids with bytes: what its ids stand for."""
-    tokens = read_ranks(vocabulary)
+    shared = ids.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     @F.pandas_udf("binary")
     def to_bytes(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())))
+        return batch.map(lambda x: b"".join(map(shared.value.__getitem__, np.frombuffer(x, "<u4").tolist())))
 
-    return ids.select("*", to_bytes("ids").alias("bytes"))
+    return ids.select("*", to_bytes(ids_col).alias("bytes"))
 
 
 def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decoded(encoded(docs, vocabulary, pattern), vocabulary)
     n = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return encoded(docs, vocabulary, pattern).select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again; the folder's owner clears it after the job."""
-    path = f"{shared_dir(df.sparkSession)}/outlyr-{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder as Parquet and read again; the files go with discard(), or when the driver ends."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/outlyr-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.outlyr_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing will read it again; a lost executor cannot ask for it, as what came of it is stored."""
+    place, files = _place(table.sparkSession, table.outlyr_path)
+    files.delete(place, True)
+
+
+def slices(batch, column: str | None = None, most: int = 1 << 20):
+    """An Arrow batch (or array, without column) in slices of at most so many bytes of a column, or of one larger row; no copies."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column) if column else batch), 0).cast("int64")).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
