@@ -30,10 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256."""
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    row = docs.select(F.struct("doc_id", "source").alias("row"), "text")
-    both = bpe.decoded(bpe.encoded(row, vocabulary, public_tokenizers.PATTERN, id_col="row"), vocabulary)
-    return both.select("row.doc_id", "row.source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    made = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "source"))
+    return made.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
