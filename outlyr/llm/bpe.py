@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import slices, table
+from outlyr.llm.common import slices, small_batches, table
 
 #: Encoded pre-tokens that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -107,6 +107,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text_col="text", kee
 
     vocabulary: the rank file, read by the driver. A task holds one batch of texts and the ids of a slice of it.
     """
+    small_batches(docs.sparkSession)
     tokens = read_ranks(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     names = [f"_{k}" for k in range(len(keep))]

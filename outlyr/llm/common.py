@@ -41,10 +41,24 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, for narrow tables that are read more than once."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, for tables that are read more than once.
+
+    narrow: df ends in an exchange and has few bytes a row; it is stored in an eighth of the exchange's partitions.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(_few(df.sparkSession)) if narrow else df).checkpoint()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends Python at most so many rows at once, as whole documents are large; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def _few(spark: SparkSession) -> int:
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

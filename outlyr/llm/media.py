@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import table
+from outlyr.llm.common import small_batches, table
 
 #: Samples of a scanline; payloads are padded to whole lines.
 WIDTH = 576
@@ -149,6 +149,8 @@ def frequency_hash(image: np.ndarray) -> bytes:
 def stored(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """id_col, n_bytes, media: each text as a PNG in a binary column."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("binary")
     def to_media(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(payload(t.encode())))

@@ -98,7 +98,7 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, max_repeats=2, block_words: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The rows with their places, and the mix: slot, no, bucket, row, repeat, first, n (words first to first + n of the row)."""
     sized = cut(sizes(docs, id_col, text_col, source_col, seed))
-    sources = cut(targets(sized, weights, share, max_repeats))
+    sources = cut(targets(sized, weights, share, max_repeats), narrow=True)
     rows = placed(sized, sources)
     goal = F.floor("target").cast("long")
     pieces = rows.filter("size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import cut, table, written
-from outlyr.llm.shingles import blocks, shingle_sets
+from outlyr.llm.common import cut, discard, slices, small_batches, table, written
+from outlyr.llm.shingles import shingle_sets
 
 #: Shingles held by more sets than this count as frequent; at most so many of them are broadcast, the most frequent first.
 FREQUENT_ABOVE, FREQUENT_MOST = 16, 1 << 18
@@ -34,16 +34,16 @@ FREQUENT_ABOVE, FREQUENT_MOST = 16, 1 << 18
 COUNT_BITS, BUCKETS_A_TASK = 40, 4
 #: Bits of the filter that spares texts outside all pairs.
 FILTER_BITS = 1 << 26
+#: Bytes of text whose sets a task makes at once, and shingles that it gathers before it counts them.
+SLICE, HELD = 1 << 18, 2_000_000
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[np.ndarray]]]:
-    """Each batch with the rows and the sets of a bounded stretch of its texts."""
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches, each with the sets of its texts; a task holds the sets of one slice."""
     with np.errstate(over="ignore"):
-        for batch in batches:
-            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
-            for block in blocks(texts):
-                yield batch, list(range(at, at + len(block))), shingle_sets(block, size)
-                at += len(block)
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                yield batch, shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
 
 
 def _fingerprint(data: bytes) -> bytes:
@@ -78,14 +78,14 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             parts = np.split(each, edges[1:])
             return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64)), pa.array([_packed(p) for p in parts], pa.binary())], ["bucket", "packed"])
 
-        for _, _, sets in _sets(batches, size):
+        for _, sets in _sets(batches, size):
             for s in sets:
                 f = _fingerprint(s.tobytes())
                 if f not in seen and len(s):
                     seen.add(f)
                     held.append(s)
                     n += len(s)
-            if n > 4_000_000:
+            if n > HELD:
                 yield flush()
                 held, n = [], 0
         if held:
@@ -99,7 +99,18 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"shingle": each[edges[often]].astype(np.int64), "n": counts[often].astype(np.int64)})
 
     counts = texts.select("text").mapInArrow(partial, "bucket long, packed binary").groupBy("bucket").applyInArrow(total, "shingle long, n long")
-    most = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST).toPandas().sort_values("shingle")
+    # At most FREQUENT_MOST reach the driver: those above the least count that leaves no more.
+    counts = cut(counts, narrow=True)
+    step = F.floor(F.log2("n") * 8)
+    gathered, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("shingles"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
+        gathered += r.shingles
+        if gathered > FREQUENT_MOST:
+            break
+        least = r.least
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    most = counts.filter(F.col("n") >= least).toPandas().sort_values("shingle")
     return most["shingle"].to_numpy(np.uint64), most["n"].to_numpy(np.int64)
 
 
@@ -127,7 +138,7 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, rows, sets in _sets(batches, size):
+        for batch, sets in _sets(batches, size):
             fps, gs, heads = [], [], []
             for s in sets:
                 head = order(s)[: prefix_length(len(s), percent)] if len(s) else s
@@ -136,8 +147,7 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 gs.append(g)
                 heads.append(None if g in seen or not len(s) else head.view(np.int64))
                 seen.add(g)
-            ids = batch.column("id").slice(rows[0], len(rows))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(gs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "fp", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(gs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "fp", "g", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.select("id", "text").mapInArrow(first, f"id {kind}, n long, fp binary, g long, prefix array<long>")
@@ -163,7 +173,7 @@ def components(links: DataFrame) -> DataFrame:
 
     A star's centre is found by an aggregate and joined back, so no list of neighbours is gathered.
     """
-    edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True), None
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if before == state or not state[0]:
@@ -175,7 +185,7 @@ def components(links: DataFrame) -> DataFrame:
         centre = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(centre, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(small)
+        edges = cut(small, narrow=True)
 
 
 def _freed(spark) -> None:
@@ -187,31 +197,37 @@ def _freed(spark) -> None:
 def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, fp (the set) of each row."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    known = written(prefixes(texts, size, percent), "prefixes")
+    whole = written(prefixes(texts, size, percent), "prefixes")
+    known = cut(whole.drop("prefix"))
     _freed(spark)
     items = known.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("id").alias("id"))
-    items = cut(items)
+    items = cut(items, narrow=True)
     _freed(spark)
     groups = items.groupBy("g").agg(F.min("fp").alias("head"))
 
-    entries = known.filter("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
-    entries = entries.withColumn("at", F.col("at").cast("long")).repartition("shingle")
-    leads = entries.groupBy("shingle").agg(F.min(F.struct("at", "n", "g")).alias("lead"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
-    met = entries.join(leads, "shingle").select("shingle", "g", "n", "at", F.col("lead.g").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at"))
-    met = written(met.distinct(), "met")
+    # Place and size travel as one number.
+    entries = whole.filter("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
+    entries = entries.select("shingle", "g", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("at_n")).repartition("shingle")
+    leads = entries.groupBy("shingle").agg(F.min(F.struct("at_n", "g")).alias("lead"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
+    met = entries.join(leads, "shingle").select("shingle", "g", "at_n", F.col("lead.g").alias("lead"), F.col("lead.at_n").alias("lead_at_n")).distinct()
+    at, n = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
+    met = written(met.select("shingle", "g", n("at_n").alias("n"), at("at_n").alias("at"), "lead", n("lead_at_n").alias("lead_n"), at("lead_at_n").alias("lead_at")), "met")
+    discard(whole)
+    del entries, leads
     _freed(spark)
 
     first = met.filter("g <> lead").filter(_may_link(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"), percent)).select("g", "lead").distinct()
     first = first.join(groups.withColumnRenamed("head", "a"), "g").join(groups.select(F.col("g").alias("lead"), F.col("head").alias("b")), "lead").select("a", "b")
     inside = items.join(groups, "g").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    first = cut(first.unionByName(inside).distinct())
+    first = cut(first.unionByName(inside).distinct(), narrow=True)
     _freed(spark)
     links = _links(texts, items, first, size, percent)
     labels = components(links)
 
     marked = items.join(labels, "fp", "left").select("fp", "g", "n", F.coalesce("label", "fp").alias("label"))
-    marked = cut(marked)
+    marked = cut(marked, narrow=True)
     parts = marked.select("g", "label").distinct()
     open_ = met.select("shingle", "g", "n", "at").join(parts, "g")
     mixed = open_.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
@@ -225,14 +241,14 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     two = marked.select(F.col("g").alias("g2"), F.col("label").alias("l2"), F.col("fp").alias("b"))
     second = across.join(one, ["g1", "l1"]).join(two, ["g2", "l2"]).select("a", "b").distinct()
     tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = cut(second.join(tried, ["a", "b"], "left_anti"))
+    second = cut(second.join(tried, ["a", "b"], "left_anti"), narrow=True)
     _freed(spark)
     more = _links(texts, items, second, size, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     whole = items.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = whole.join(least, "label").select("fp", "component_id")
+    found = cut(whole.join(least, "label").select("fp", "component_id"), narrow=True)
     return known.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
 
 
@@ -261,11 +277,13 @@ def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, perc
         for batch in batches:
             at = batch.column("h").to_numpy(zero_copy_only=False) % FILTER_BITS
             chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            for _, _, sets in _sets([chosen], size):
+            for _, sets in _sets([chosen], size):
                 yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
     sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "fp binary, set array<long>")
-    links = cut(verified(pairs, written(sets, "sets"), percent).distinct())
+    sets = written(sets, "sets")
+    links = cut(verified(pairs, sets, percent).distinct(), narrow=True)
+    discard(sets)
     _freed(spark)
     return links
 

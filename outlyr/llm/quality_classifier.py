@@ -14,19 +14,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import table
-from outlyr.llm.shingles import blocks, mixed, word_hashes
+from outlyr.llm.common import slices, small_batches, table
+from outlyr.llm.shingles import mixed, word_hashes
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 RUNS = (3, 4)
 REPEAT = 7
+#: Bytes of text whose features a task holds at once.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label_col="quality", options: Options = Options()) -> Model:
     """The model of a bounded sample of the labelled rows that are not held out."""
     labelled = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    order = [place, F.col("doc_id"), F.col("label")]
+    # A threshold on the hash leaves about twice the sample before anything is sorted.
+    n = labelled.count()
+    if n > 2 * options.sample:
+        labelled = labelled.filter(place / float(1 << 63) * n < 2 * options.sample)
     # At most options.sample rows: the bound of what is broadcast and of what the driver gets.
     chosen = F.broadcast(labelled.orderBy(*order).limit(options.sample))
     rows = docs.select("doc_id", F.substring("text", 1, options.sample_chars).alias("text")).filter("text is not null").join(chosen, "doc_id").orderBy(*order, "text").limit(options.sample).collect()
@@ -130,18 +136,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col="quality", options: Option
 
 def scored(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """id_col, score of each row, from its whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                scores = [shared.value.scores(block) for block in blocks(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [id_col, "score"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _scores(shared.value, batch.column(1))], [id_col, "score"])
 
     return docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def _scores(model: Model, texts: pa.Array) -> pa.Array:
+    """The scores of a batch's texts; features are held for a slice of it at a time."""
+    with np.errstate(over="ignore"):
+        parts = [model.scores([t or "" for t in part.to_pylist()]) for part in slices(texts, most=SLICE)]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+
 def judged(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
     scores = scored(docs, fit(docs, labels, options=options))
@@ -151,14 +162,13 @@ def judged(docs: DataFrame, labels: DataFrame, options: Options = Options()) ->
 def keep_good(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
     """The rows of docs that the model of docs and labels predicts to be good, with all their columns."""
     model = fit(docs, labels, options=options)
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        with np.errstate(over="ignore"):
-            for texts in batches:
-                parts = [shared.value.scores(b) for b in blocks([t or "" for t in texts])]
-                yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _scores(shared.value, texts)
 
     return docs.filter(score("text") >= options.threshold)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlyr.llm.bpe import Codec, read_ranks
-from outlyr.llm.common import table
+from outlyr.llm.common import small_batches, table
 
 RULES = ("start", "majority", "share")
 
@@ -69,6 +69,7 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, id_col="doc_id", tex
     """id_col, section (from 0), first_char, n_chars, tokens (double), crossing, doc_tokens of each section of each row."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}, not {rule!r}")
+    small_batches(docs.sparkSession)
     tokens = read_ranks(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
