@@ -100,7 +100,7 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     counts = texts.select("text").mapInArrow(partial, "bucket long, packed binary").groupBy("bucket").applyInArrow(total, "shingle long, n long")
     # At most FREQUENT_MOST reach the driver: those above the least count that leaves no more.
-    counts = cut(counts, narrow=True)
+    counts = cut(counts)
     step = F.floor(F.log2("n") * 8)
     gathered, least = 0, None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("shingles"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
@@ -282,7 +282,8 @@ def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, perc
 
     sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "fp binary, set array<long>")
     sets = written(sets, "sets")
-    links = cut(verified(pairs, sets, percent).distinct(), narrow=True)
+    # Not narrow: rows of one pair meet where the sets do, so this is the stage that reads them.
+    links = cut(verified(pairs, sets, percent).distinct())
     discard(sets)
     _freed(spark)
     return links

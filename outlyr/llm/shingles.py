@@ -63,16 +63,3 @@ def shingle_sets(texts: list[str], size: int, lower: bool = True) -> list[np.nda
             out.append(np.zeros(0, _U))
         at += count
     return out
-
-
-def blocks(texts: list[str], most: int = 1 << 20):
-    """Stretches of texts of at most so many characters together, or of one longer text."""
-    block, size = [], 0
-    for t in texts:
-        if block and size + len(t) > most:
-            yield block
-            block, size = [], 0
-        block.append(t)
-        size += len(t)
-    if block:
-        yield block
