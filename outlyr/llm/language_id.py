@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import table
+from outlyr.llm.common import small_batches, table
 
 #: Of each language at most SAMPLE_TEXTS texts, DICTIONARY_BYTES bytes together and TEXT_BYTES of one text are learned.
 SAMPLE_TEXTS, DICTIONARY_BYTES, TEXT_BYTES = 512, 1 << 18, 1024
@@ -37,14 +37,16 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, bytes]:
     """The dictionary of each language, the most frequent first, of rows with a language and some text that are not held out.
 
-    The texts of a language with the smallest hashes of their ids are taken; Spark keeps as many of each task before
-    it shuffles, so no language meets in one task.
+    The texts of a language with the smallest hashes of their ids are taken. A threshold on the hash, from the
+    language's count, leaves about twice as many as are wanted before anything is shuffled, however many rows there are.
     """
     i, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
-    rows = docs.filter(~held_out(i) & lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.xxhash64(i).alias("order"), F.substring(text, 1, TEXT_BYTES).alias("text"))
+    rows = docs.filter(~held_out(i) & lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.shiftrightunsigned(F.xxhash64(i), 1).alias("order"), F.substring(text, 1, TEXT_BYTES).alias("text"))
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    place = F.col("order") / float(1 << 63)
+    near = rows.join(F.broadcast(known), "lang").filter(place * F.col("count") < 2 * SAMPLE_TEXTS + 64)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    taken = rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).join(F.broadcast(known.select("lang")), "lang").cache()
+    taken = near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).drop("count").cache()
     lines = taken.select("lang", "rank", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
     shared = lines.groupBy("line").agg(F.countDistinct("lang", "rank").alias("n")).filter("n > 1").select("line")
     own = lines.join(shared, "line", "left_anti").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "at", "line"))).alias("lines"))
@@ -93,6 +95,7 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], id_col="doc_id",
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, "lang_pred", "score", "margin", "rejected"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, margin double, rejected boolean")
 
