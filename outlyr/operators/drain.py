@@ -75,8 +75,12 @@ def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_co
     def step(miner: Miner, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for message, learn in zip(rows[text], rows["_learns"], strict=True):
-            found = miner.match(message) if isinstance(message, str) and message.strip() else None
-            if not isinstance(message, str) or not message.strip() or (found is None and not learn):
+            if not isinstance(message, str) or not message.strip():
+                out.append((None, None, None))
+                continue
+            # Learning looks for the template itself.
+            found = None if learn else miner.match(message)
+            if found is None and not learn:
                 out.append((None, None, None))
                 continue
             i = miner.learn(message) if learn else found[0]
