@@ -9,3 +9,10 @@ def test_templates_are_mined_from_every_line(spark, tmp_path):
     found = {(r.doc_id, r.line_no): r for r in queries.QUERIES["text_templates"](spark, str(tmp_path)).collect()}
     assert {at: r.template_id for at, r in found.items()} == {(1, 0): 1, (1, 1): 1, (1, 2): None, (1, 3): 2, (2, 0): 2, (3, None): None}
     assert found[1, 1].template == "user <*> logged in" and found[1, 1].variables == ["b2"]
+
+
+def test_every_price_is_in_the_baseline(spark, tmp_path):
+    prices = [(1, 10.0), (2, 5.0), (3, 2500.0), (1, 5.0), (2, 99.5)]
+    spark.createDataFrame(prices, "l_linenumber int, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.x: r.percentile for r in queries.QUERIES["percentile_score"](spark, str(tmp_path)).collect()}
+    assert found == {5.0: 0.0, 10.0: 40.0, 99.5: 60.0, 2500.0: 80.0}
