@@ -6,7 +6,8 @@ ingest alone; ids by first appearance are given to scored rows too.
 
 Cohorts take their rows in the order of the configuration: an event that fails in one is learned by those before it alone,
 and its response says why. A fixed number of window passes, one for each cohort, does the work; for cohorts whose key holds
-a large part of all rows, pass block, a value that never falls along seq (such as a day), and scalers add up blocks.
+a large part of all rows, pass block, a value that never falls along seq (such as a day), and scalers add up blocks, with the same results. Where a
+cohort has warmup_count, the first rows of a key are scaled by the statistics after the last of them.
 """
 
 from __future__ import annotations
@@ -48,30 +49,37 @@ class Engine:
 
     # Encoding
 
-    def _scaler(self, df: DataFrame, v: str, out: str, kind: str) -> DataFrame:
+    def _scaler(self, df: DataFrame, v: str, out: str, kind: str, warmup: int = 0) -> DataFrame:
+        """df with out. The first warmup learned rows of a key wait for the statistics after the last of them; NULL if it never comes."""
+        names = ("n", "mean", "std", "low", "high")
         learned = F.when(F.col("phase") == 0, F.col(v))
         if self.block is not None:
             known = encoders.blocks(df.withColumn("_v", learned), "_v", ["key"], ORDER, F.struct("phase", self.block)).drop("_v")
-            stats = [F.col(c) for c in ("n", "mean", "std", "low", "high")]
         else:
-            w = encoders.running(["key"], ORDER)
-            known, stats = df, list(encoders.statistics(learned, w).values())
+            known = df.withColumns(encoders.statistics(learned, encoders.running(["key"], ORDER)))
+        stats = [F.col(c) for c in names]
+        waits = F.lit(False)
+        if warmup:
+            known, waits = self._warm(known, warmup, names)
+            stats = [F.when(waits, F.col("_then")[c]).otherwise(F.col(c)) for c in names]
         made = encoders.z_score(F.col(v), *stats) if kind == "StandardScaler" else encoders.scaled(F.col(v), *stats[3:])
-        known = known.withColumn(out, made)
-        return known.drop("n", "mean", "std", "low", "high") if self.block is not None else known
+        if warmup:
+            made = F.when(~waits | F.col("_then").isNotNull(), made)
+        return known.withColumn(out, made).drop(*names, "_then", "_last")
 
-    def _warm_scaler(self, df: DataFrame, v: str, out: str, warmup: int) -> DataFrame:
-        """As _scaler, but the first warmup learned rows wait for the statistics after the last of them."""
+    def _warm(self, known: DataFrame, warmup: int, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+        """known with _then, the statistics at each key's learned row number warmup, and the rows that wait for them."""
         from pyspark.sql import Window
 
-        learned = F.when(F.col("phase") == 0, F.col(v))
-        stats = {f"_{k}": c for k, c in encoders.statistics(learned, encoders.running(["key"], ORDER)).items()}
-        df = df.withColumns(stats)
-        key = Window.partitionBy("key")
-        then = {f"{c}w": F.max(F.when((F.col("phase") == 0) & (F.col("number") == warmup), F.col(c))).over(key) for c in stats}
-        df = df.withColumns(then)
-        pick = [F.when((F.col("phase") == 0) & (F.col("number") <= warmup), F.col(f"{c}w")).otherwise(F.col(c)) for c in stats]
-        return df.withColumn(out, encoders.z_score(F.col(v), *pick)).drop(*stats, *then)
+        then = F.struct(*names)
+        if self.block is None:
+            at = F.when((F.col("phase") == 0) & (F.col("number") == warmup), then)
+            return known.withColumn("_then", F.max(at).over(Window.partitionBy("key"))), (F.col("phase") == 0) & (F.col("number") <= warmup)
+        # A limit on the rank keeps warmup rows of a key for each task before the shuffle (up to Spark's threshold, 1000).
+        place = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+        last = known.filter("phase = 0").select(F.col("key").alias("_key"), F.col("seq").alias("_last"), then.alias("_then"), place.alias("_at")).filter(F.col("_at") == warmup).drop("_at")
+        joined = known.join(last, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+        return joined, (F.col("phase") == 0) & F.coalesce(F.col("seq") <= F.col("_last"), F.lit(True))
 
     def _encode(self, df: DataFrame, cohort: Cohort, names: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str, tuple[float, float]]], list[str], Column]:
         """df with encoded columns; the numeric ones with their names and limits, the categorical ones, and the row's error."""
@@ -80,11 +88,8 @@ class Engine:
             f = self._field(cohort, name)
             encoder, p, out = encoder_of(f, cohort.model), f.params, f"n{k}"
             text = F.col(c).cast("string")
-            if encoder == "StandardScaler" and cohort.warmup and self.block is None:
-                df = self._warm_scaler(df, c, out, cohort.warmup)
-                numbers.append((name, out, (-encoders.CLIP, encoders.CLIP)))
-            elif encoder in ("StandardScaler", "MinMaxScaler"):
-                df = self._scaler(df, c, out, encoder)
+            if encoder in ("StandardScaler", "MinMaxScaler"):
+                df = self._scaler(df, c, out, encoder, cohort.warmup)
                 numbers.append((name, out, (-encoders.CLIP, encoders.CLIP) if encoder == "StandardScaler" else (0.0, 1.0)))
             elif encoder == "FrequencyEncoder":
                 v = F.when(F.col("phase") == 0, text)
