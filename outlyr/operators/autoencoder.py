@@ -100,8 +100,9 @@ def scaled(percentile: float) -> float:
 class State:
     """What one key keeps: at most buffer events, category ids, the network and the buffer's sorted errors."""
 
-    def __init__(self, categories: list[str], numbers: list[str], o: Options):
-        self.categories, self.numbers, self.o = categories, numbers, o
+    def __init__(self, categories: list[str], numbers: list[str], o: Options, slots: dict[str, int]):
+        self.categories, self.numbers, self.o, self.slots = categories, numbers, o, slots
+        self.used = list(range(len(categories)))
         self.rows: deque = deque(maxlen=o.buffer)
         self.ids: list[dict] = [{} for _ in categories]
         self.net: Network | None = None
@@ -118,13 +119,13 @@ class State:
             if v not in known and learn:
                 known[v] = len(known) + 1
             i = known.get(v, len(known) + 1)
-            if self.net is not None and i >= len(self.net.p[8 + len(ids)]):
+            if self.net is not None and len(ids) in self.used and i >= len(self.net.p[8 + self.used.index(len(ids))]):
                 error, i = f"category of '{name}' is beyond its embedding table", 0
             ids.append(i)
         return ids, [float("nan") if getattr(row, n) is None else float(getattr(row, n)) for n in self.numbers], error
 
     def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r[0] for r in self.rows], np.int64).reshape(len(self.rows), -1), np.array([r[1] for r in self.rows], np.float64).reshape(len(self.rows), -1)
+        return np.array([[r[0][k] for k in self.used] for r in self.rows], np.int64).reshape(len(self.rows), -1), np.array([r[1] for r in self.rows], np.float64).reshape(len(self.rows), -1)
 
     def learn(self, row) -> str | None:
         ids, x, error = self.encode(row, True)
@@ -134,7 +135,9 @@ class State:
         self.seen += 1
         if self.seen >= self.o.warmup and (self.seen - self.o.warmup) % self.o.every == 0:
             if self.net is None:
-                self.net = Network([len(k) + 1 for k in self.ids], len(self.numbers), self.o)
+                # A slot that no row of the buffer fills is no input.
+                self.used = [k for k, c in enumerate(self.categories) if c not in self.slots or any(r[0][k] for r in self.rows)]
+                self.net = Network([max(len(self.ids[k]), self.slots.get(self.categories[k], 0)) + 1 for k in self.used], len(self.numbers), self.o)
             i, v = self._matrix()
             self.net.train(i, v)
             self.baseline = sorted(self.net.errors(i, v).mean(1).round(12).tolist())  # the last digits depend on the batch
@@ -147,22 +150,22 @@ class State:
         ids, x, error = self.encode(row, False)
         if error:
             return None, error, []
-        each = self.net.errors(np.array([ids], np.int64).reshape(1, -1), np.array([x]).reshape(1, -1))[0]
+        each = self.net.errors(np.array([[ids[k] for k in self.used]], np.int64).reshape(1, -1), np.array([x]).reshape(1, -1))[0]
         score = scaled(100 * bisect_left(self.baseline, round(float(each.mean()), 12)) / len(self.baseline))
         parts, at = [], 0
-        for name, width in [*zip(self.categories, self.net.widths, strict=True), *[(n, 2) for n in self.numbers]]:
+        for name, width in [*zip([self.categories[k] for k in self.used], self.net.widths, strict=True), *[(n, 2) for n in self.numbers]]:
             parts.append((name, float(each[at : at + width].sum())))
             at += width
         total = sum(p for _, p in parts) or 1.0
         return score, None, sorted(((n, round(p / total * score, 4)) for n, p in parts), key=lambda p: -abs(p[1]))
 
 
-def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = ()) -> DataFrame:
+def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = (), slots: dict[str, int] = {}) -> DataFrame:
     """keys, id_col, keep, score, error, buffered, events_since_retrain, top_field, parts of each row that does not learn.
 
     parts: each field's share of the score by its squared error, the largest first.
     Rows where learns is true are learned in order, the others are scored with the state of their moment. events needs
-    all named columns; numbers are encoded already.
+    all named columns; numbers are encoded already. slots: categories that may stay empty, with the number of values they may take.
     """
 
     def step(state: State, rows: pd.DataFrame) -> pd.DataFrame:
@@ -185,4 +188,4 @@ def scored(events: DataFrame, keys: list[str], order: list[str], categories: lis
 
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
     used = events.select(*dict.fromkeys([*keys, *order, id_col, *keep, learns, *categories, *numbers]))
-    return by_key(used, keys, order, lambda: State(categories, numbers, options), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string, parts array<struct<field:string,delta:double>>")
+    return by_key(used, keys, order, lambda: State(categories, numbers, options, slots), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string, parts array<struct<field:string,delta:double>>")

@@ -120,9 +120,16 @@ class Engine:
                         df = df.withColumn(f"{out}_{i}", F.when(F.col(out).isNotNull(), (F.col(out) % FOLDED == i).cast("double")))
                         numbers.append((f"{name}__{i}", f"{out}_{i}", (0.0, 1.0)))
             elif encoder == "Drain3Encoder":
-                found = drain.templates(df.select("key", *ORDER, c), ["key"], ORDER, c, "seq", learns="phase = 0", keep=["phase"], **{k: v for k, v in p.items() if k in ("similarity", "most", "depth")})
-                df = df.join(found.select("key", *ORDER, F.col("template_id").alias(out)), ["key", *ORDER], "left")
-                (categories.append(out) if cohort.model == "Autoencoder" else numbers.append((name, out, (0.0, 200.0))))
+                given = {own: p[k] for k, own in (("similarity", "similarity"), ("most", "most"), ("depth", "depth"), ("sim_th", "similarity"), ("max_clusters", "most")) if k in p}
+                slots, n = p.get("max_vars", 20), p.get("n_hash_features", 2000)
+                found = drain.templates(df.select("key", *ORDER, c), ["key"], ORDER, c, "seq", learns="phase = 0", keep=["phase"], **given)
+                hashed = [encoders.hash_index(name, F.get("variables", F.lit(i)), n, p.get("seed", 0)).alias(f"{out}_v{i}") for i in range(slots)]
+                df = df.join(found.select("key", *ORDER, F.col("template_id").alias(out), *hashed), ["key", *ORDER], "left")
+                if cohort.model == "Autoencoder":
+                    categories += [out, *[f"{out}_v{i}" for i in range(slots)]]
+                else:
+                    numbers.append((f"{name}__template", out, (0.0, float(given.get("most", 200)))))
+                    numbers += [(f"{name}__var_{i}", f"{out}_v{i}", (0.0, float(n))) for i in range(slots)]
             elif encoder == "SentenceTransformerEncoder":
                 dim = p.get("embed_dim", 8)
                 df = df.withColumn(out, projection.projected(projection.hashed_vector(text), projection.matrix(64, dim, p.get("seed", 42))))
@@ -155,13 +162,24 @@ class Engine:
             p = {"buffer_size": "buffer", "retrain_every": "every", "epochs_per_retrain": "epochs", "warmup_count": "warmup", "batch_size": "batch", "embed_dim": "embed", "bottleneck": "bottleneck", "vocab_headroom": "headroom", "lr": "rate", "seed": "seed"}
             given = {p[k]: v for k, v in cohort.params.items() if k in p and v is not None} | ({"warmup": cohort.warmup} if cohort.warmup else {})
             rows = rows.withColumn("learns", (F.col("phase") == 0) & F.col("failed").isNull())
-            out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"])
+            # A template's columns share one number of values, as in the reference; a slot is used once a variable fills it.
+            slots = {}
+            for k, n in enumerate(names):
+                f = self._field(cohort, n)
+                if encoder_of(f, cohort.model) == "Drain3Encoder":
+                    size = max(f.params.get("max_clusters", f.params.get("most", 200)), f.params.get("n_hash_features", 2000))
+                    slots |= {c: size for c in categories if c == f"n{k}" or c.startswith(f"n{k}_v")}
+            out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"], slots=slots)
             shown = F.create_map(F.lit("buffer_size"), "buffered", F.lit("events_since_retrain"), F.coalesce("events_since_retrain", F.lit(0)))
             told = F.lit(None).cast(empty)
             if explain:
-                own = dict([(c, n) for n, c, _ in numbers] + [(f"n{k}", n) for k, n in enumerate(names)])
+                own = dict([(c, n) for n, c, _ in numbers] + [(f"n{k}", n) for k, n in enumerate(names)] + [(c, list(names)[int(c[1:].split("_")[0])]) for c in slots if "_" in c])
                 field = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in own.items() for v in kv]), x), x)
-                told = F.when(F.col("parts").isNotNull(), F.struct(F.lit(0.0).alias("baseline"), F.transform("parts", lambda x: F.struct(field(x["field"]).alias("field"), F.lit(None).cast("double").alias("value"), x["delta"].alias("delta"))).alias("features")).cast(empty))
+                parts = F.transform("parts", lambda x: F.struct(field(x["field"]).alias("field"), x["delta"].alias("delta")))
+                share = lambda f: F.aggregate(F.filter(parts, lambda x: x["field"] == f), F.lit(0.0), lambda s, x: s + x["delta"])
+                each = F.transform(F.array_distinct(F.transform(parts, lambda x: x["field"])), lambda f: F.struct(f.alias("field"), F.lit(None).cast("double").alias("value"), F.round(share(f), 4).alias("delta")))
+                by_size = lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(0)
+                told = F.when(F.col("parts").isNotNull(), F.struct(F.lit(0.0).alias("baseline"), F.array_sort(each, by_size).alias("features")).cast(empty))
             return out.filter("phase = 1").select("seq", "key", F.col("score").alias("anomaly_score"), F.col("error").alias("failed"), shown.alias("properties"), told.alias("explanation"))
         if not numbers:
             return events.filter("phase = 1").select("seq", "key", *none)

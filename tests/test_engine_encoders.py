@@ -25,3 +25,21 @@ def test_warm_up_rows_wait_with_and_without_blocks(spark, encoder, block):
     want = [0, -1 / s, 1 / s, 2.25 / t, 1.25 / t] if encoder == "StandardScaler" else [0.5, 0, 1, 1, 0.75]
     assert found == pytest.approx(want)
     assert encoded(spark, rows[:2], encoder, F.expr("seq div 2") if block else None)["v"] == [None, None]
+
+
+def test_variables_of_templates_are_columns(spark):
+    rows = [(0, 0, "Service nginx started on 10.0.0.1"), (0, 1, "Service redis started on 10.0.0.2"), (0, 2, "Service bob started on 10.0.0.1"), (1, 3, "Service redis started on 10.9.9.9"), (1, 4, " ")]
+    found = encoded(spark, rows, "Drain3Encoder", kind="str_text", max_vars=2)
+    assert list(found) == ["v__template", "v__var_0", "v__var_1"] and found["v__template"] == [1, 1, 1, 1, None]
+    first, second = found["v__var_0"], found["v__var_1"]
+    assert first[1] == first[3] and second[1] != second[3] and first[4] is None and first[2] != first[1]
+    assert list(encoded(spark, rows, "Drain3Encoder", kind="str_text", max_vars=1)) == ["v__template", "v__var_0"]
+    assert encoded(spark, rows, "Drain3Encoder", kind="str_text", sim_th=0.95)["v__template"][:3] == [1, 2, 3]
+
+
+def test_a_new_variable_of_a_usual_template_raises_the_score(spark):
+    raw = {"features": {"f": {"m": "str_text"}}, "cohorts": [{"name": "all", "features_config": "f", "model": {"type": "Autoencoder", "params": {"warmup_count": 40, "retrain_every": 20, "epochs_per_retrain": 20, "lr": 0.01, "seed": 1}}}]}
+    frame = lambda texts, start: spark.createDataFrame([(start + i, f'{{"m": "{t}"}}') for i, t in enumerate(texts)], "seq long, j string").select("seq", F.parse_json("j").alias("payload"))
+    out = Engine(config.parse(raw)).run(frame([f"login of {'ab'[i % 2]} ok" for i in range(200)], 0), frame(["login of a ok", "login of zz ok"], 200), explain=True).orderBy("seq").collect()
+    assert out[1].composite_score > out[0].composite_score
+    assert [f.field for f in out[1].scores[0].explanation.features] == ["m"]
