@@ -474,8 +474,8 @@ def vector_pca(spark, sf_dir):
 @query()
 def autoencoder_score(spark, sf_dir):
     rows = windows.head_tail(events(spark, sf_dir).withColumn("hour", F.hour("ts") / 23.0), ORDER, 0.2)
-    rows = rows.withColumns({"learns": ~F.col("is_score"), "u": F.col("user_id") % 20, "z": encoders.clipped((F.col("value") - 50) / 30, -5.0, 5.0)})
-    return autoencoder.scored(rows, ["event_type"], ORDER, ["u"], ["z", "hour"], "learns", "event_id", autoencoder.Options(every=500))
+    rows = rows.withColumns({"learns": ~F.col("is_score"), "u": encoders.hash_index("user_id", F.col("user_id").cast("string")), "z": encoders.clipped((F.col("value") - 50) / 30, -5.0, 5.0)})
+    return autoencoder.scored(rows, ["event_type"], ORDER, ["u"], ["z", "hour"], "learns", "event_id", slots={"u": 2000})
 
 
 @query()
