@@ -1,12 +1,16 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
-A bounded sample of texts of each language makes a raw-content zstandard dictionary, without lines that two
-texts of the sample share. A text is cut into segments, so that a
-long one cannot learn its language from itself, and (in lower case) all of its segments are compressed with each dictionary. The smallest sum
-wins; where the margin to the second is narrow, the decision is rejected: the column rejected says so, and the score is low.
-
-A null text, or one without a letter, is 'und' with score 0, as is every text where no language is known. Only the named
-columns are read; a row's language, source and id are no part of its prediction. Repeated rows give a row each.
+A bounded sample of whole texts of each language makes a raw-content zstandard dictionary: of the pieces (lines, long ones
+cut) that texts of no other language of the sample hold, one copy each, those with the smallest hashes, up to a bound in
+bytes. A piece may come from anywhere in its text. A language whose pieces are all shared takes them as they are, so
+every language that is present can be predicted. A text is cut into segments, so that a long one cannot learn its language
+from itself, and (in lower case) all of its segments are compressed with each dictionary. The smallest sum wins; where the
+margin to the second is narrow, the decision is rejected: the column rejected says so, and the score is low.
+
+A null text, or one without a letter, is 'und' with score 0, as is every text where no language is known. Texts of any
+length are compressed whole. Sums that tie go to the language with more rows, then to the first by name. Repeated rows
+give a row each and are sampled as rows; an empty table teaches nothing and gives no rows. Only the named columns are
+read; a row's language, source and id are no part of its prediction.
 """
 
 from collections.abc import Iterator
@@ -16,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import small_batches, table
+from outlyr.llm.common import discard, small_batches, table, written
 
-#: Of each language at most SAMPLE_TEXTS texts, DICTIONARY_BYTES bytes together and TEXT_BYTES of one text are learned.
-SAMPLE_TEXTS, DICTIONARY_BYTES, TEXT_BYTES = 512, 1 << 18, 1024
-#: Languages with the most rows, if there are more.
-LANGUAGES = 256
+#: Texts of each language that are learned from, at most; they are read whole.
+SAMPLE_TEXTS = 512
+#: Bytes of one dictionary and of all together, at most: what the driver gets and each task holds.
+DICTIONARY_BYTES, ALL_BYTES = 1 << 18, 1 << 26
+#: Characters of a piece.
+PIECE = 512
 SEGMENT = 2048
 LEVEL = 9
 #: Of the smallest sum, how much more the second must take.
@@ -34,27 +40,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, bytes]:
-    """The dictionary of each language, the most frequent first, of rows with a language and some text that are not held out.
+def sampled(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
+    """lang, count (of its rows), text: of rows with a language and some text that are not held out, those with the smallest hashes.
 
-    The texts of a language with the smallest hashes of their ids are taken. A threshold on the hash, from the
-    language's count, leaves about twice as many as are wanted before anything is shuffled, however many rows there are.
+    A threshold on the hash, from the language's count, leaves about twice as many as are wanted before anything is
+    shuffled, however many rows there are.
     """
     i, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
-    rows = docs.filter(~held_out(i) & lang.isNotNull() & (F.length(text) > 0)).select(lang.alias("lang"), F.shiftrightunsigned(F.xxhash64(i), 1).alias("order"), F.substring(text, 1, TEXT_BYTES).alias("text"))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    rows = docs.filter(~held_out(i) & lang.isNotNull() & (text != "")).select(lang.alias("lang"), F.shiftrightunsigned(F.xxhash64(i), 1).alias("order"), text.alias("text"))
+    known = rows.groupBy("lang").count()
     place = F.col("order") / float(1 << 63)
-    near = rows.join(F.broadcast(known), "lang").filter(place * F.col("count") < 2 * SAMPLE_TEXTS + 64)
+    near = rows.join(known, "lang").filter(place * F.col("count") < 2 * SAMPLE_TEXTS + 64)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    taken = near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).drop("count").cache()
-    lines = taken.select("lang", "rank", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
-    shared = lines.groupBy("line").agg(F.countDistinct("lang", "rank").alias("n")).filter("n > 1").select("line")
-    own = lines.join(shared, "line", "left_anti").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "at", "line"))).alias("lines"))
-    # What a task or the driver gets is bounded by languages, texts and bytes.
-    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    made = own.select("lang", F.substring(text.cast("binary"), 1, DICTIONARY_BYTES).alias("text")).join(F.broadcast(known), "lang").orderBy(F.desc("count"), "lang").collect()
-    taken.unpersist()
-    return {r.lang: bytes(r.text) for r in made}
+    return near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).select("lang", "count", "text")
+
+
+def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, bytes]:
+    """The dictionary of each language that is present, the most frequent first."""
+    # Many languages share ALL_BYTES, so each learns from a piece of what it would have alone.
+    taken = written(sampled(docs, id_col, text_col, lang_col), "languages")
+    line = F.explode(F.split(F.lower("text"), "\n"))
+    pieces = taken.select("lang", "count", line.alias("line")).filter(F.btrim("line") != "")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("line") - 1) / PIECE).cast("int")), lambda k: F.substring("line", k * PIECE + 1, F.lit(PIECE)))
+    pieces = pieces.select("lang", "count", F.explode(cut).alias("piece"))
+    # One row for each piece and language, and whether one language alone has it: sums that combine before a shuffle.
+    own = pieces.groupBy("piece").agg(F.min("lang").alias("low"), F.max("lang").alias("high"))
+    kept = pieces.distinct().join(own, "piece").withColumn("own", F.col("low") == F.col("high"))
+    any_own = F.max("own").over(Window.partitionBy("lang"))
+    kept = kept.withColumn("_any", any_own).filter(F.col("own") | ~F.col("_any"))
+    most = max(1 << 12, min(DICTIONARY_BYTES, ALL_BYTES // max(1, taken.select("lang").distinct().count())))
+    upto = F.sum(F.octet_length("piece") + 1).over(Window.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = kept.withColumn("_upto", upto).filter(F.col("_upto") <= most)
+    # All of a language's pieces are bounded by most.
+    made = kept.groupBy("lang", "count").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_upto", "piece"))), lambda x: x["piece"]), "\n").cast("binary").alias("text"))
+    out = {r.lang: bytes(r.text) for r in made.orderBy(F.desc("count"), "lang").collect()}
+    discard(taken)
+    return out
 
 
 class Judge:
