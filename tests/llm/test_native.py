@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -69,6 +70,41 @@ def test_mix_edges(edge, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_stand_in_the_order_of_the_schedule(spark):
+    """Each row is taken as often and as far as the mix says, and any stretch of a partition holds the sources near their shares."""
+    rows = [(i, f"d{i} " * (1 + i % 50), "abcd"[min(i % 7, 3)], -1) for i in range(3000)] + [(9, "d9 " * 10, "c", -1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    took = mixing.taken_words(*mixing.mix(df, block_words=64)).collect()
+    want = Counter()
+    for r in took:
+        want[r.id] += r.taken
+    docs = mixing.mixed_documents(df, block_words=64)
+    parts = docs.select("doc_id", "source", "text", "n_chars", F.spark_partition_id().alias("p")).collect()
+    got = Counter()
+    for r in parts:
+        got[r.doc_id] += len(r.text.split())
+        assert r.n_chars in (-1, len(r.text)) and set(r.text.split()) == {f"d{r.doc_id}"}
+    assert got == +want
+    share = {s: sum(r.taken for r in took if r.source == s) / sum(want.values()) for s in "abcd"}
+    for p in {r.p for r in parts}:
+        mine = [r for r in parts if r.p == p][:400]
+        n = sum(len(r.text.split()) for r in mine)
+        if len(mine) == 400:
+            assert all(abs(sum(len(r.text.split()) for r in mine if r.source == s) / n - share[s]) < 0.1 for s in "abcd")
+
+
+def test_slots_of_a_real_table_hold_the_sources_near_their_shares(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test data")
+    sources = mixing.targets(mixing.sizes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).cache()
+    target = {r.no: int(r.target) for r in sources.collect()}
+    whole = sum(target.values())
+    slots = [r.no for r in mixing.schedule(sources, 64).filter(f"slot < {whole // 64}").orderBy("slot").collect()]
+    for upto in (200, 1000, 5000, len(slots)):
+        seen = Counter(slots[:upto])
+        assert all(abs(seen[no] - upto * t / whole) < 8 for no, t in target.items())
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
