@@ -4,8 +4,9 @@ Every token becomes a piece: its bytes mapped to printable characters, scored by
 merge is the merge of the lowest rank. The normaliser is the identity. Texts are split by the pre-token pattern first and
 each pre-token is encoded by itself; a pre-token that is a token stays whole. Decoding maps pieces back to bytes.
 
-A null text is encoded as an empty one, which has no tokens; texts of any length are encoded whole. Only the two named
-columns are read, and repeated rows give a row each.
+A null text is encoded as an empty one, which has no tokens; texts of any length are encoded whole. Ranks
+are distinct, so merges have no ties. Only the named columns are read; repeated rows give a row each, and an empty table
+gives none.
 """
 
 import base64

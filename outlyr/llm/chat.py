@@ -9,8 +9,9 @@ Control strings inside roles and texts get a tilde before their last character (
 unescape() takes away again; the strings of another common template are treated alike, so no text can close a turn there.
 
 Nulls: a null role or text is empty; rows with a null conv_id form one conversation, and a null turn comes first. Ties:
-turns with one number are ordered by role and text; repeated rows stay. Only the four named columns are read. A
-conversation is one example's context, so a task holds a whole conversation at a time, never several at once.
+turns with one number are ordered by role and text; repeated rows stay. Texts of any length are formatted whole. An empty
+table gives no examples. Only the four named columns are read. A conversation is one example's context, so a task holds a
+whole conversation at a time, never several at once.
 """
 
 from pyspark.sql import Column, DataFrame

@@ -1,4 +1,9 @@
-"""Quality rules: a threshold table compiled into one Spark projection, without user functions."""
+"""Quality rules: a threshold table compiled into one Spark projection, without user functions.
+
+A null text counts as an empty one, which has no words and fails the base; a text of any length is counted whole. A value at
+a threshold passes. Repeated rows and null ids give a row each, an empty table none. Only the id and the text are read, so
+other columns may have any names, and keep_good() keeps them.
+"""
 
 from dataclasses import dataclass
 

@@ -6,7 +6,8 @@ URL moves all globs: states = ((states << 1) & step[c]) | (states & stay[c]). A
 numpy moves all URLs of a batch together.
 
 A null URL, or one without '://', has an empty host and path and gets the default verdict, as does one that no rule fits.
-Only the URL column is read; repeated rows give a row each. Of rules of one length the first wins.
+A URL of any length is run whole; a batch's URLs are run in blocks of like length. Repeated rows give a row each, an empty
+table none. Of rules of one length the first wins. Only the id and the URL column are read.
 """
 
 from collections.abc import Iterator
