@@ -1,6 +1,7 @@
 """Helpers that several operators share."""
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -27,29 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where spark.checkpoint.dir is unset, as in tests, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session of one machine, as in tests, gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         own = tempfile.mkdtemp(prefix="outlyr-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
+        spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, for tables that are read more than once.
-
-    narrow: df ends in an exchange and has few bytes a row; it is stored in an eighth of the exchange's partitions.
-    """
-    shared_dir(df.sparkSession)
-    return (df.coalesce(_few(df.sparkSession)) if narrow else df).checkpoint()
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """From now on the session sends Python at most so many rows at once, as whole documents are large; a lower setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,14 +51,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _few(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+#: Spark's own removal of a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again; the files go with discard(), or when the driver ends."""
+    """df written to the shared folder as Parquet and read again, for tables that are read more than once.
+
+    Its lineage ends there and its shuffles' files go at once. The files go with discard(), or when the driver ends.
+    """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/outlyr-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -77,10 +79,11 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def discard(table: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes what written() wrote, once nothing will read it again; a lost executor cannot ask for it, as what came of it is stored."""
-    place, files = _place(table.sparkSession, table.outlyr_path)
-    files.delete(place, True)
+    for table in tables:
+        place, files = _place(table.sparkSession, table.outlyr_path)
+        files.delete(place, True)
 
 
 def slices(batch, column: str | None = None, most: int = 1 << 20):

@@ -3,8 +3,8 @@
 Two sets whose Jaccard similarity is percent/100 or more share one of the first n - ceil(percent * n / 100) + 1 shingles of
 each, in any order that holds for all sets. The order here is: rare shingles first, then frequent ones by their count.
 
-1. Shingle counts over all texts, packed as sorted differences, give the frequent shingles (any set of them gives a
-   right order; only the speed depends on it, so a bounded number is broadcast).
+1. Shingle counts over all texts, combined in each task and packed as sorted differences, give the frequent shingles (any
+   set of them gives a right order; only the speed depends on it, so a bounded number is broadcast).
 2. Texts with one size and one prefix form a group. Groups meet on prefix shingles that two or more of them hold.
 3. First pass: each group meets the group that leads each of its shingles, and each member its group's first; pairs are
    verified on whole sets, and links become components.
@@ -12,11 +12,15 @@ each, in any order that holds for all sets. The order here is: rare shingles fir
    and place do not rule out. What is in one component needs no further test, so a large group of copies costs its size,
    not its square, and every link between components is found.
 
-Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer words than a shingle are one shingle.
-Copies share one set. Null ids are kept, and count in no component's smallest id. Only the two named columns are read.
+Sets are verified whole, as 64-bit hashes of their shingles; sets are told apart by 128-bit hashes, groups by 64-bit ones.
+What is read more than once is written to the shared folder and deleted when it is spent.
+
+Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer words than a shingle are one shingle;
+texts of any length are read whole, a slice of texts at a time. Copies and repeated rows share one set and one component.
+Null ids are kept, and count in no component's smallest id. An empty table gives no rows. Ties: of rows with one id the
+smallest id is that id; deduplicated() keeps one of several rows alike in id and text. Only the two named columns are read.
 """
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -25,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import cut, discard, slices, small_batches, table, written
+from outlyr.llm.common import discard, slices, small_batches, table, written
 from outlyr.llm.shingles import shingle_sets
 
 #: Shingles held by more sets than this count as frequent; at most so many of them are broadcast, the most frequent first.
 FREQUENT_ABOVE, FREQUENT_MOST = 16, 1 << 18
 #: Bits of a shingle by which it is counted, and buckets in which counts are added up for each task that reads texts.
 COUNT_BITS, BUCKETS_A_TASK = 40, 4
-#: Bits of the filter that spares texts outside all pairs.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that spares texts outside all pairs, for each text in a pair, and at most (what is broadcast).
+FILTER_BITS_A_TEXT, FILTER_MOST = 16, 1 << 28
 #: Bytes of text whose sets a task makes at once, and shingles that it gathers before it counts them.
-SLICE, HELD = 1 << 18, 2_000_000
+SLICE, HELD = 1 << 18, 1 << 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -50,19 +54,31 @@ def _fingerprint(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _packed(counted: np.ndarray) -> bytes:
-    """Sorted numbers below 2^40 as differences, byte by byte of all, so that high bytes of zero compress."""
-    return np.diff(counted, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+def _planes(numbers: np.ndarray, n: int) -> bytes:
+    """Numbers below 256^n, byte by byte of all of them, so that high bytes of zero compress."""
+    return numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((len(data) // n, 8), np.uint8)
+    wide[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return wide.view(np.uint64).ravel()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(5, -1).T
-    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    edges = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[edges], np.add.reduceat(counts, edges) if len(edges) else counts
 
 
 def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles' leading bits, sorted, and their counts."""
+    """The frequent shingles' leading bits, sorted, and their counts.
+
+    A task adds up what it has gathered before anything is shuffled, so a shingle that most texts hold is as many entries
+    as tasks gather, not as there are texts; buckets grow in number with the tasks.
+    """
     buckets = max(64, BUCKETS_A_TASK * texts.rdd.getNumPartitions())
     drop = np.uint64(64 - COUNT_BITS)
 
@@ -72,11 +88,12 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         n = 0
 
         def flush() -> pa.RecordBatch:
-            each = np.sort(np.concatenate(held)) >> drop
+            each, times = np.unique(np.concatenate(held) >> drop, return_counts=True)
             bucket = (each * np.uint64(buckets)) >> np.uint64(COUNT_BITS)
             edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
-            parts = np.split(each, edges[1:])
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64)), pa.array([_packed(p) for p in parts], pa.binary())], ["bucket", "packed"])
+            keys = [_planes(np.diff(p, prepend=np.uint64(0)), 5) for p in np.split(each, edges[1:])]
+            counts = [_planes(p, 4) for p in np.split(times, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "keys", "counts"])
 
         for _, sets in _sets(batches, size):
             for s in sets:
@@ -92,15 +109,14 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     def total(group: pa.Table) -> pa.Table:
-        each = np.sort(np.concatenate([_unpacked(p) for p in group.column("packed").to_pylist()]))
-        edges = np.flatnonzero(np.concatenate(([True], each[1:] != each[:-1])))
-        counts = np.diff(edges, append=len(each))
+        keys = [np.cumsum(_numbers(p, 5), dtype=np.uint64) for p in group.column("keys").to_pylist()]
+        keys, counts = _added(np.concatenate(keys), np.concatenate([_numbers(p, 4) for p in group.column("counts").to_pylist()]))
         often = counts > FREQUENT_ABOVE
-        return pa.table({"shingle": each[edges[often]].astype(np.int64), "n": counts[often].astype(np.int64)})
+        return pa.table({"shingle": keys[often].astype(np.int64), "n": counts[often].astype(np.int64)})
 
-    counts = texts.select("text").mapInArrow(partial, "bucket long, packed binary").groupBy("bucket").applyInArrow(total, "shingle long, n long")
+    counts = texts.select("text").mapInArrow(partial, "bucket long, keys binary, counts binary").groupBy("bucket").applyInArrow(total, "shingle long, n long")
     # At most FREQUENT_MOST reach the driver: those above the least count that leaves no more.
-    counts = cut(counts)
+    counts = written(counts, "counts")
     step = F.floor(F.log2("n") * 8)
     gathered, least = 0, None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("shingles"), F.min("n").alias("least")).collect(), key=lambda r: -r.step):
@@ -108,9 +124,10 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         if gathered > FREQUENT_MOST:
             break
         least = r.least
-    if least is None:
+    most = counts.filter(F.col("n") >= least).toPandas().sort_values("shingle") if least is not None else None
+    discard(counts)
+    if most is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    most = counts.filter(F.col("n") >= least).toPandas().sort_values("shingle")
     return most["shingle"].to_numpy(np.uint64), most["n"].to_numpy(np.int64)
 
 
@@ -119,9 +136,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, n, fp (the set), g (the group), prefix (where a task meets a group first)."""
-    common, often = frequent(texts, size)
-    shared = texts.sparkSession.sparkContext.broadcast((common, often))
+    """id, n, fp (the set), g (the group), prefix (where a task meets a group first), written."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, size))
     drop = np.uint64(64 - COUNT_BITS)
 
     def order(s: np.ndarray) -> np.ndarray:
@@ -150,7 +166,9 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(gs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "fp", "g", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInArrow(first, f"id {kind}, n long, fp binary, g long, prefix array<long>")
+    out = written(texts.select("id", "text").mapInArrow(first, f"id {kind}, n long, fp binary, g long, prefix array<long>"), "prefixes")
+    shared.destroy()
+    return out
 
 
 def _may_link(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
@@ -160,132 +178,150 @@ def _may_link(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
     return (least * 100 >= most * percent) & (rest * (100 + percent) >= (n1 + n2) * percent)
 
 
+def _hidden(key: str) -> Column:
+    """A key whose expression hides how its table is dealt.
+
+    A table of one row a key that was made by an aggregate is dealt by that key already, and would be joined in the task
+    that made it. Behind this, both sides are dealt for the join alone, and adaptive execution can split a hot key's rows.
+    """
+    return F.concat(F.col(key), F.unhex(F.lit("")))
+
+
+def _hidden_number(key: str) -> Column:
+    """The same for a number."""
+    return F.bitwise_not(F.bitwise_not(F.col(key)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is percent / 100 or more."""
-    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+    """The pairs (a, b) of sets whose similarity is percent / 100 or more.
+
+    The set of b, which many pairs may have, is joined to their short rows; then pairs are dealt by a, with whole sets.
+    """
+    right = pairs.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+    both = right.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a")
     same = F.size(F.array_intersect("sa", "sb"))
     return both.filter(same * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """fp, label of each end of links: the smallest fp that it reaches, by alternating large and small stars.
+    """fp, label of each end of links, written: the smallest fp that it reaches, by alternating large and small stars.
 
     A star's centre is found by an aggregate and joined back, so no list of neighbours is gathered.
     """
-    edges, before = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True), None
+    edges, before = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if before == state or not state[0]:
             return edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        centre = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(centre, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        centre = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(centre, "u")
+        centre = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(centre, F.col("u") == _hidden("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        centre = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        small = large.join(centre, F.col("u") == _hidden("c"))
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = cut(small, narrow=True)
-
-
-def _freed(spark) -> None:
-    """Lets Spark drop the shuffles of what has been written and is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        spent, edges = edges, written(small, "edges")
+        discard(spent)
 
 
 def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, fp (the set) of each row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    whole = written(prefixes(texts, size, percent), "prefixes")
-    known = cut(whole.drop("prefix"))
-    _freed(spark)
-    items = known.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("id").alias("id"))
-    items = cut(items, narrow=True)
-    _freed(spark)
-    groups = items.groupBy("g").agg(F.min("fp").alias("head"))
+    whole = prefixes(texts, size, percent)
+    items = written(whole.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("id").alias("id")), "items")
+    # Several tasks may have met a group; its prefix is kept once.
+    groups = written(whole.filter("n > 0").groupBy("g").agg(F.first("n").alias("n"), F.min("fp").alias("head"), F.first("prefix", True).alias("prefix")), "groups")
+    heads = groups.select("g", "head")
 
     # Place and size travel as one number.
-    entries = whole.filter("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
-    entries = entries.select("shingle", "g", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("at_n")).repartition("shingle")
-    leads = entries.groupBy("shingle").agg(F.min(F.struct("at_n", "g")).alias("lead"), F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
-    met = entries.join(leads, "shingle").select("shingle", "g", "at_n", F.col("lead.g").alias("lead"), F.col("lead.at_n").alias("lead_at_n")).distinct()
+    entries = groups.select("g", "n", F.posexplode("prefix").alias("at", "shingle"))
+    entries = entries.select("shingle", "g", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("at_n"))
+    # Any group with the least place will do, so all that is added up are numbers.
+    leads = entries.groupBy("shingle").agg(F.min_by("g", "at_n").alias("lead"), F.min("at_n").alias("lead_at_n"), F.count("*").alias("groups")).filter("groups > 1").select(F.col("shingle").alias("key"), "lead", "lead_at_n")
     at, n = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
+    met = entries.join(leads, F.col("shingle") == _hidden_number("key"))
     met = written(met.select("shingle", "g", n("at_n").alias("n"), at("at_n").alias("at"), "lead", n("lead_at_n").alias("lead_n"), at("lead_at_n").alias("lead_at")), "met")
-    discard(whole)
-    del entries, leads
-    _freed(spark)
 
     first = met.filter("g <> lead").filter(_may_link(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"), percent)).select("g", "lead").distinct()
-    first = first.join(groups.withColumnRenamed("head", "a"), "g").join(groups.select(F.col("g").alias("lead"), F.col("head").alias("b")), "lead").select("a", "b")
-    inside = items.join(groups, "g").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    first = cut(first.unionByName(inside).distinct(), narrow=True)
-    _freed(spark)
+    first = first.join(heads.withColumnRenamed("head", "a"), "g").join(heads.select(F.col("g").alias("lead"), F.col("head").alias("b")), "lead").select("a", "b")
+    inside = items.join(heads, "g").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    first = written(first.unionByName(inside).distinct(), "first")
     links = _links(texts, items, first, size, percent)
     labels = components(links)
 
-    marked = items.join(labels, "fp", "left").select("fp", "g", "n", F.coalesce("label", "fp").alias("label"))
-    marked = cut(marked, narrow=True)
+    marked = written(items.join(labels, "fp", "left").select("fp", "g", "n", F.coalesce("label", "fp").alias("label")), "marked")
     parts = marked.select("g", "label").distinct()
     open_ = met.select("shingle", "g", "n", "at").join(parts, "g")
-    mixed = open_.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    open_ = open_.join(mixed, "shingle")
+    mixed = open_.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(F.col("shingle").alias("key"))
+    open_ = written(open_.join(mixed, F.col("shingle") == _hidden_number("key"), "left_semi"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     may = (F.col("x.label") < F.col("y.label")) & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
-    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & may).select(F.col("x.g").alias("g1"), F.col("x.label").alias("l1"), F.col("y.g").alias("g2"), F.col("y.label").alias("l2"))
-    within = parts.alias("x").join(parts.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.g").alias("g1"), F.col("x.label").alias("l1"), F.col("y.g").alias("g2"), F.col("y.label").alias("l2"))
+    ends = [F.col(f"{t}.{c}").alias(f"{c[0]}{k}") for k, t in ((1, "x"), (2, "y")) for c in ("g", "label")]
+    across = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & may).select(*ends)
+    within = parts.alias("x").join(parts.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.label") < F.col("y.label"))).select(*ends)
     across = across.unionByName(within).distinct()
     one = marked.select(F.col("g").alias("g1"), F.col("label").alias("l1"), F.col("fp").alias("a"))
     two = marked.select(F.col("g").alias("g2"), F.col("label").alias("l2"), F.col("fp").alias("b"))
     second = across.join(one, ["g1", "l1"]).join(two, ["g2", "l2"]).select("a", "b").distinct()
     tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = cut(second.join(tried, ["a", "b"], "left_anti"), narrow=True)
-    _freed(spark)
-    more = _links(texts, items, second, size, percent)
-    if not more.isEmpty():
+    second = written(second.join(tried, ["a", "b"], "left_anti"), "second")
+    discard(groups, met, open_, marked)
+    if not second.isEmpty():
+        more = _links(texts, items, second, size, percent)
         labels = components(links.unionByName(more))
-    whole = items.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = cut(whole.join(least, "label").select("fp", "component_id"), narrow=True)
-    return known.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
+        discard(more)
+    known = items.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
+    least = known.groupBy("label").agg(F.min("id").alias("component_id")).select(F.col("label").alias("key"), "component_id")
+    found = written(known.join(least, F.col("label") == _hidden("key")).select("fp", "component_id"), "found")
+    discard(first, second, links, items)
+    return whole.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
+
+
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of so many bits: for each hash h of the rows, the bits at two parts of it are set."""
+    at = F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(bits)))).alias("at")
+    rows = ids.select(at).select((F.col("at") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel()
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, those set to which a hash h of some row falls: its size is fixed, its misses cost only time."""
-    at = (F.pmod("h", F.lit(FILTER_BITS)) + 1).alias("at")
-    rows = ids.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for r in rows:
-        bits[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits.ravel()
+def _passes(h: pa.Array, marks: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both bits of each hash are set."""
+    h = h.to_numpy(zero_copy_only=False).view(np.uint64)
+    places = (at % np.uint64(bits) for at in (h, h >> np.uint64(32)))
+    return np.logical_and(*((marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) for at in places))
 
 
 def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that hold, tested on the whole sets of the texts that are in a pair.
+    """The pairs that hold, written: tested on the whole sets of the texts that are in a pair.
 
-    Texts are scanned once; a fixed-size filter over the wanted ids spares the others, and the joins drop what passes it
-    by chance. Rows that repeat give a link twice, which distinct() mends.
+    Texts are scanned once; a filter over the wanted ids spares the others, and the joins drop what passes it by chance.
+    Rows that repeat give a link twice, which distinct() mends.
     """
-    spark = texts.sparkSession
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = spark.sparkContext.broadcast(_marked(items.join(ends, "fp", "left_semi").select(F.xxhash64("id").alias("h"))))
+    ids = items.join(ends, "fp", "left_semi").select(F.xxhash64("id").alias("h"))
+    rows = texts.select(F.xxhash64("id").alias("h"), "text")
+    n = ids.count()
+    bits = max(1 << 20, 1 << (n * FILTER_BITS_A_TEXT - 1).bit_length())
+    if bits > FILTER_MOST:
+        # Beyond what may be broadcast, a join finds the texts.
+        rows, shared = rows.join(ids, "h", "left_semi"), None
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(_marked(ids, bits))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for batch in batches:
-            at = batch.column("h").to_numpy(zero_copy_only=False) % FILTER_BITS
-            chosen = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            for _, sets in _sets([chosen], size):
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
-
-    sets = texts.select(F.xxhash64("id").alias("h"), "text").mapInArrow(whole, "fp binary, set array<long>")
-    sets = written(sets, "sets")
-    # Not narrow: rows of one pair meet where the sets do, so this is the stage that reads them.
-    links = cut(verified(pairs, sets, percent).distinct())
+        chosen = batches if shared is None else (batch.filter(pa.array(_passes(batch.column("h"), shared.value, bits))) for batch in batches)
+        for _, sets in _sets(chosen, size):
+            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
+
+    sets = written(rows.mapInArrow(whole, "fp binary, set array<long>"), "sets")
+    if shared is not None:
+        shared.destroy()
+    links = written(verified(pairs, sets, percent).distinct(), "links")
     discard(sets)
-    _freed(spark)
     return links
 
 
