@@ -6,7 +6,7 @@ payload that lines are put in order by (else their place in the input).
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outlyr import config
@@ -22,9 +22,10 @@ def events(spark: SparkSession, path: str, order: str | None) -> DataFrame:
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.try_parse_json("value").alias("payload"))
     if order is None:
         return lines
-    # A time is its own order; its microseconds, then the place in the input, make a unique number.
+    # Lines are put in order by time, then by their place in the input; those without a time come first. Their numbers are
+    # places in a sorted table, so that no task numbers them all and no two lines share one.
     at = F.unix_micros(F.try_to_timestamp(paths.at(F.col("payload"), order, "string")))
-    return lines.withColumn("seq", F.coalesce(at, F.lit(0)) * 1024 + F.row_number().over(Window.partitionBy(at).orderBy("seq")) % 1024)
+    return lines.withColumn("_at", at).orderBy(F.col("_at").asc_nulls_first(), "seq").select(F.monotonically_increasing_id().alias("seq"), "payload")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -37,6 +37,13 @@ class Config:
     features: dict[str, dict[str, Field]]
     cohorts: tuple[Cohort, ...]
     identifiers: tuple[str, ...] = ()
+    database: dict = field(default_factory=lambda: {"type": "memory"})  #: type and path; a path is where the state table lies
+    dump_results: bool = False  #: whether inputs and responses are written as JSON beside the results
+
+
+MODELS = ("HalfSpaceTrees", "Autoencoder", "NoOp")
+#: The set of features of a cohort that names none.
+NO_FEATURES = ""
 
 
 def encoder_of(f: Field, model: str) -> str:
@@ -47,27 +54,40 @@ def encoder_of(f: Field, model: str) -> str:
     return name
 
 
-def _field(raw) -> Field:
+def _named(raw: str | dict) -> tuple[str, dict]:
+    """A name, or a name (also called type) with params, which may stand beside it."""
+    if isinstance(raw, str):
+        return raw, {}
+    own = {k: v for k, v in raw.items() if k not in ("name", "type", "params")}
+    return raw.get("name", raw.get("type")), own | (raw.get("params") or {})
+
+
+def _field(raw: str | dict) -> Field:
     if isinstance(raw, str):
         return Field(raw)
-    how = raw.get("preprocessor")
-    name, params = (how, {}) if isinstance(how, str) or how is None else (how["type"], {k: v for k, v in how.items() if k != "type"} | how.get("params", {}))
-    params.pop("params", None)
+    name, params = (None, {}) if raw.get("preprocessor") is None else _named(raw["preprocessor"])
     return Field(raw["type"], name, params, raw.get("source"))
 
 
 def parse(raw: dict) -> Config:
     """A configuration from a parsed YAML document. Order is kept: aliases and overrides see earlier entries only."""
-    features = {name: {k: _field(v) for k, v in fields.items()} for name, fields in raw.get("features", {}).items()}
+    features = {name: {k: _field(v) for k, v in (fields or {}).items()} for name, fields in (raw.get("features") or {}).items()}
     cohorts = []
-    for c in raw.get("cohorts", ()):
-        model = c.get("model", "HalfSpaceTrees")
-        kind, params = (model, {}) if isinstance(model, str) else (model["type"], dict(model.get("params", {})))
-        name = c.get("features_config", c.get("features", "default"))
-        if name not in features:
-            raise ValueError(f"cohort '{c['name']}' names the unknown features_config '{name}'")
-        cohorts.append(Cohort(c["name"], tuple(c.get("fields", ())), float(c.get("weight", 1.0)), kind, name, params, int(c.get("warmup_count", 0)), c.get("lru_size")))
-    return Config(features, tuple(cohorts), tuple(raw.get("identifiers", ())))
+    for c in raw.get("cohorts") or ():
+        kind, params = _named(c.get("model", "HalfSpaceTrees"))
+        if kind not in MODELS:
+            raise ValueError(f"Unknown model: '{kind}'. Available: {list(MODELS)}")
+        name = c["features_config"] if "features_config" in c else c.get("features", "default")
+        if name is None:
+            name = NO_FEATURES
+            features.setdefault(name, {})
+        elif name not in features:
+            raise ValueError(f"Cohort '{c['name']}' references unknown features_config '{name}'. Available: {list(features)}")
+        # A warm-up counts for the cohort wherever it is given.
+        warmup = c.get("warmup_count") if c.get("warmup_count") is not None else params.get("warmup_count", 0) if kind != "Autoencoder" else 0
+        cohorts.append(Cohort(c["name"], tuple(c.get("fields") or ()), float(c.get("weight", 1.0)), kind, name, params, int(warmup or 0), c.get("lru_size")))
+    debug = raw.get("debug") or {}
+    return Config(features, tuple(cohorts), tuple(raw.get("identifiers") or ()), dict(raw.get("database") or {"type": "memory"}), bool(debug.get("dump_results", False)))
 
 
 def load(path: str) -> Config:

@@ -37,9 +37,12 @@ def axes(df: DataFrame, vector: str, order: list[str], warmup: int, dim: int) ->
     rows = df.filter(F.col(vector).isNotNull()).orderBy(*order).limit(warmup).select(vector).collect()
     if len(rows) < warmup:
         return None
-    x = np.array([r[0] for r in rows], np.float64)
+    return leading(np.array([r[0] for r in rows], np.float64), dim)
+
+
+def leading(x: np.ndarray, dim: int) -> np.ndarray:
+    """The first right singular vectors of the centred rows, as columns; their signs are those of their largest entries."""
     found = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][:dim]
-    # The sign is that of the largest entry, so that it does not depend on the machine.
     return (found * np.sign(found[np.arange(len(found)), np.abs(found).argmax(1)])[:, None]).T
 
 

@@ -12,7 +12,7 @@ import math
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyr.operators import windows
@@ -92,54 +92,60 @@ def paths(features: Column, forests: list[Forest], slice_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), down)
 
 
-def code(tree: Column, node: Column, height: int) -> Column:
-    return tree * (2 << height) + node
-
-
 def masses(window_rows: DataFrame, keys: list[str], forests: list[Forest], features: str, slice_: str) -> DataFrame:
-    """keys, mass: MAP<node code, events> of each key's reference window (at most trees * 2^(height + 1) entries)."""
-    height = forests[0].height
+    """keys, mass: ARRAY by tree of ARRAY by node of the events of each key's reference window, so a look-up takes one step."""
+    nodes = 2 << forests[0].height
     walked = window_rows.select(*keys, F.posexplode(paths(F.col(features), forests, F.col(slice_))).alias("tree", "path"))
-    visits = walked.select(*keys, F.explode(F.transform("path", lambda n: code(F.col("tree"), n, height))).alias("code"))
-    counts = visits.groupBy(*keys, "code").agg(F.count("*").alias("n"))
-    return counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("mass"))
+    counts = walked.select(*keys, "tree", F.explode("path").alias("node")).groupBy(*keys, "tree", "node").agg(F.count("*").cast("int").alias("n"))
+    held = counts.groupBy(*keys, "tree").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("held"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(nodes - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)))
+    per = held.select(*keys, "tree", dense.alias("dense")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("tree", "dense"))).alias("per"))
+    return per.select(*keys, F.transform("per", lambda x: x["dense"]).alias("mass"))
 
 
 def reference_rows(train: DataFrame, keys: list[str], order: list[str], window: int, slices: int = 1) -> DataFrame:
     """The rows of each key's reference window after its last row, with slice, age and trained (the key's rows).
 
-    Rows are numbered inside their key; where a key holds most rows, pass a train frame of its last rows only.
+    The window lies in the last 2 * window rows of a key at most. Spark keeps as many for each task before the shuffle, so
+    a key that holds most rows costs no more than others; rows are numbered from the key's count.
     """
-    rows = windows.numbered(train, keys, order)
-    total = rows.groupBy(*keys).agg(F.max("at").alias("trained"))
+    total = train.groupBy(*keys).agg(F.count("*").alias("trained"))
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
+    rows = train.withColumn("_back", back).filter(F.col("_back") <= 2 * window)
     active = total.withColumn("active", windows.active_slice(F.col("trained"), window, slices)).filter("active is not null")
-    active = active.select(*keys, "trained", "active.slice", "active.window", "active.age")
-    joined = rows.join(active, [rows[k].eqNullSafe(active[k]) for k in keys]).select(rows["*"], "trained", "slice", "window", "age")
+    active = active.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "trained", "active.slice", "active.window", "active.age")
+    joined = rows.join(active, [rows[k].eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
+    joined = joined.withColumn("at", F.col("trained") - F.col("_back") + 1).drop("_back")
     offset = F.col("slice") * (window // slices)
     return joined.filter(F.floor((F.col("at") - 1 - offset) / window) == F.col("window"))
 
 
 def fit(train: DataFrame, keys: list[str], order: list[str], features: str, forests: list[Forest], window: int) -> DataFrame:
-    """The model of each key that has had a whole window: keys, slice, age, mean (ARRAY), mass (MAP)."""
+    """The model of each key that has had a whole window: keys, slice, age, mean (ARRAY), mass (ARRAY by tree and node)."""
     rows = reference_rows(train, keys, order, window, len(forests))
     n = len(forests[0].names)
-    # A node that the window never visits is not in the map and has no mass.
     means = rows.groupBy(*keys).agg(F.first("slice").alias("slice"), F.first("age").alias("age"), F.array(*[F.coalesce(F.avg(F.get(features, F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("mean"))
     mass = masses(rows, keys, forests, features, "slice")
     return means.join(mass, [means[k].eqNullSafe(mass[k]) for k in keys]).select(means["*"], "mass")
 
 
 def raw_score(features: Column, slice_: Column, mass: Column, forests: list[Forest], window: int) -> Column:
-    """From 0 (as the window) to 1 (unlike it)."""
+    """From 0 (as the window) to 1 (unlike it). One walk down each tree adds up what it passes."""
+    f, t = _flat(forests)
     trees, height = forests[0].trees, forests[0].height
-    held = lambda tree, n: F.coalesce(F.try_element_at(mass, code(tree, n, height)), F.lit(0))
-    steps = F.transform(paths(features, forests, slice_), lambda path, tree: F.transform(path, lambda n, d: F.struct(held(tree, n).alias("m"), d.alias("d"))))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(True).alias("open"))
+    state = lambda node, total, weight, open_: F.struct(node.alias("node"), total.alias("total"), weight.alias("weight"), open_.alias("open"))
+
+    def down(held: Column, tree: Column) -> Column:
+        base = (slice_ * trees + tree) * (1 << height)
 
-    def add(acc: Column, s: Column) -> Column:
-        return F.struct((acc["sum"] + F.when(acc["open"], s["m"] * F.pow(F.lit(2.0), s["d"])).otherwise(0.0)).alias("sum"), (acc["open"] & (s["m"] >= LITTLE * window)).alias("open"))
+        def step(s: Column, _: Column) -> Column:
+            m, at = F.get(held, s["node"]), (base + s["node"]).cast("int")
+            right = F.coalesce(F.round(F.get(features, F.get(f, at)), 9) >= F.get(t, at), F.lit(False)).cast("int")
+            return state(s["node"] * 2 + right, s["total"] + F.when(s["open"], m * s["weight"]).otherwise(0.0), s["weight"] * 2, s["open"] & (m >= LITTLE * window))
 
-    total = F.aggregate(F.transform(steps, lambda p: F.aggregate(p, start, add)["sum"]), F.lit(0.0), lambda a, x: a + x)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(height)), state(F.lit(1), F.lit(0.0), F.lit(1.0), F.lit(True)), step, lambda s: s["total"])
+
+    total = F.aggregate(F.transform(mass, down), F.lit(0.0), lambda a, x: a + x)
     return 1 - total / float(trees * window * ((2 << height) - 1))
 
 
@@ -156,23 +162,25 @@ def limit_error(features: Column, forest: Forest) -> Column:
     return F.coalesce(*tests, F.lit(None).cast("string"))
 
 
-def scored(events: DataFrame, model: DataFrame, keys: list[str], features: str, forests: list[Forest], window: int, explain: bool = False) -> DataFrame:
+def scored(events: DataFrame, model: DataFrame, keys: list[str], features: str, forests: list[Forest], window: int, explain: bool = False, groups: dict[str, list[int]] | None = None) -> DataFrame:
     """events with score (NULL for a key without a model), reference_age, and, if asked for, explanation.
 
-    explanation: STRUCT<baseline, features>: the score of the window's mean, and of each feature what its own value
-    adds to it, the largest change first.
+    explanation: STRUCT<baseline, features>: the score of the window's mean, and of each feature (or group of features, by
+    their numbers) what its own values add to it, the largest change first. A group of one shows its value.
     """
     known = model.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice").alias("_slice"), F.col("age").alias("reference_age"), F.col("mean").alias("_mean"), F.col("mass").alias("_mass"))
-    joined = events.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left") if keys else events.join(F.broadcast(known), how="left")
     score = lambda f: F.when(F.col("_mass").isNotNull(), score_of(raw_score(f, F.col("_slice"), F.col("_mass"), forests, window)))
+    if explain:
+        # The mean's score belongs to the model, not to each event.
+        known = known.withColumn("_base", score(F.col("_mean")))
+    joined = events.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left") if keys else events.join(F.broadcast(known), how="left")
     out = joined.withColumn("score", score(F.col(features)))
     if explain:
-        names = forests[0].names
-        out = out.withColumn("_base", score(F.col("_mean")))
-        deltas = []
-        for i, name in enumerate(names):
-            only = F.array(*[F.get(F.col(features) if k == i else F.col("_mean"), F.lit(k)) for k in range(len(names))])
-            deltas.append(F.struct(F.lit(name).alias("field"), F.get(features, F.lit(i)).alias("value"), (score(only) - F.col("_base")).alias("delta"), F.lit(i).alias("at")))
+        names, deltas = forests[0].names, []
+        for at, (name, own) in enumerate((groups or {n: [i] for i, n in enumerate(names)}).items()):
+            only = F.array(*[F.get(F.col(features) if k in own else F.col("_mean"), F.lit(k)) for k in range(len(names))])
+            value = F.get(features, F.lit(own[0])) if len(own) == 1 else F.lit(None).cast("double")
+            deltas.append(F.struct(F.lit(name).alias("field"), value.alias("value"), (score(only) - F.col("_base")).alias("delta"), F.lit(at).alias("at")))
         by_size = lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(a["at"] - b["at"])
         listed = F.array_sort(F.array(*deltas), by_size)
         out = out.withColumn("explanation", F.when(F.col("_mass").isNotNull(), F.struct(F.round("_base", 4).alias("baseline"), F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.round(x["delta"], 4).alias("delta"))).alias("features"))))

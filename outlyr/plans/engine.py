@@ -12,7 +12,11 @@ cohort has warmup_count, the first rows of a key are scaled by the statistics af
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyr.config import Cohort, Config, Field, encoder_of
@@ -20,8 +24,29 @@ from outlyr.functions import extract, labels, paths
 from outlyr.operators import autoencoder, composite, drain, encoders, projection, trees
 
 ORDER = ["phase", "seq"]
-#: Columns that a one-hot hash is folded into for trees, which need a fixed set of features.
-FOLDED = 16
+#: Rows of a block of the arrival order, by which a cohort that holds all rows adds up its statistics.
+BLOCK_ROWS = 50_000
+SHOWN = "ARRAY<STRUCT<field: STRING, value: STRING, preprocessed: MAP<STRING, ARRAY<DOUBLE>>, raw: MAP<STRING, STRING>>>"
+TOLD = "STRUCT<baseline: DOUBLE, features: ARRAY<STRUCT<field: STRING, value: DOUBLE, delta: DOUBLE>>>"
+
+
+@dataclass(frozen=True)
+class Feature:
+    """What an encoder makes of a field: columns, and how they are named, bounded and shown."""
+
+    field: str
+    name: str  #: the field, or field__bucket
+    columns: tuple[str, ...]
+    limits: tuple[float, float] | None = None  #: None: the encoder has none
+    is_category: bool = False
+    key: Column | None = None  #: the name, where it depends on the row
+    values: Column | None = None  #: what is shown, where it is not the columns
+    raw: Column | None = None
+
+    def shown(self) -> tuple[Column, Column, Column]:
+        """Name, values (NULL if absent) and raw text."""
+        values = F.array(*[F.col(c).cast("double") for c in self.columns]) if self.values is None else self.values
+        return F.lit(self.name) if self.key is None else self.key, F.when(F.col(self.columns[0]).isNotNull(), values), F.lit(None).cast("string") if self.raw is None else self.raw
 
 
 class Engine:
@@ -49,30 +74,34 @@ class Engine:
 
     # Encoding
 
-    def _scaler(self, df: DataFrame, v: str, out: str, kind: str, warmup: int = 0) -> DataFrame:
+    def _blocks(self, events: DataFrame) -> Column:
+        """A block for each stretch of the arrival order: equal parts of its range, of about BLOCK_ROWS rows."""
+        low, high, n = events.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+        step = max(1, int((high - low + 1) / max(1, n / BLOCK_ROWS))) if n else 1
+        return F.expr(f"seq div {step}")
+
+    def _scaler(self, df: DataFrame, v: str, out: str, kind: str, warmup: int = 0, block: Column | None = None) -> DataFrame:
         """df with out. The first warmup learned rows of a key wait for the statistics after the last of them; NULL if it never comes."""
         names = ("n", "mean", "std", "low", "high")
         learned = F.when(F.col("phase") == 0, F.col(v))
-        if self.block is not None:
-            known = encoders.blocks(df.withColumn("_v", learned), "_v", ["key"], ORDER, F.struct("phase", self.block)).drop("_v")
+        if block is not None:
+            known = encoders.blocks(df.withColumn("_v", learned), "_v", ["key"], ORDER, F.struct("phase", block)).drop("_v")
         else:
             known = df.withColumns(encoders.statistics(learned, encoders.running(["key"], ORDER)))
         stats = [F.col(c) for c in names]
         waits = F.lit(False)
         if warmup:
-            known, waits = self._warm(known, warmup, names)
+            known, waits = self._warm(known, warmup, names, block)
             stats = [F.when(waits, F.col("_then")[c]).otherwise(F.col(c)) for c in names]
         made = encoders.z_score(F.col(v), *stats) if kind == "StandardScaler" else encoders.scaled(F.col(v), *stats[3:])
         if warmup:
             made = F.when(~waits | F.col("_then").isNotNull(), made)
         return known.withColumn(out, made).drop(*names, "_then", "_last")
 
-    def _warm(self, known: DataFrame, warmup: int, names: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    def _warm(self, known: DataFrame, warmup: int, names: tuple[str, ...], block: Column | None) -> tuple[DataFrame, Column]:
         """known with _then, the statistics at each key's learned row number warmup, and the rows that wait for them."""
-        from pyspark.sql import Window
-
         then = F.struct(*names)
-        if self.block is None:
+        if block is None:
             at = F.when((F.col("phase") == 0) & (F.col("number") == warmup), then)
             return known.withColumn("_then", F.max(at).over(Window.partitionBy("key"))), (F.col("phase") == 0) & (F.col("number") <= warmup)
         # A limit on the rank keeps warmup rows of a key for each task before the shuffle (up to Spark's threshold, 1000).
@@ -81,82 +110,118 @@ class Engine:
         joined = known.join(last, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
         return joined, (F.col("phase") == 0) & F.coalesce(F.col("seq") <= F.col("_last"), F.lit(True))
 
-    def _encode(self, df: DataFrame, cohort: Cohort, names: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str, tuple[float, float]]], list[str], Column]:
+    def _axes(self, df: DataFrame, vector: str, warmup: int, dim: int, out: str) -> DataFrame:
+        """df with out: vectors on the leading axes of their key's first warmup learned ones; NULL where a key has fewer."""
+        if warmup < dim:
+            raise ValueError(f"warmup_count {warmup} is below embed_dim {dim}")
+        place = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+        first = df.filter((F.col("phase") == 0) & F.col(vector).isNotNull()).select("key", "seq", F.col(vector).alias("v")).withColumn("_place", place).filter(F.col("_place") <= warmup)
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            if len(rows) < warmup:
+                return pd.DataFrame({"_key": [], "_axes": []})
+            found = projection.leading(np.stack(rows.sort_values("seq")["v"].to_numpy()), dim)
+            return pd.DataFrame({"_key": [rows["key"].iloc[0]], "_axes": [found.T.tolist()]})
+
+        # A key's group has warmup rows at most.
+        axes = first.drop("_place").groupBy("key").applyInPandas(fit, "_key string, _axes array<array<double>>")
+        dot = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        joined = df.join(axes, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+        return joined.withColumn(out, F.when(F.col("_axes").isNotNull() & F.col(vector).isNotNull(), F.transform("_axes", dot))).drop("_axes")
+
+    def _encode(self, df: DataFrame, cohort: Cohort, names: dict[str, str]) -> tuple[DataFrame, list[tuple[str, str, tuple[float, float] | None]], list[str], Column]:
         """df with encoded columns; the numeric ones with their names and limits, the categorical ones, and the row's error."""
-        numbers, categories, errors = [], [], [F.lit(None).cast("string")]
+        df, features, error = self._features(df, cohort, names)
+        numbers = [(f.name if len(f.columns) == 1 else f"{f.name}__{i}", c, f.limits) for f in features if not f.is_category for i, c in enumerate(f.columns)]
+        return df, numbers, [c for f in features if f.is_category for c in f.columns], error
+
+    def _features(self, df: DataFrame, cohort: Cohort, names: dict[str, str]) -> tuple[DataFrame, list[Feature], Column]:
+        """df with the columns of its features, and the row's error."""
+        features, errors = [], [F.lit(None).cast("string")]
+        # The rows of a cohort without fields are all in one key.
+        block = self.block if self.block is not None else self._blocks(df) if not cohort.fields else None
+        embedded = cohort.model == "Autoencoder"
         for k, (name, c) in enumerate(names.items()):
             f = self._field(cohort, name)
             encoder, p, out = encoder_of(f, cohort.model), f.params, f"n{k}"
             text = F.col(c).cast("string")
             if encoder in ("StandardScaler", "MinMaxScaler"):
-                df = self._scaler(df, c, out, encoder, cohort.warmup)
-                numbers.append((name, out, (-encoders.CLIP, encoders.CLIP) if encoder == "StandardScaler" else (0.0, 1.0)))
+                df = self._scaler(df, c, out, encoder, cohort.warmup, block)
+                features.append(Feature(name, name, (out,), (-encoders.CLIP, encoders.CLIP) if encoder == "StandardScaler" else None))
             elif encoder == "FrequencyEncoder":
                 v = F.when(F.col("phase") == 0, text)
                 seen, before = F.count(v).over(encoders.earlier(["key", c], ORDER)), F.count(v).over(encoders.earlier(["key"], ORDER))
                 df = df.withColumn(out, F.when(text.isNull(), None).when(before == 0, F.lit(0.0)).otherwise(seen / F.when(before > 0, before)))
-                numbers.append((name, out, (0.0, 1.0)))
-            elif encoder in ("LabelIndex", "OneHotEncoder"):
+                features.append(Feature(name, name, (out,)))
+            elif encoder == "LabelIndex":
                 df = encoders.label_index(df, c, ["key"], ORDER, out)
-                if encoder == "LabelIndex" and cohort.model == "Autoencoder":
-                    categories.append(out)
-                elif encoder == "LabelIndex":
-                    numbers.append((name, out, (0.0, float(p.get("expected_categories", 200)))))
-                else:
-                    n = p.get("n_categories", 10)
-                    errors.append(encoders.one_hot_error(F.col(out), name, n))
-                    for i in range(1, n + 1):
-                        df = df.withColumn(f"{out}_{i}", F.when(F.col(out).isNotNull(), (F.col(out) == i).cast("double")))
-                        numbers.append((f"{name}__{i}", f"{out}_{i}", (0.0, 1.0)))
-            elif encoder in ("HashIndex", "OneHotHashEncoder"):
-                n = p.get("n_features", 2000 if encoder == "HashIndex" else 1_048_576)
+                features.append(Feature(name, name, (out,), (0.0, float(p.get("expected_categories", 200))), embedded))
+            elif encoder == "OneHotEncoder":
+                df = encoders.label_index(df, c, ["key"], ORDER, out)
+                n = p.get("n_categories", 10)
+                errors.append(encoders.one_hot_error(F.col(out), name, n))
+                df = df.withColumns({f"{out}_{i}": F.when(F.col(out).isNotNull(), (F.col(out) == i).cast("double")) for i in range(1, n + 1)})
+                features += [Feature(name, f"{name}__{i}", (f"{out}_{i}",)) for i in range(1, n + 1)]
+            elif encoder == "HashIndex":
+                n = p.get("n_features", 2000)
                 df = df.withColumn(out, encoders.hash_index(name, text, n, p.get("seed", 0)))
-                if cohort.model == "Autoencoder":
-                    categories.append(out)
-                elif encoder == "HashIndex":
-                    numbers.append((name, out, (0.0, float(n))))
-                else:
-                    for i in range(FOLDED):
-                        df = df.withColumn(f"{out}_{i}", F.when(F.col(out).isNotNull(), (F.col(out) % FOLDED == i).cast("double")))
-                        numbers.append((f"{name}__{i}", f"{out}_{i}", (0.0, 1.0)))
+                features.append(Feature(name, name, (out,), (0.0, float(n)), embedded))
+            elif encoder == "OneHotHashEncoder":
+                # One of n columns is 1; a fixed set of features holds which one, as its place among all.
+                n = p.get("n_features", 1_048_576)
+                df = df.withColumn(out, encoders.hash_index(name, text, n, p.get("seed", 0)))
+                bucket = F.concat(F.lit(f"{name}__"), F.col(out).cast("string"))
+                if not embedded:
+                    df = df.withColumn(f"{out}_place", F.col(out) / float(n))
+                features.append(Feature(name, name, (out if embedded else f"{out}_place",), None, embedded, bucket, F.array(F.lit(1.0))))
             elif encoder == "Drain3Encoder":
                 given = {own: p[k] for k, own in (("similarity", "similarity"), ("most", "most"), ("depth", "depth"), ("sim_th", "similarity"), ("max_clusters", "most")) if k in p}
                 slots, n = p.get("max_vars", 20), p.get("n_hash_features", 2000)
                 found = drain.templates(df.select("key", *ORDER, c), ["key"], ORDER, c, "seq", learns="phase = 0", keep=["phase"], **given)
                 hashed = [encoders.hash_index(name, F.get("variables", F.lit(i)), n, p.get("seed", 0)).alias(f"{out}_v{i}") for i in range(slots)]
-                df = df.join(found.select("key", *ORDER, F.col("template_id").alias(out), *hashed), ["key", *ORDER], "left")
-                if cohort.model == "Autoencoder":
-                    categories += [out, *[f"{out}_v{i}" for i in range(slots)]]
-                else:
-                    numbers.append((f"{name}__template", out, (0.0, float(given.get("most", 200)))))
-                    numbers += [(f"{name}__var_{i}", f"{out}_v{i}", (0.0, float(n))) for i in range(slots)]
+                df = df.join(found.select("key", *ORDER, F.col("template_id").alias(out), F.col("template").alias(f"{out}_t"), F.col("variables").alias(f"{out}_w"), *hashed), ["key", *ORDER], "left")
+                features.append(Feature(name, f"{name}__template", (out,), (0.0, float(given.get("most", 200))), embedded, raw=F.col(f"{out}_t")))
+                features += [Feature(name, f"{name}__var_{i}", (f"{out}_v{i}",), (0.0, float(n)), embedded, raw=F.get(f"{out}_w", F.lit(i))) for i in range(slots)]
             elif encoder == "SentenceTransformerEncoder":
                 dim = p.get("embed_dim", 8)
-                df = df.withColumn(out, projection.projected(projection.hashed_vector(text), projection.matrix(64, dim, p.get("seed", 42))))
-                for i in range(dim):
-                    df = df.withColumn(f"{out}_{i}", F.get(out, F.lit(i)))
-                    numbers.append((f"{name}__{i}", f"{out}_{i}", (-1.0, 1.0)))
-            elif encoder == "NoOp":
-                df = df.withColumn(out, F.lit(0.0))
-                numbers.append((name, out, (-1.0, 1.0)))
+                df = df.withColumn(f"{out}_e", projection.hashed_vector(F.when(F.btrim(text) != "", text)))
+                if cohort.warmup:
+                    df = self._axes(df, f"{out}_e", cohort.warmup, dim, out)
+                else:
+                    df = df.withColumn(out, projection.projected(F.col(f"{out}_e"), projection.matrix(64, dim, p.get("seed", 42))))
+                df = df.drop(f"{out}_e").withColumns({f"{out}_{i}": F.get(out, F.lit(i)) for i in range(dim)})
+                features.append(Feature(name, name, tuple(f"{out}_{i}" for i in range(dim))))
             else:
-                df = df.withColumn(out, F.col(c).cast("double"))
-                # A pass-through has the limits of what it holds: flags, octets and clock fields are known, others are open.
-                numbers.append((name, out, (0.0, 1.0) if f.type == "boolean" else (-1e308, 1e308)))
-        return df, numbers, categories, F.coalesce(*errors, F.lit(None).cast("string"))
+                df = df.withColumn(out, F.when(F.col(c).isNotNull(), 0.0) if encoder == "NoOp" else F.col(c).cast("double"))
+                features.append(Feature(name, name, (out,)))
+        return df, features, F.coalesce(*errors, F.lit(None).cast("string"))
+
+    def _shown(self, names: dict[str, str], features: list[Feature], encoded: Column) -> Column:
+        """The extracted fields of a row with what their encoders made of them; bare where encoded is false."""
+        fields = []
+        for name, c in names.items():
+            parts = [f.shown() for f in features if f.field == name]
+            has = lambda x: encoded & x.isNotNull()
+            made = F.map_from_entries(F.array_compact(F.array(*[F.when(has(v), F.struct(k.alias("key"), v.alias("value"))) for k, v, _ in parts]))) if parts else F.create_map()
+            raw = F.map_from_entries(F.array_compact(F.array(*[F.when(has(v) & r.isNotNull(), F.struct(k.alias("key"), r.alias("value"))) for k, v, r in parts]))) if parts else F.create_map()
+            raw = raw.cast("map<string,string>")
+            fields.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(name).alias("field"), F.col(c).cast("string").alias("value"), made.cast("map<string,array<double>>").alias("preprocessed"), F.when(F.size(raw) > 0, raw).alias("raw"))))
+        return F.array_compact(F.array(*fields)).cast(SHOWN) if fields else F.array().cast(SHOWN)
 
     # Models
 
     def _cohort(self, events: DataFrame, cohort: Cohort, names: dict[str, str], explain: bool) -> DataFrame:
         """seq, key, anomaly_score, failed, properties, explanation of each scored event."""
-        empty = "STRUCT<baseline: DOUBLE, features: ARRAY<STRUCT<field: STRING, value: DOUBLE, delta: DOUBLE>>>"
+        empty = TOLD
         none = [F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("string").alias("failed"), F.create_map().cast("map<string,long>").alias("properties"), F.lit(None).cast(empty).alias("explanation")]
         if cohort.model == "NoOp":
             return events.filter("phase = 1").select("seq", "key", *none)
-        from pyspark.sql import Window
-
         number = F.row_number().over(Window.partitionBy("key").orderBy(*ORDER))
-        rows, numbers, categories, error = self._encode(events.withColumn("number", number), cohort, names)
+        # Only a warm-up without blocks asks for the number of a row.
+        numbered = events.withColumn("number", number) if cohort.warmup and cohort.fields and self.block is None else events
+        rows, features, error = self._features(numbered, cohort, names)
+        numbers = [(f.name, f"{f.name}__{i}", c, f.limits) for f in features if not f.is_category for i, c in enumerate(f.columns)]
+        categories = [c for f in features if f.is_category for c in f.columns]
         rows = rows.withColumn("failed", error)
         if cohort.model == "Autoencoder":
             p = {"buffer_size": "buffer", "retrain_every": "every", "epochs_per_retrain": "epochs", "warmup_count": "warmup", "batch_size": "batch", "embed_dim": "embed", "bottleneck": "bottleneck", "vocab_headroom": "headroom", "lr": "rate", "seed": "seed"}
@@ -169,11 +234,11 @@ class Engine:
                 if encoder_of(f, cohort.model) == "Drain3Encoder":
                     size = max(f.params.get("max_clusters", f.params.get("most", 200)), f.params.get("n_hash_features", 2000))
                     slots |= {c: size for c in categories if c == f"n{k}" or c.startswith(f"n{k}_v")}
-            out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"], slots=slots)
+            out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"], slots=slots)
             shown = F.create_map(F.lit("buffer_size"), "buffered", F.lit("events_since_retrain"), F.coalesce("events_since_retrain", F.lit(0)))
             told = F.lit(None).cast(empty)
             if explain:
-                own = dict([(c, n) for n, c, _ in numbers] + [(f"n{k}", n) for k, n in enumerate(names)] + [(c, list(names)[int(c[1:].split("_")[0])]) for c in slots if "_" in c])
+                own = {c: f.field for f in features for c in f.columns}
                 field = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in own.items() for v in kv]), x), x)
                 parts = F.transform("parts", lambda x: F.struct(field(x["field"]).alias("field"), x["delta"].alias("delta")))
                 share = lambda f: F.aggregate(F.filter(parts, lambda x: x["field"] == f), F.lit(0.0), lambda s, x: s + x["delta"])
@@ -186,16 +251,17 @@ class Engine:
         window, count, slices = cohort.params.get("window_size", 250), cohort.params.get("n_trees", 25), cohort.params.get("sliding_steps", 1)
         if not 1 <= slices <= window:
             raise ValueError(f"sliding_steps {slices} is not between 1 and {window}")
-        # Open limits take the range that standardised values have.
-        limits = [(-encoders.CLIP, encoders.CLIP) if low < -1e300 else (low, high) for _, _, (low, high) in numbers]
-        forests = [trees.grow([n for n, _, _ in numbers], limits, count, cohort.params.get("height") or trees.default_height(window), k) for k in range(slices)]
-        rows = rows.withColumn("features", F.array(*[F.col(c).cast("double") for _, c, _ in numbers]))
-        checked = [F.when((F.col(c) < low) | (F.col(c) > high), F.concat(F.lit(f"feature '{n}' = "), F.col(c).cast("string"), F.lit(f" is outside expected range [{low}, {high}]"))) for n, c, (low, high) in numbers if low > -1e300]
-        rows = rows.withColumn("failed", F.coalesce("failed", *checked))
+        # An encoder without limits is drawn, and held, between -1 and 1.
+        limits = [limit or (-1.0, 1.0) for *_, limit in numbers]
+        forests = [trees.grow([n for _, n, *_ in numbers], limits, count, cohort.params.get("height") or trees.default_height(window), k) for k in range(slices)]
+        rows = rows.withColumn("features", F.array(*[F.col(c).cast("double") for _, _, c, _ in numbers]))
+        rows = rows.withColumn("failed", F.coalesce("failed", trees.limit_error(F.col("features"), forests[0])))
         # Rows are used twice, by the fit and by the scores; the model itself is small.
         train = rows.filter("phase = 0 and failed is null").select("key", *ORDER, "features")
         model = trees.fit(train, ["key"], ORDER, "features", forests, window)
-        out = trees.scored(rows.filter("phase = 1").select("seq", "key", "features", "failed"), model, ["key"], "features", forests, window, explain)
+        # A field is explained by all of its columns at once.
+        groups = {f.field: [i for i, (_, _, c, _) in enumerate(numbers) if c in {x for g in features if g.field == f.field for x in g.columns}] for f in features}
+        out = trees.scored(rows.filter("phase = 1").select("seq", "key", "features", "failed"), model, ["key"], "features", forests, window, explain, groups)
         said = F.col("explanation").cast(empty) if explain else F.lit(None).cast(empty)
         score = F.when(F.col("failed").isNull(), F.col("score"))
         return out.select("seq", "key", score.alias("anomaly_score"), "failed", F.when(F.col("reference_age").isNotNull(), F.create_map(F.lit("reference_age"), F.col("reference_age").cast("long"))).otherwise(F.create_map().cast("map<string,long>")).alias("properties"), said.alias("explanation"))
@@ -218,6 +284,30 @@ class Engine:
             out.append(F.when(self._error().isNull(), F.array(*each)).alias("cohorts"))
         return rows.select(*out)
 
+    def learned(self, ingest: DataFrame) -> DataFrame:
+        """seq, accepted, error, identifiers, cohorts of each learned event: what a service answers that is asked for features.
+
+        cohorts: name, features (field, value, preprocessed, raw). Rows that a warm-up holds back have nothing preprocessed;
+        an event that an encoder refuses is not accepted, and what none could tell is NULL.
+        """
+        rows, names = self._both(ingest, ingest.limit(0))
+        parts = None
+        for i, cohort in enumerate(self.config.cohorts):
+            key = composite.cohort_key(cohort.name, [extract.text(paths.at(F.col("payload"), f)) for f in cohort.fields])
+            used = rows.filter(self._error(i + 1).isNull()).select(*ORDER, key.alias("key"), *names[cohort.features].values())
+            used = used.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy(*ORDER)))
+            encoded, features, error = self._features(used, cohort, names[cohort.features])
+            shown = self._shown(names[cohort.features], features, F.col("number") >= cohort.warmup)
+            one = encoded.select("seq", F.lit(i).alias("at"), error.alias("failed"), F.struct(F.lit(cohort.name).alias("name"), shown.alias("features")).alias("cohort"))
+            parts = one if parts is None else parts.unionByName(one)
+        # As many rows for an event as there are cohorts.
+        per = parts.groupBy("seq").agg(F.min_by("failed", F.when(F.col("failed").isNotNull(), F.col("at"))).alias("_failed"), F.collect_list(F.struct("at", "cohort")).alias("_rows"))
+        asked = rows.select("seq", self._error().alias("_refused"), self._identifiers().alias("identifiers"))
+        out = asked.join(per, "seq", "left").withColumn("error", F.coalesce("_refused", "_failed"))
+        by_place = lambda a, b: a["at"] - b["at"]
+        cohorts = F.transform(F.array_sort("_rows", by_place), lambda x: x["cohort"])
+        return out.select("seq", F.col("error").isNull().alias("accepted"), "error", "identifiers", F.when(F.col("error").isNull(), cohorts).alias("cohorts"))
+
     def _identifiers(self) -> Column:
         found = paths.identifiers(F.col("payload"), list(self.config.identifiers)) if self.config.identifiers else F.lit(None)
         return found.cast("map<string,string>")

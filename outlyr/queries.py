@@ -312,9 +312,8 @@ fin AS (SELECT event_id, cohort, s.cohort_key, weight, CASE WHEN trained >= {PLA
 @query(f"WITH {_hst_sql(PLAN)} SELECT cohort_key, tree, node, mass FROM mass")
 def hst_mass(spark, sf_dir):
     _, model = detect.fit(_split(spark, sf_dir)[0], PLAN)
-    h = PLAN.forests()[0].height
-    out = model.select("cohort_key", F.explode("mass").alias("code", "mass"))
-    return out.select("cohort_key", F.expr(f"cast(code div {2 << h} as int)").alias("tree"), (F.col("code") % (2 << h)).cast("int").alias("node"), "mass")
+    trees_ = model.select("cohort_key", F.posexplode("mass").alias("tree", "held"))
+    return trees_.select("cohort_key", "tree", F.posexplode("held").alias("node", "mass")).filter("mass > 0").withColumn("mass", F.col("mass").cast("long"))
 
 
 @query(f"{_SCORED} SELECT event_id, cohort, cohort_key, round(score, 6) + 0.0 AS score, {_LABEL.replace('x ', 'round(score, 9) ')} AS label, reference_age FROM fin")
@@ -346,7 +345,7 @@ def hst_explain(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT l_extendedprice AS x FROM lineitem WHERE l_linenumber = 1), r AS (SELECT x, rank() OVER (ORDER BY x) - 1 AS below, count(*) OVER () AS n FROM b)
+WITH b AS (SELECT l_extendedprice AS x FROM lineitem), r AS (SELECT x, rank() OVER (ORDER BY x) - 1 AS below, count(*) OVER () AS n FROM b)
 SELECT DISTINCT x::DOUBLE AS x, round(100.0 * below / n, 6) AS percentile FROM r""")
 def percentile_score(spark, sf_dir):
     """The share of baseline errors below each, as a rank: sums of value ranges instead of an array of all values."""

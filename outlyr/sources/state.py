@@ -1,5 +1,6 @@
 """States and scores at rest: an append-only Parquet state table and report sinks."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,27 @@ class StateTable:
         self.spark, self.path = spark, path
 
     def save(self, states: DataFrame, version: int) -> None:
-        """Adds states (with model_type and model_key) as a version; a NULL state deletes its key from then on."""
+        """Adds states (with model_type and model_key) as a version, which holds for its keys from then on."""
         states.withColumns({"version": F.lit(version).cast("long"), "last_updated": F.current_timestamp()}).write.mode("append").parquet(self.path)
 
     def load(self, model_type: str | None = None) -> DataFrame:
-        rows = latest_state(self.spark.read.parquet(self.path), ["model_type", "model_key"], "version")
+        rows = latest_state(self.spark.read.option("mergeSchema", "true").parquet(self.path), ["model_type", "model_key"], "version")
+        if "deleted" in rows.columns:
+            rows = rows.filter(F.col("deleted").isNull()).drop("deleted")
         return rows if model_type is None else rows.filter(F.col("model_type") == model_type)
 
+    def delete(self, keys: DataFrame, version: int) -> None:
+        """Adds a version in which keys (model_type, model_key) have no state; an earlier version of them is not brought back."""
+        self.save(keys.select("model_type", "model_key", F.lit(True).alias("deleted")), version)
+
+    def latest_version(self) -> int:
+        """The highest version; -1 for a table that holds none yet."""
+        try:
+            last = self.spark.read.option("mergeSchema", "true").parquet(self.path).agg(F.max("version")).first()[0]
+        except AnalysisException:
+            return -1
+        return -1 if last is None else last
+
     def keys(self) -> DataFrame:
         return self.load().select("model_type", "model_key")
 

@@ -70,10 +70,12 @@ def test_vocabulary_grows_at_score_time_and_overflows(spark):
 @pytest.mark.parametrize("encoder", ["MinMaxScaler", "PassThrough", "NoOp", "StandardScaler"])
 def test_numeric_encoders(spark, encoder):
     raw = {"features": {"f": {"latency": {"type": "numeric", "preprocessor": encoder}}}, "cohorts": [hst()]}
-    out = run(spark, raw, ordinary(120), [{"latency": 103}, {"latency": 10_000}, {}])
+    # A pass-through has no limits of its own, so its values must lie between -1 and 1.
+    ingest = [{"latency": e["latency"] / 1000} for e in ordinary(120)] if encoder == "PassThrough" else ordinary(120)
+    out = run(spark, raw, ingest, [{"latency": ingest[3]["latency"]}, {"latency": 10_000}, {}])
     assert out[0].accepted and out[2].accepted
-    if encoder == "MinMaxScaler":
-        assert out[1].error.startswith("feature 'latency' = ") and out[1].error.endswith("is outside expected range [0.0, 1.0]")
+    if encoder in ("MinMaxScaler", "PassThrough"):
+        assert out[1].error.startswith("feature 'latency__0' = ") and out[1].error.endswith("is outside expected range [-1.0, 1.0]")
     elif encoder != "NoOp":
         assert out[1].composite_score >= out[0].composite_score
 
