@@ -188,7 +188,7 @@ def compile_fields(payload: Column, fields: dict[str, Field]) -> tuple[dict[str,
             values, error = json_expand(name, v, list(dict.fromkeys(wanted)))
             made |= {k: x.raw for k, x in values.items()}
         elif f.type in HANDLERS:
-            if source in found and source not in made and f.source is None:
+            if source in found:
                 v = F.coalesce(v, F.try_variant_get(F.to_variant_object(F.struct(found[source].value.alias("x"))), "$.x", "variant"))
             values, error = HANDLERS[f.type](name, v)
             found |= values

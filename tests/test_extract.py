@@ -84,3 +84,15 @@ def test_configuration():
         config.encoder_of(Field("numeric", "X"), "NoOp")
     with pytest.raises(ValueError, match="unknown features_config"):
         config.parse({"features": {}, "cohorts": [{"name": "c", "features_config": "no"}]})
+
+
+def test_sources_name_what_expansions_made(spark):
+    fields = {"raw": Field("json_expand"), "raw.v": Field("semver"), "minor": Field("numeric", source="raw.v.minor"), "raw.v.minor.x": Field("numeric", source="raw.v.minor")}
+    row = extract.extracted(spark.createDataFrame([('{"raw": "{\\"v\\": \\"2.7.1\\"}"}',)], "json string").select(F.parse_json("json").alias("payload")), fields).first()
+    assert row.accepted and row.features.minor == row.features["raw.v.minor.x"] == 7.0
+
+
+def test_ipv6_golden_value(spark):
+    frame = spark.createDataFrame([('{"ip": "2001:db8::1"}',)], "json string").select(F.parse_json("json").alias("payload"))
+    row = extract.extracted(frame, {"ip": Field("ip_address")}).first().features
+    assert row["ip.is_private"] == 1.0 and abs(row["ip.subnet_hash"] - 0.719720471119443) < 1e-12
