@@ -24,6 +24,8 @@ from outlyr.llm.common import discard, small_batches, table, written
 
 #: Texts of each language that are learned from, at most; they are read whole.
 SAMPLE_TEXTS = 512
+#: Languages whose counts are broadcast at most.
+BROADCAST_LANGUAGES = 1 << 16
 #: Bytes of one dictionary and of all together, at most: what the driver gets and each task holds.
 DICTIONARY_BYTES, ALL_BYTES = 1 << 18, 1 << 26
 #: Characters of a piece.
@@ -41,24 +43,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """lang, count (of its rows), text: of rows with a language and some text that are not held out, those with the smallest hashes.
+    """lang, count (of its rows), text, written: of rows with a language and some text that are not held out, those with the smallest hashes.
 
     A threshold on the hash, from the language's count, leaves about twice as many as are wanted before anything is
     shuffled, however many rows there are.
     """
     i, text, lang = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     rows = docs.filter(~held_out(i) & lang.isNotNull() & (text != "")).select(lang.alias("lang"), F.shiftrightunsigned(F.xxhash64(i), 1).alias("order"), text.alias("text"))
-    known = rows.groupBy("lang").count()
-    place = F.col("order") / float(1 << 63)
-    near = rows.join(known, "lang").filter(place * F.col("count") < 2 * SAMPLE_TEXTS + 64)
+    known = written(rows.groupBy("lang").count(), "counts")
+    # Counts are broadcast where they are known to be few; else a join finds the same rows.
+    few = F.broadcast(known) if known.count() <= BROADCAST_LANGUAGES else known
+    near = rows.join(few, "lang").filter(F.col("order") / float(1 << 63) * F.col("count") < 2 * SAMPLE_TEXTS + 64)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).select("lang", "count", "text")
+    taken = written(near.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_TEXTS).select("lang", "count", "text"), "languages")
+    discard(known)
+    return taken
 
 
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, bytes]:
     """The dictionary of each language that is present, the most frequent first."""
     # Many languages share ALL_BYTES, so each learns from a piece of what it would have alone.
-    taken = written(sampled(docs, id_col, text_col, lang_col), "languages")
+    taken = sampled(docs, id_col, text_col, lang_col)
     line = F.explode(F.split(F.lower("text"), "\n"))
     pieces = taken.select("lang", "count", line.alias("line")).filter(F.btrim("line") != "")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("line") - 1) / PIECE).cast("int")), lambda k: F.substring("line", k * PIECE + 1, F.lit(PIECE)))
