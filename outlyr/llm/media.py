@@ -4,8 +4,10 @@ encode() filters each scanline by the least sum of absolute differences (none, s
 them in chunks. decode() walks the chunks, tests each CRC, inflates, and undoes all five filters with numpy. The hash holds
 the signs, against their median, of the low-frequency cosine coefficients of the image.
 
-A null text is empty; an empty text is one line of padding; long texts give tall images, a line at a time in memory
-besides the bytes themselves. Equal bytes give equal columns. Only the two named columns are read.
+A null text is empty; an empty text is one line of padding; long texts give tall images. Filters, deflation and the hash
+work on blocks of lines, so a task holds a few copies of the largest text's bytes and no wider numbers of all of them.
+Equal bytes give equal columns; repeated rows give a row each, and an empty table gives none. Stored bytes that are damaged
+are an error, not a result. Only the two named columns are read.
 """
 
 import hashlib
@@ -15,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyr.llm.common import small_batches, table
+from outlyr.llm.common import slices, small_batches, table
 
 #: Samples of a scanline; payloads are padded to whole lines.
 WIDTH = 576
 PAD = b"\xff"
+#: Lines that are filtered, deflated and hashed at a time.
+BLOCK = 512
 #: Frequencies kept along each side.
 LOW = 8
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -41,20 +46,28 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def encode(data: bytes, level: int = 6) -> bytes:
-    """The PNG, 8-bit greyscale, WIDTH wide, of a payload."""
-    image = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    left, above = np.zeros_like(image), np.zeros_like(image)
-    left[:, 1:], above[1:] = image[:, :-1], image[:-1]
-    tries = (image, image - left, image - above)
-    cost = np.stack([np.abs(t.view(np.int8).astype(np.int16)).sum(1) for t in tries])
-    pick = cost.argmin(0)
+def _filtered(image: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """The lines of a block, each behind the filter with the least sum of absolute differences; above is the line before it."""
+    left, up = np.zeros_like(image), np.empty_like(image)
+    left[:, 1:], up[0], up[1:] = image[:, :-1], above, image[:-1]
+    tries = (image, image - left, image - up)
+    pick = np.stack([np.abs(t.view(np.int8).astype(np.int16)).sum(1) for t in tries]).argmin(0)
     lines = np.empty((len(image), WIDTH + 1), np.uint8)
     lines[:, 0] = pick
     for kind, t in enumerate(tries):
         lines[pick == kind, 1:] = t[pick == kind]
+    return lines
+
+
+def encode(data: bytes, level: int = 6) -> bytes:
+    """The PNG, 8-bit greyscale, WIDTH wide, of a payload."""
+    image, packer, packed = np.frombuffer(data, np.uint8).reshape(-1, WIDTH), zlib.compressobj(level), []
+    for at in range(0, len(image), BLOCK):
+        above = image[at - 1] if at else np.zeros(WIDTH, np.uint8)
+        packed.append(packer.compress(_filtered(image[at : at + BLOCK], above).tobytes()))
+    packed.append(packer.flush())
     head = struct.pack(">IIBBBBB", WIDTH, len(image), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join(packed)) + _chunk(b"IEND", b"")
 
 
 def chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -141,37 +154,39 @@ def cosines(n: int, low: int = LOW) -> np.ndarray:
 
 def frequency_hash(image: np.ndarray) -> bytes:
     """low * low bits: coefficients above the median of all but the mean."""
-    across = image.astype(np.float64) @ cosines(image.shape[1]).T
-    found = (cosines(image.shape[0]) @ across).round(6).ravel()
+    across, down = cosines(image.shape[1]).T, cosines(image.shape[0])
+    found = sum(down[:, at : at + BLOCK] @ (image[at : at + BLOCK].astype(np.float64) @ across) for at in range(0, len(image), BLOCK))
+    found = found.round(6).ravel()
     return np.packbits(found > np.median(found[1:])).tobytes()
 
 
 def stored(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """id_col, n_bytes, media: each text as a PNG in a binary column."""
-
+    """id_col, n_bytes, media: each text as a PNG in a binary column, made once for each row."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def to_media(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: encode(payload(t.encode())))
+    def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                data = [(t or "").encode() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([encode(payload(d)) for d in data], pa.binary())], [id_col, "n_bytes", "media"])
 
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), to_media(text).alias("media"))
+    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
+    return rows.mapInArrow(to_media, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
     """media with what its stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, hash (binary)."""
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, hash binary")
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary")
     def look(batch: pd.Series) -> pd.DataFrame:
         rows = []
         for m in batch:
             image = decode(m)
-            data = image.tobytes()
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), hashlib.sha256(m).hexdigest(), frequency_hash(image)))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "hash"])
+            flat = image.reshape(-1)
+            rows.append((flat.size, hashlib.sha256(flat).hexdigest(), zlib.crc32(flat[-32:]), len(m), hashlib.sha256(m).hexdigest(), frequency_hash(image)))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "hash"])
 
-    return media.select("*", F.octet_length("media").cast("long").alias("media_bytes"), look("media").alias("_seen")).select("*", "_seen.*").drop("_seen")
+    return media.select("*", look("media").alias("_seen")).select("*", "_seen.*").drop("_seen")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
