@@ -9,8 +9,9 @@ sections of each token. A token inside one section counts there. One that crosse
 
 A token that holds part of a character's bytes spans the whole character. Characters outside all sections count nowhere.
 
-A null or empty text is one empty section without tokens; texts of any length are encoded whole. Only the named columns
-are read; repeated rows give their sections again.
+A null or empty text is one empty section without tokens; texts of any length are encoded whole, and a task holds the spans
+of one text and the sections of a slice of texts. Of equal parts the earlier section wins. Only the named columns are read;
+repeated rows give their sections again, and an empty table gives none.
 """
 
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlyr.llm.bpe import Codec, read_ranks
-from outlyr.llm.common import small_batches, table
+from outlyr.llm.common import slices, small_batches, table
 
 RULES = ("start", "majority", "share")
 
@@ -49,19 +50,23 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: s
     last = np.searchsorted(sections[:, 0], ends, "left") - 1
     whole = (first == last) & (sections[np.minimum(first, len(sections) - 1), 0] <= starts) & (sections[np.minimum(first, len(sections) - 1), 1] >= ends)
     np.add.at(counts, first[whole], 1)
-    for t in np.flatnonzero(~whole & (first <= last)):
-        touched = np.arange(first[t], last[t] + 1)
-        part = np.minimum(sections[touched, 1], ends[t]) - np.maximum(sections[touched, 0], starts[t])
-        touched, part = touched[part > 0], part[part > 0]
-        if not len(touched):
-            continue
-        crossing[touched] += 1
-        if rule == "share":
-            counts[touched] += part / (ends[t] - starts[t])
-        elif rule == "majority":
-            counts[touched[part.argmax()]] += 1
-        elif sections[touched[0], 0] <= starts[t]:
-            counts[touched[0]] += 1
+    # A row for each token that crosses and each section that it touches, tokens and sections in order.
+    over = np.flatnonzero(~whole & (first <= last))
+    n = last[over] - first[over] + 1
+    token = np.repeat(over, n)
+    touched = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n) + first[token]
+    part = np.minimum(sections[touched, 1], ends[token]) - np.maximum(sections[touched, 0], starts[token])
+    token, touched, part = token[part > 0], touched[part > 0], part[part > 0]
+    np.add.at(crossing, touched, 1)
+    if rule == "share":
+        np.add.at(counts, touched, part / (ends[token] - starts[token]))
+    elif rule == "majority":
+        order = np.lexsort((touched, -part, token))
+        chosen = order[np.diff(token[order], prepend=-1) > 0]
+        np.add.at(counts, touched[chosen], 1)
+    else:
+        holds = sections[touched, 0] <= starts[token]
+        np.add.at(counts, touched[holds], 1)
     return counts, crossing
 
 
@@ -76,27 +81,19 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, id_col="doc_id", tex
         codec, lengths = Codec(tokens, pattern), np.array([len(t) for t in tokens], np.int64)
         names = [id_col, "section", "first_char", "n_chars", "tokens", "crossing", "doc_tokens"]
         for batch in batches:
-            of, parts = [], []
-
-            def flush(of: list[int], parts: list[tuple], batch=batch) -> pa.RecordBatch:
+            for few in slices(batch, "_text"):
+                parts = []
+                for text in few.column(1).to_pylist():
+                    text = text or ""
+                    ids, where = np.frombuffer(codec.encode(text), "<u4"), sections(text)
+                    counts, crossing = allocate(*spans(text, lengths[ids]), where, rule) if len(ids) else (np.zeros(len(where)), np.zeros(len(where), np.int64))
+                    parts.append((where, counts, crossing, len(ids)))
                 sizes = [len(p[0]) for p in parts]
-                at = np.repeat(of, sizes)
                 number = np.concatenate([np.arange(n) for n in sizes])
                 where, counts, crossing = (np.concatenate([p[k] for p in parts]) for k in range(3))
                 columns = [number, where[:, 0], where[:, 1] - where[:, 0], counts, crossing, np.repeat([p[3] for p in parts], sizes)]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c.astype(np.float64 if k == 3 else np.int64)) for k, c in enumerate(columns)]], names)
-
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
-                ids, where = np.frombuffer(codec.encode(text), "<u4"), sections(text)
-                counts, crossing = allocate(*spans(text, lengths[ids]), where, rule) if len(ids) else (np.zeros(len(where)), np.zeros(len(where), np.int64))
-                of.append(i)
-                parts.append((where, counts, crossing, len(ids)))
-                if len(of) == 1000:
-                    yield flush(of, parts)
-                    of, parts = [], []
-            if of:
-                yield flush(of, parts)
+                ids = few.column(0).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c.astype(np.float64 if k == 3 else np.int64)) for k, c in enumerate(columns)]], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, section long, first_char long, n_chars long, tokens double, crossing long, doc_tokens long")
