@@ -1,12 +1,15 @@
 import base64
 import hashlib
+import os
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -175,6 +178,27 @@ def test_media_filters_and_damage():
         media.decode(good[:-12])
 
 
+def test_media_blocks_and_frequencies():
+    """Images of several blocks come back, and the hash is that of a plain cosine transform."""
+    rng = np.random.default_rng(7)
+    for n in (1, 3, media.BLOCK, 2 * media.BLOCK + 5):
+        image = (rng.integers(0, 256, (n, media.WIDTH)) // (1 + np.arange(n) % 3)[:, None]).astype(np.uint8)
+        assert (media.decode(media.encode(image.tobytes())) == image).all()
+    image = rng.integers(0, 256, (media.BLOCK + 9, media.WIDTH), dtype=np.uint8)
+    h, w = image.shape
+    wave = lambda u, n: [np.cos(np.pi * u * (2 * x + 1) / (2 * n)) for x in range(n)]
+    plain = np.array([[(image * np.outer(wave(u, h), wave(v, w))).sum() / (h * w) for v in range(8)] for u in range(8)]).round(6).ravel()
+    assert media.frequency_hash(image) == np.packbits(plain > np.median(plain[1:])).tobytes()
+    lighter = np.clip(image.astype(int) + 1, 0, 255).astype(np.uint8)
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(media.frequency_hash(a), media.frequency_hash(b)))
+    assert far(image, lighter) < 8 < far(image, rng.integers(0, 256, image.shape, dtype=np.uint8))
+
+
+def test_media_is_made_once_for_each_row(edge):
+    plan = media.read_back(media.stored(edge))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("ArrowEvalPython") == 1 and "to_media" in plan.split("MapInArrow")[1]
+
+
 def languages(spark, n=240):
     rng = random.Random(2)
     words = {"en": ["the", "house", "thing", "with", "other", "which"], "de": ["der", "haus", "ding", "mit", "anders", "welche"], "fr": ["le", "maison", "chose", "avec", "autre", "quelle"]}
@@ -188,6 +212,14 @@ def test_language_is_right_on_held_out_rows(spark, edge, empty):
     assert list(known) == ["en", "de", "fr"] or set(known) == {"en", "de", "fr"} and list(known)[0] == "en"
     out = language_id.identified(docs, known).join(docs, "doc_id").collect()
     assert all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in out)
+    for r in out[:12]:
+        # The sizes are those of compressing each segment by itself.
+        data, sizes = r.text.lower().encode(), {}
+        for name, content in known.items():
+            each = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(each.compress(data[k : k + language_id.SEGMENT])) for k in range(0, len(data), language_id.SEGMENT))
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[r.lang_pred] == least and r.margin == pytest.approx(second / least - 1) and r.rejected == (r.margin < language_id.MARGIN)
     # Labels of held-out rows change nothing.
     other = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
     assert language_id.learn(other) == known
@@ -197,6 +229,17 @@ def test_language_is_right_on_held_out_rows(spark, edge, empty):
     assert {r.lang_pred for r in language_id.identified(edge, {}).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from_whole_texts(spark):
+    """A language of copies alone, one whose lines all occur in others, many languages, and words at the end of long texts."""
+    long = "\n".join(f"common {i} line" for i in range(400))
+    rows = [(i, "ein satz\nnoch einer", "de") for i in range(30)] + [(100 + i, "shared words", ["aa", "bb"][i % 2]) for i in range(30)]
+    rows += [(200 + i, f"{long}\nonly at the end {i}", "en") for i in range(9)] + [(1000 + i, f"text {i} of its own", f"l{i // 3}") for i in range(900)]
+    known = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(known) == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1} and len(known) > 280
+    assert known["de"].count(b"ein satz") == 1 and known["aa"] == known["bb"] == b"shared words" and b"only at the end" in known["en"]
+    assert max(map(len, known.values())) <= language_id.ALL_BYTES // len(known) and list(known)[0] == "de"
+
+
 def test_classifier(spark, edge, empty):
     rng = random.Random(4)
     good, bad = ["plain", "words", "in", "order", "of", "reading"], ["BUY!!", "NOW!!", "$$$", "***", "click&&"]
@@ -218,14 +261,51 @@ def test_classifier(spark, edge, empty):
 
 
 def test_training_gradient():
-    """One small step on one text lowers its loss by what the gradient says, in the vectors and in the output."""
+    """The gradient is that of finite differences, and training follows it."""
+    rng = np.random.default_rng(3)
+    part, rows, output, bias = rng.random(5), rng.standard_normal((5, 4)), rng.standard_normal((2, 4)), rng.standard_normal(2)
+    part /= part.sum()
+    for label in (0, 1):
+        found = quality_classifier.gradient(part, rows, output, bias, label)
+        for at, x in enumerate((rows, output, bias)):
+            for i in np.ndindex(x.shape):
+                kept, x[i] = x[i], x[i] + 1e-6
+                up = quality_classifier.gradient(part, rows, output, bias, label)[3]
+                x[i] = kept
+                assert (up - found[3]) / 1e-6 == pytest.approx(found[at][i], abs=1e-4)
     texts, labels = ["good plain words", "bad bad noise"], [1, 0]
-    early = quality_classifier.train(texts, labels, quality_classifier.Options(steps=2, rate=0.01))
-    late = quality_classifier.train(texts, labels, quality_classifier.Options(steps=600, rate=0.5))
+    rows = [quality_classifier.weighed(t, 17) for t in texts]
+    early = quality_classifier.train(rows, labels, quality_classifier.Options(steps=2, rate=0.01))
+    late = quality_classifier.train(rows, labels, quality_classifier.Options(steps=600, rate=0.5))
     loss = lambda m: -np.log(m.scores(texts[:1])[0]) - np.log(1 - m.scores(texts[1:])[0])
     assert loss(late) < 0.2 < loss(early)
 
 
+def test_classifier_features_are_words_repeats_and_character_runs():
+    """As many as a plain count gives, and a score is the mean of what they add."""
+    with np.errstate(over="ignore"):
+        for text in ("", "a", "ab abc  abcd", "x x x", "né 日本語本 🦊🦊🦊🦊\u2003z"):
+            words = [w for w in re.split("[ \t-\r]+", text) if w]
+            n = len(words) + sum(a == b for a, b in zip(words, words[1:])) + sum(max(0, len(w) - k + 1) for w in words for k in (3, 4))
+            buckets, owner = quality_classifier.features(["other", text], 17)
+            mine = buckets[owner == 1]
+            assert len(mine) == n and (quality_classifier.features([text], 17)[0] == mine).all()
+            model = quality_classifier.Model(np.random.default_rng(1).standard_normal(1 << 17), 0.25, 17)
+            assert model.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-0.25 - (model.adds[mine].mean() if n else 0))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_held_out_accuracy_on_the_tables(spark):
+    """Of language ID and of the classifier, on rows that nothing was learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    said = language_id.query(spark, "/root/testdata/sf0.01").filter("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").filter("lang is not null and text rlike '[a-zA-Z]'")
+    right, n = said.agg(F.count_if(F.expr("lang = lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.97 * n
+    said = quality_classifier.query(spark, "/root/testdata/sf0.01").filter("held_out").join(labels, "doc_id")
+    right, n = said.agg(F.count_if(F.expr("quality = predicted")), F.count("*")).first()
+    assert n > 50 and right >= 0.97 * n
+
+
 def test_word_hashes_depend_on_words_alone():
     with np.errstate(over="ignore"):
         a, n = shingles.word_hashes(["The cat\tsat", "", "cat", " \n", "é cat "])
