@@ -120,6 +120,19 @@ def fitted(df: DataFrame, v: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*made)
 
 
+def merged(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The state after the rows of two fitted states, as if they had been learned at once: means and squares about them."""
+    both = a.select(*keys, F.struct("n", "mean", "std", "low", "high").alias("a")).join(b.select(*keys, F.struct("n", "mean", "std", "low", "high").alias("b")), keys, "full")
+    na, nb = (F.coalesce(F.col(f"{s}.n"), F.lit(0)) for s in "ab")
+    n = na + nb
+    part = lambda s, c: F.coalesce(F.col(f"{s}.{c}"), F.lit(0.0))
+    mean = part("a", "mean") + (part("b", "mean") - part("a", "mean")) * F.coalesce(F.try_divide(nb, n), F.lit(0.0))
+    apart = F.when((na > 0) & (nb > 0), part("a", "mean") - part("b", "mean")).otherwise(0.0)
+    squares = na * part("a", "std") * part("a", "std") + nb * part("b", "std") * part("b", "std") + F.coalesce(F.try_divide(na * nb, n), F.lit(0.0)) * apart * apart
+    some = lambda c: F.when(n > 0, c)
+    return both.select(*keys, n.alias("n"), some(mean).alias("mean"), some(F.sqrt(F.try_divide(squares, n))).alias("std"), F.least("a.low", "b.low").alias("low"), F.greatest("a.high", "b.high").alias("high"))
+
+
 def frozen(df: DataFrame, state: DataFrame, v: str, keys: list[str], name: str) -> DataFrame:
     """df scored with a state that does not learn; NULL for a key without one."""
     joined = df.join(state, keys, "left") if keys else df.join(F.broadcast(state), how="left")

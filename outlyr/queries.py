@@ -11,8 +11,8 @@ from outlyr.config import Field
 from outlyr.functions import extract, labels, paths
 from outlyr.operators import autoencoder, composite, drain, encoders, projection, trees, windows
 from outlyr.plans import detect
-from outlyr.session import table
-from outlyr.sources import files
+from outlyr.session import scratch, table
+from outlyr.sources import files, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -255,7 +255,7 @@ def retrain_schedule(spark, sf_dir):
 
 # Half-space trees
 
-PLAN = detect.Plan(event=("event_id",), order=("ts", "event_id"), numbers=(("value", -5.0, 5.0), ("hour", 0.0, 23.0)), scaled=("value",), cohorts=(("all", (), 0.25), ("type", ("event_type",), 0.75)))
+PLAN = detect.Plan(event=("event_id",), order=("ts", "event_id"), numbers=(("value", -5.0, 5.0), ("hour", 0.0, 23.0)), scaled=("value",), cohorts=(("all", (), 0.25), ("type", ("event_type",), 0.75)), window=250, trees=25)
 
 
 def _split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -330,15 +330,17 @@ def hst_cohort_composite(spark, sf_dir):
 
 
 @query(f"""
-WITH {_hst_sql(PLAN)}, va AS (SELECT rid * 3 + v AS rid, rid AS base, cohort_key, v, CASE WHEN v = 1 THEN f0 ELSE m0 END AS f0, CASE WHEN v = 2 THEN f1 ELSE m1 END AS f1, event_id FROM sc JOIN mean USING (cohort_key), (SELECT unnest([0, 1, 2]) AS v) WHERE cohort = 'all'),
+WITH {_hst_sql(PLAN)}, va AS (SELECT rid * 3 + v AS rid, rid AS base, cohort, cohort_key, v, CASE WHEN v = 1 THEN f0 ELSE m0 END AS f0, CASE WHEN v = 2 THEN f1 ELSE m1 END AS f1, event_id FROM sc JOIN mean USING (cohort_key), (SELECT unnest([0, 1, 2]) AS v)),
 {_paths_sql("(SELECT rid, f0, f1 FROM va)", PLAN, "pv")}, {_score_sql("va", "pv", PLAN, "got")},
-b AS (SELECT event_id, max(CASE WHEN v = 0 THEN score END) AS s0, max(CASE WHEN v = 1 THEN score END) AS s1, max(CASE WHEN v = 2 THEN score END) AS s2 FROM va JOIN got USING (rid) GROUP BY event_id)
-SELECT event_id, round(s0, 4) AS baseline, CASE WHEN abs(s2 - s0) > abs(s1 - s0) THEN 'hour' ELSE 'value' END AS top, round(CASE WHEN abs(s2 - s0) > abs(s1 - s0) THEN s2 - s0 ELSE s1 - s0 END, 4) + 0.0 AS delta FROM b""")
+b AS (SELECT event_id, cohort, max(CASE WHEN v = 0 THEN score END) AS s0, max(CASE WHEN v = 1 THEN score END) AS s1, max(CASE WHEN v = 2 THEN score END) AS s2 FROM va JOIN got USING (rid) GROUP BY event_id, cohort),
+sw AS (SELECT *, abs(s2 - s0) > abs(s1 - s0) AS swapped FROM b)
+SELECT event_id, cohort, round(s0, 4) AS baseline, 'value' AS field, CASE WHEN swapped THEN 1 ELSE 0 END AS place, round(s1 - s0, 4) + 0.0 AS delta FROM sw
+UNION ALL SELECT event_id, cohort, round(s0, 4), 'hour', CASE WHEN swapped THEN 0 ELSE 1 END, round(s2 - s0, 4) + 0.0 FROM sw""")
 def hst_explain(spark, sf_dir):
     train, rest = _split(spark, sf_dir)
-    out = detect.score(rest, *detect.fit(train, PLAN), PLAN, explain=True).filter("cohort = 'all'")
-    top = F.get("explanation.features", F.lit(0))
-    return out.select("event_id", F.col("explanation.baseline").alias("baseline"), top["field"].alias("top"), (top["delta"] + 0.0).alias("delta"))
+    out = detect.score(rest, *detect.fit(train, PLAN), PLAN, explain=True).filter("explanation is not null")
+    each = out.select("event_id", "cohort", F.col("explanation.baseline").alias("baseline"), F.posexplode("explanation.features").alias("place", "f"))
+    return each.select("event_id", "cohort", "baseline", "f.field", "place", (F.col("f.delta") + 0.0).alias("delta"))
 
 
 # Scores, labels, metrics
@@ -428,6 +430,18 @@ def state_latest(spark, sf_dir):
     return composite.latest_state(versions, ["user_id"], "version")
 
 
+@query("SELECT user_id::VARCHAR AS model_key, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, min(value) AS low, max(value) AS high FROM events WHERE user_id % 7 > 0 GROUP BY user_id")
+def state_incremental(spark, sf_dir):
+    """What a state table holds after three parts of the events were learned one after the other, and some keys deleted."""
+    kept = state.StateTable(spark, scratch(spark, "state"))
+    rows = events(spark, sf_dir)
+    for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' and ts < '2024-01-20'", "ts >= '2024-01-20'"):
+        kept.learn_moments("scaler", rows.filter(part), "user_id", "value")
+    gone = kept.keys().filter(F.col("model_key").cast("long") % 7 == 0)
+    kept.delete(gone, kept.latest_version() + 1)
+    return kept.load("scaler").select("model_key", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "low", "high")
+
+
 @query("SELECT event_type, row_number() OVER (ORDER BY min(event_id))::INT AS at FROM events GROUP BY event_type")
 def first_seen_values(spark, sf_dir):
     return composite.first_seen(events(spark, sf_dir), "event_type", ["event_id"])
@@ -455,12 +469,16 @@ def text_templates(spark, sf_dir):
     return drain.templates(lines, ["lang"], ["doc_id", "line_no"], "line", "doc_id", keep=["line_no"])
 
 
-@query()
+#: Numbers of a vector of the embeddings table, and those that it is projected on.
+WIDE, NARROW = 64, 8
+_DOTS = ", ".join(f"round(list_dot_product(embedding::DOUBLE[], {[float(x) for x in projection.matrix(WIDE, NARROW)[:, k]]}::DOUBLE[]), 6) + 0.0 AS p{k}" for k in range(NARROW))
+
+
+@query(f"SELECT vec_id, {_DOTS} FROM embeddings")
 def vector_random_projection(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    dim = rows.select(F.size("embedding")).first()[0]
-    out = projection.projected(F.col("embedding"), projection.matrix(dim, 8))
-    return rows.select("vec_id", F.transform(out, lambda x: F.round(x, 6)).alias("projected"))
+    out = projection.projected(F.col("embedding"), projection.matrix(WIDE, NARROW))
+    return rows.select("vec_id", *[r6(F.get(out, F.lit(k))).alias(f"p{k}") for k in range(NARROW)])
 
 
 @query()

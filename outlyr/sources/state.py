@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outlyr.operators import encoders
 from outlyr.operators.composite import latest_state
 
 
@@ -42,6 +43,21 @@ class StateTable:
         return self.load().select("model_type", "model_key", "sample_count", "last_updated")
 
 
+    def learn_moments(self, model_type: str, rows: DataFrame, key: str, v: str) -> int:
+        """Adds v's moments of the rows of each key to its state of this type, and gives the version that holds them.
+
+        Only the keys of rows are read, merged and written; learning in parts leaves what learning at once does.
+        """
+        version = self.latest_version() + 1
+        now = encoders.fitted(rows.select(F.col(key).cast("string").alias("model_key"), v).filter("model_key is not null"), v, ["model_key"])
+        if version:
+            moments = ["n", "mean", "std", "low", "high"]
+            known = self.load(model_type).select("model_key", *moments).join(now.select("model_key"), "model_key", "left_semi")
+            now = encoders.merged(known, now, ["model_key"])
+        self.save(now.select(F.lit(model_type).alias("model_type"), "*", F.col("n").alias("sample_count")), version)
+        return version
+
+
 def anomalous(scored: DataFrame, status: str = "status") -> DataFrame:
     from outlyr.functions.labels import POSITIVE
 

@@ -57,6 +57,20 @@ def test_state_table(spark, tmp_path):
     assert {(r.model_key, r.sample_count) for r in t.load("hst").collect()} == {("all", 7), ("user::a", 1)} and t.keys().count() == 2
 
 
+def test_states_are_learned_in_parts_and_deleted(spark, tmp_path):
+    t = state.StateTable(spark, str(tmp_path / "s"))
+    parts = [[("a", 1.0), ("a", 2.0), ("b", 5.0), (None, 1.0)], [("a", 9.0), ("c", 4.0), ("c", None)], [("b", 5.5)]]
+    assert t.latest_version() == -1
+    assert [t.learn_moments("scaler", spark.createDataFrame(p, "k string, v double"), "k", "v") for p in parts] == [0, 1, 2]
+    found = {r.model_key: (r.n, r.mean, r.std, r.low, r.high) for r in t.load("scaler").collect()}
+    for k, v in {"a": [1, 2, 9], "b": [5, 5.5], "c": [4]}.items():
+        assert found[k] == pytest.approx((len(v), np.mean(v), np.std(v), min(v), max(v)))
+    t.delete(t.keys().filter("model_key = 'a'"), 3)
+    assert {r.model_key for r in t.keys().collect()} == {"b", "c"} == {r.model_key for r in t.statistics().collect()}
+    t.learn_moments("scaler", spark.createDataFrame([("a", 7.0)], "k string, v double"), "k", "v")
+    assert {r.model_key: r.n for r in t.load("scaler").collect()} == {"a": 1, "b": 2, "c": 1}
+
+
 def test_signins_repeat(spark):
     a, b = (files.signins(spark, 500).orderBy("at").collect() for _ in range(2))
     assert a == b and 5 < sum(r.description != "NORMAL" for r in a) < 60
