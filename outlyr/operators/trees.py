@@ -149,6 +149,48 @@ def raw_score(features: Column, slice_: Column, mass: Column, forests: list[Fore
     return 1 - total / float(trees * window * ((2 << height) - 1))
 
 
+#: Nodes of all walks of a row that are columns of a generated loop; walks with more are higher-order functions.
+STAGED_MOST = 1000
+
+
+def with_scores(df: DataFrame, variants: dict[str, Column], slice_: Column, mass: Column, forests: list[Forest], window: int) -> DataFrame:
+    """df with a score for each variant of the features, NULL where there is no mass.
+
+    Each level of all trees is one projection, so that walks are generated code over plain columns.
+    """
+    trees, height = forests[0].trees, forests[0].height
+    if len(variants) * trees * (height + 1) > STAGED_MOST:
+        return df.withColumns({name: F.when(mass.isNotNull(), score_of(raw_score(f, slice_, mass, forests, window))) for name, f in variants.items()})
+    rounded = lambda f: F.array(*[F.round(F.get(f, F.lit(i)), 9) for i in range(len(forests[0].names))])
+    out = df.withColumns({"_at": (slice_ * (1 << height)).cast("int")} | {f"_f{v}": rounded(f) for v, f in enumerate(variants.values())})
+    flat = lambda of, t: F.array(*[F.lit(x) for fo in forests for x in of(fo)[t]])
+    tables = [(flat(lambda fo: fo.feature, t), flat(lambda fo: fo.threshold, t)) for t in range(trees)]
+    node = lambda v, t, d: F.col(f"_n{v}_{t}_{d}") if d else F.lit(1)
+    for d in range(height):
+        level = {}
+        for v in range(len(variants)):
+            for t, (feature, threshold) in enumerate(tables):
+                at = F.col("_at") + node(v, t, d)
+                right = F.coalesce(F.get(f"_f{v}", F.get(feature, at)) >= F.get(threshold, at), F.lit(False)).cast("int")
+                level[f"_n{v}_{t}_{d + 1}"] = node(v, t, d) * 2 + right
+        out = out.withColumns(level)
+
+    def below(v: int, t: int, d: int) -> Column:
+        """What the path adds from depth d on: a node of little mass ends it."""
+        m = F.get(F.get(mass, F.lit(t)), node(v, t, d))
+        own = m * float(1 << d)
+        return own if d == height else own + F.when(m >= LITTLE * window, below(v, t, d + 1)).otherwise(0.0)
+
+    out = out.withColumns({f"_s{v}_{t}": below(v, t, 0) for v in range(len(variants)) for t in range(trees)})
+    scores = {}
+    for v, name in enumerate(variants):
+        total = F.lit(0.0)
+        for t in range(trees):
+            total = total + F.col(f"_s{v}_{t}")
+        scores[name] = F.when(mass.isNotNull(), score_of(1 - total / float(trees * window * ((2 << height) - 1))))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(name) for name, c in scores.items()])
+
+
 def score_of(raw: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw * 100))
 
@@ -169,19 +211,21 @@ def scored(events: DataFrame, model: DataFrame, keys: list[str], features: str,
     their numbers) what its own values add to it, the largest change first. A group of one shows its value.
     """
     known = model.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice").alias("_slice"), F.col("age").alias("reference_age"), F.col("mean").alias("_mean"), F.col("mass").alias("_mass"))
-    score = lambda f: F.when(F.col("_mass").isNotNull(), score_of(raw_score(f, F.col("_slice"), F.col("_mass"), forests, window)))
+    own, mean = F.col("_slice"), F.col("_mean")
     if explain:
         # The mean's score belongs to the model, not to each event.
-        known = known.withColumn("_base", score(F.col("_mean")))
+        known = with_scores(known, {"_base": mean}, own, F.col("_mass"), forests, window)
     joined = events.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left") if keys else events.join(F.broadcast(known), how="left")
-    out = joined.withColumn("score", score(F.col(features)))
+    names = forests[0].names
+    grouped = (groups or {n: [i] for i, n in enumerate(names)}) if explain else {}
+    only = {f"_o{at}": F.array(*[F.get(F.col(features) if k in part else mean, F.lit(k)) for k in range(len(names))]) for at, part in enumerate(grouped.values())}
+    out = with_scores(joined, {"score": F.col(features)} | only, own, F.col("_mass"), forests, window)
     if explain:
-        names, deltas = forests[0].names, []
-        for at, (name, own) in enumerate((groups or {n: [i] for i, n in enumerate(names)}).items()):
-            only = F.array(*[F.get(F.col(features) if k in own else F.col("_mean"), F.lit(k)) for k in range(len(names))])
-            value = F.get(features, F.lit(own[0])) if len(own) == 1 else F.lit(None).cast("double")
-            deltas.append(F.struct(F.lit(name).alias("field"), value.alias("value"), (score(only) - F.col("_base")).alias("delta"), F.lit(at).alias("at")))
+        deltas = []
+        for at, (name, part) in enumerate(grouped.items()):
+            value = F.get(features, F.lit(part[0])) if len(part) == 1 else F.lit(None).cast("double")
+            deltas.append(F.struct(F.lit(name).alias("field"), value.alias("value"), (F.col(f"_o{at}") - F.col("_base")).alias("delta"), F.lit(at).alias("at")))
         by_size = lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(a["at"] - b["at"])
         listed = F.array_sort(F.array(*deltas), by_size)
         out = out.withColumn("explanation", F.when(F.col("_mass").isNotNull(), F.struct(F.round("_base", 4).alias("baseline"), F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.round(x["delta"], 4).alias("delta"))).alias("features"))))
-    return out.drop("_slice", "_mean", "_mass", "_base", *[f"_k_{k}" for k in keys])
+    return out.drop("_slice", "_mean", "_mass", "_base", *only, *[f"_k_{k}" for k in keys])

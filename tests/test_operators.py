@@ -69,12 +69,23 @@ def forest_rows(spark, values):
     return spark.createDataFrame([("k", i, [v]) for i, v in enumerate(values)], "key string, at long, f array<double>")
 
 
+def test_generated_walks_equal_higher_order_ones(spark, monkeypatch):
+    """With slices, absent features and an explanation: both ways of evaluating give the same numbers."""
+    forests = [trees.grow(["v", "w"], [(0.0, 1.0), (-1.0, 1.0)], 7, 3, k) for k in range(3)]
+    rows = spark.createDataFrame([("ab"[i % 2], i, [0.1 * (i % 10), None if i % 5 == 0 else 0.05 * (i % 20)]) for i in range(150)], "key string, at long, f array<double>")
+    model = trees.fit(rows, ["key"], ["at"], "f", forests, 30)
+    staged = trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
+    monkeypatch.setattr(trees, "STAGED_MOST", 0)
+    assert staged == trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
+    assert {r.reference_age for r in staged} == {5} and len({r.score for r in staged}) > 5
+
+
 def test_half_space_trees(spark):
     forests = [trees.grow(["v"], [(0.0, 1.0)], 25, 3)]
     train = forest_rows(spark, [0.4 + 0.01 * (i % 5) for i in range(120)])
     model = trees.fit(train, ["key"], ["at"], "f", forests, 100)
     row = model.first()
-    assert row.age == 20 and sum(v for k, v in row.mass.items() if k % 16 == 1) == 25 * 100
+    assert row.age == 20 and len(row.mass) == 25 and all(len(held) == 16 and held[1] == 100 for held in row.mass)
     events = spark.createDataFrame([("k", 0, [0.41]), ("k", 1, [0.99]), ("new", 2, [0.5])], "key string, at long, f array<double>")
     out = {r.at: r for r in trees.scored(events, model, ["key"], "f", forests, 100, explain=True).collect()}
     assert out[0].score < out[1].score and out[2].score is None and out[2].explanation is None
