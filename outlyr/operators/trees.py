@@ -66,9 +66,8 @@ def grow(names: list[str], limits: list[tuple[float, float]], trees: int, height
 
 
 def _flat(forests: list[Forest]) -> tuple[Column, Column]:
-    f = F.array(*[F.lit(x) for fo in forests for tree in fo.feature for x in tree])
-    t = F.array(*[F.lit(x) for fo in forests for tree in fo.threshold for x in tree])
-    return f, t
+    numbers = lambda values: F.expr(f"array({', '.join(values)})")
+    return numbers(str(x) for fo in forests for tree in fo.feature for x in tree), numbers(f"{x!r}D" for fo in forests for tree in fo.threshold for x in tree)
 
 
 def paths(features: Column, forests: list[Forest], slice_: Column) -> Column:
@@ -129,65 +128,58 @@ def fit(train: DataFrame, keys: list[str], order: list[str], features: str, fore
     return means.join(mass, [means[k].eqNullSafe(mass[k]) for k in keys]).select(means["*"], "mass")
 
 
-def raw_score(features: Column, slice_: Column, mass: Column, forests: list[Forest], window: int) -> Column:
-    """From 0 (as the window) to 1 (unlike it). One walk down each tree adds up what it passes."""
-    f, t = _flat(forests)
-    trees, height = forests[0].trees, forests[0].height
-    state = lambda node, total, weight, open_: F.struct(node.alias("node"), total.alias("total"), weight.alias("weight"), open_.alias("open"))
+def leaf_sums(mass: Column, height: int, window: int) -> Column:
+    """ARRAY by tree of ARRAY by leaf of what a walk to that leaf adds up: a part of the model, so an event looks one number up for each tree."""
 
-    def down(held: Column, tree: Column) -> Column:
-        base = (slice_ * trees + tree) * (1 << height)
+    def below(held: Column, leaf: Column, d: int) -> Column:
+        """What the path adds from depth d on: a node of little mass ends it."""
+        m = F.get(held, F.shiftright(leaf, height - d))
+        own = m * float(1 << d)
+        return own if d == height else own + F.when(m >= LITTLE * window, below(held, leaf, d + 1)).otherwise(0.0)
 
-        def step(s: Column, _: Column) -> Column:
-            m, at = F.get(held, s["node"]), (base + s["node"]).cast("int")
-            right = F.coalesce(F.round(F.get(features, F.get(f, at)), 9) >= F.get(t, at), F.lit(False)).cast("int")
-            return state(s["node"] * 2 + right, s["total"] + F.when(s["open"], m * s["weight"]).otherwise(0.0), s["weight"] * 2, s["open"] & (m >= LITTLE * window))
+    leaves = F.sequence(F.lit(1 << height), F.lit((2 << height) - 1))
+    return F.transform(mass, lambda held: F.transform(leaves, lambda leaf: below(held, leaf, 0)))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(height)), state(F.lit(1), F.lit(0.0), F.lit(1.0), F.lit(True)), step, lambda s: s["total"])
 
-    total = F.aggregate(F.transform(mass, down), F.lit(0.0), lambda a, x: a + x)
-    return 1 - total / float(trees * window * ((2 << height) - 1))
+#: Inner nodes of all walks of a row that are written out as conditions; beyond it, walks are higher-order functions.
+WRITTEN_MOST = 8000
+#: Levels of a tree that are written out.
+WRITTEN_HEIGHT = 7
 
 
-#: Nodes of all walks of a row that are columns of a generated loop; walks with more are higher-order functions.
-STAGED_MOST = 1000
+def _leaf(values: list[str], forest: Forest, tree: int) -> str:
+    """The number of the leaf that values (NULL: below every threshold) reach, as nested conditions."""
 
+    def at(node: int) -> str:
+        if node >> forest.height:
+            return str(node)
+        return f"if({values[forest.feature[tree][node]]} >= {forest.threshold[tree][node]!r}D, {at(2 * node + 1)}, {at(2 * node)})"
 
-def with_scores(df: DataFrame, variants: dict[str, Column], slice_: Column, mass: Column, forests: list[Forest], window: int) -> DataFrame:
-    """df with a score for each variant of the features, NULL where there is no mass.
+    return at(1)
 
-    Each level of all trees is one projection, so that walks are generated code over plain columns.
-    """
-    trees, height = forests[0].trees, forests[0].height
-    if len(variants) * trees * (height + 1) > STAGED_MOST:
-        return df.withColumns({name: F.when(mass.isNotNull(), score_of(raw_score(f, slice_, mass, forests, window))) for name, f in variants.items()})
-    rounded = lambda f: F.array(*[F.round(F.get(f, F.lit(i)), 9) for i in range(len(forests[0].names))])
-    out = df.withColumns({"_at": (slice_ * (1 << height)).cast("int")} | {f"_f{v}": rounded(f) for v, f in enumerate(variants.values())})
-    flat = lambda of, t: F.array(*[F.lit(x) for fo in forests for x in of(fo)[t]])
-    tables = [(flat(lambda fo: fo.feature, t), flat(lambda fo: fo.threshold, t)) for t in range(trees)]
-    node = lambda v, t, d: F.col(f"_n{v}_{t}_{d}") if d else F.lit(1)
-    for d in range(height):
-        level = {}
-        for v in range(len(variants)):
-            for t, (feature, threshold) in enumerate(tables):
-                at = F.col("_at") + node(v, t, d)
-                right = F.coalesce(F.get(f"_f{v}", F.get(feature, at)) >= F.get(threshold, at), F.lit(False)).cast("int")
-                level[f"_n{v}_{t}_{d + 1}"] = node(v, t, d) * 2 + right
-        out = out.withColumns(level)
-
-    def below(v: int, t: int, d: int) -> Column:
-        """What the path adds from depth d on: a node of little mass ends it."""
-        m = F.get(F.get(mass, F.lit(t)), node(v, t, d))
-        own = m * float(1 << d)
-        return own if d == height else own + F.when(m >= LITTLE * window, below(v, t, d + 1)).otherwise(0.0)
 
-    out = out.withColumns({f"_s{v}_{t}": below(v, t, 0) for v in range(len(variants)) for t in range(trees)})
+def with_scores(df: DataFrame, variants: dict[str, Column], slice_: Column, sums: Column, forests: list[Forest], window: int) -> DataFrame:
+    """df with a score for each variant of the features, from 0 (as the window) to 100; NULL where sums (of leaf_sums) are."""
+    trees, height, n = forests[0].trees, forests[0].height, len(forests[0].names)
+    scale, leaves = float(trees * window * ((2 << height) - 1)), 1 << height
+    if height > WRITTEN_HEIGHT or len(variants) * len(forests) * trees * leaves > WRITTEN_MOST:
+        reached = lambda f: F.zip_with(sums, paths(f, forests, slice_), lambda s, p: F.get(s, F.element_at(p, -1) - leaves))
+        total = lambda f: F.aggregate(reached(f), F.lit(0.0), lambda a, x: a + x)
+        return df.withColumns({name: F.when(sums.isNotNull(), score_of(1 - total(f) / scale)) for name, f in variants.items()})
+    out = df.withColumns({f"_f{v}_{k}": F.round(F.get(f, F.lit(k)), 9) for v, f in enumerate(variants.values()) for k in range(n)})
+    walks = {}
+    for v in range(len(variants)):
+        values = [f"_f{v}_{k}" for k in range(n)]
+        for t in range(trees):
+            each = [F.expr(_leaf(values, forest, t)) for forest in forests]
+            walks[f"_n{v}_{t}"] = each[0] if len(each) == 1 else F.coalesce(*[F.when(slice_ == k, leaf) for k, leaf in enumerate(each)])
+    out = out.withColumns(walks)
     scores = {}
     for v, name in enumerate(variants):
         total = F.lit(0.0)
         for t in range(trees):
-            total = total + F.col(f"_s{v}_{t}")
-        scores[name] = F.when(mass.isNotNull(), score_of(1 - total / float(trees * window * ((2 << height) - 1))))
+            total = total + F.get(F.get(sums, F.lit(t)), F.col(f"_n{v}_{t}") - leaves)
+        scores[name] = F.when(sums.isNotNull(), score_of(1 - total / scale))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(name) for name, c in scores.items()])
 
 
@@ -210,16 +202,16 @@ def scored(events: DataFrame, model: DataFrame, keys: list[str], features: str,
     explanation: STRUCT<baseline, features>: the score of the window's mean, and of each feature (or group of features, by
     their numbers) what its own values add to it, the largest change first. A group of one shows its value.
     """
-    known = model.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice").alias("_slice"), F.col("age").alias("reference_age"), F.col("mean").alias("_mean"), F.col("mass").alias("_mass"))
+    known = model.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice").alias("_slice"), F.col("age").alias("reference_age"), F.col("mean").alias("_mean"), leaf_sums(F.col("mass"), forests[0].height, window).alias("_sums"))
     own, mean = F.col("_slice"), F.col("_mean")
     if explain:
         # The mean's score belongs to the model, not to each event.
-        known = with_scores(known, {"_base": mean}, own, F.col("_mass"), forests, window)
+        known = with_scores(known, {"_base": mean}, own, F.col("_sums"), forests, window)
     joined = events.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left") if keys else events.join(F.broadcast(known), how="left")
     names = forests[0].names
     grouped = (groups or {n: [i] for i, n in enumerate(names)}) if explain else {}
     only = {f"_o{at}": F.array(*[F.get(F.col(features) if k in part else mean, F.lit(k)) for k in range(len(names))]) for at, part in enumerate(grouped.values())}
-    out = with_scores(joined, {"score": F.col(features)} | only, own, F.col("_mass"), forests, window)
+    out = with_scores(joined, {"score": F.col(features)} | only, own, F.col("_sums"), forests, window)
     if explain:
         deltas = []
         for at, (name, part) in enumerate(grouped.items()):
@@ -227,5 +219,5 @@ def scored(events: DataFrame, model: DataFrame, keys: list[str], features: str,
             deltas.append(F.struct(F.lit(name).alias("field"), value.alias("value"), (F.col(f"_o{at}") - F.col("_base")).alias("delta"), F.lit(at).alias("at")))
         by_size = lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(a["at"] - b["at"])
         listed = F.array_sort(F.array(*deltas), by_size)
-        out = out.withColumn("explanation", F.when(F.col("_mass").isNotNull(), F.struct(F.round("_base", 4).alias("baseline"), F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.round(x["delta"], 4).alias("delta"))).alias("features"))))
-    return out.drop("_slice", "_mean", "_mass", "_base", *only, *[f"_k_{k}" for k in keys])
+        out = out.withColumn("explanation", F.when(F.col("_sums").isNotNull(), F.struct(F.round("_base", 4).alias("baseline"), F.transform(listed, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.round(x["delta"], 4).alias("delta"))).alias("features"))))
+    return out.drop("_slice", "_mean", "_sums", "_base", *only, *[f"_k_{k}" for k in keys])

@@ -69,15 +69,15 @@ def forest_rows(spark, values):
     return spark.createDataFrame([("k", i, [v]) for i, v in enumerate(values)], "key string, at long, f array<double>")
 
 
-def test_generated_walks_equal_higher_order_ones(spark, monkeypatch):
+def test_written_walks_equal_higher_order_ones(spark, monkeypatch):
     """With slices, absent features and an explanation: both ways of evaluating give the same numbers."""
     forests = [trees.grow(["v", "w"], [(0.0, 1.0), (-1.0, 1.0)], 7, 3, k) for k in range(3)]
     rows = spark.createDataFrame([("ab"[i % 2], i, [0.1 * (i % 10), None if i % 5 == 0 else 0.05 * (i % 20)]) for i in range(150)], "key string, at long, f array<double>")
     model = trees.fit(rows, ["key"], ["at"], "f", forests, 30)
-    staged = trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
-    monkeypatch.setattr(trees, "STAGED_MOST", 0)
-    assert staged == trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
-    assert {r.reference_age for r in staged} == {5} and len({r.score for r in staged}) > 5
+    written = trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
+    monkeypatch.setattr(trees, "WRITTEN_MOST", 0)
+    assert written == trees.scored(rows, model, ["key"], "f", forests, 30, explain=True).orderBy("at").collect()
+    assert {r.reference_age for r in written} == {5} and len({r.score for r in written}) > 5
 
 
 def test_half_space_trees(spark):
