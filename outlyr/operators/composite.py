@@ -29,10 +29,25 @@ def composite(scores: DataFrame, event: list[str], digits: int = 2) -> DataFrame
     return out.select(*event, (F.round("_s", digits) + 0.0).alias("composite_score"), status.alias("status"))
 
 
+def _judged(status: Column, truth: Column) -> tuple[Column, Column]:
+    return F.coalesce(status.isin(*labels.POSITIVE), F.lit(False)), F.coalesce(F.upper(truth).startswith("ANOMALY"), F.lit(False))
+
+
+def misjudged(scored: DataFrame, status: Column, truth: Column) -> DataFrame:
+    """The rows that confusion counts as false, with their kind: FP or FN."""
+    said, true = _judged(status, truth)
+    return scored.withColumn("kind", F.when(said & ~true, "FP").when(~said & true, "FN")).filter("kind is not null")
+
+
+def acceptance(responses: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """accepted, unaccepted: the numbers of responses."""
+    good = F.coalesce(F.col("accepted"), F.lit(False))
+    return responses.groupBy(*(by or [])).agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("unaccepted"))
+
+
 def confusion(scored: DataFrame, status: Column, truth: Column, by: list[str] | None = None) -> DataFrame:
     """tp, fp, tn, fn, precision, recall, f1: positive are the two top labels; truth is a text that starts with ANOMALY."""
-    said = F.coalesce(status.isin(*labels.POSITIVE), F.lit(False))
-    true = F.coalesce(F.upper(truth).startswith("ANOMALY"), F.lit(False))
+    said, true = _judged(status, truth)
     counts = {"tp": said & true, "fp": said & ~true, "tn": ~said & ~true, "fn": ~said & true}
     out = scored.groupBy(*(by or [])).agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
     ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(F.lit(0.0))

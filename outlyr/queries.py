@@ -7,10 +7,12 @@ both sides, with 0.0 added to lose the sign of zero.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outlyr import config
 from outlyr.config import Field
 from outlyr.functions import extract, labels, paths
 from outlyr.operators import autoencoder, composite, drain, encoders, projection, trees, windows
 from outlyr.plans import detect
+from outlyr.plans.engine import Engine
 from outlyr.session import scratch, table
 from outlyr.sources import files, state
 
@@ -77,7 +79,9 @@ def extract_ipv4(spark, sf_dir):
     return out.select("event_id", *[F.col(f"`ip.{n}`").alias(n) for n in ("o1", "o2", "o3", "o4", "is_private")])
 
 
-@query()
+@query("""
+WITH n AS (SELECT event_id, CASE WHEN user_id = 0 THEN '2001:db8::/48' ELSE '2001:db8:' || format('{:x}', user_id) || '::/48' END AS network FROM events)
+SELECT event_id, 1.0::DOUBLE AS is_private, round(('0x' || substr(sha256(network), 1, 8))::BIGINT / 4294967295.0::DOUBLE, 6) + 0.0 AS subnet_hash FROM n""")
 def extract_ipv6(spark, sf_dir):
     text = F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("user_id"))), F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536)))
     out = _extracted(events(spark, sf_dir), F.to_variant_object(F.struct(text.alias("ip"))), {"ip": Field("ip_address")})
@@ -113,6 +117,30 @@ def extract_aliases_and_overrides(spark, sf_dir):
     return out.select("event_id", "amount", "again", F.col("`t.dayofweek`").alias("dayofweek"), F.col("`t.is_weekend`").alias("is_weekend"))
 
 
+@query("""SELECT event_id, (event_id % 97)::DOUBLE AS depth, (user_id % 3)::DOUBLE AS major, true AS accepted FROM events""")
+def extract_json_in_json(spark, sf_dir):
+    """An object in a text in an object in a text; what lies in it is handled as its own field says."""
+    inner = F.to_json(F.struct((F.col("event_id") % 97).alias("depth"), F.concat_ws(".", F.col("user_id") % 3, F.lit("0"), F.lit("1")).alias("version")))
+    outer = F.to_json(F.struct(F.struct(inner.alias("body")).alias("request")))
+    fields = {"raw": Field("json_expand"), "again": Field("json_expand", source="raw.request.body"), "depth": Field("numeric", source="again.depth"), "v": Field("semver", source="again.version")}
+    out = _extracted(events(spark, sf_dir), F.to_variant_object(F.struct(outer.alias("raw"))), fields)
+    return out.select("event_id", "depth", F.col("`v.major`").alias("major"), "accepted")
+
+
+@query("""
+SELECT event_id, event_id % 6 = 5 AS accepted, CASE event_id % 6
+  WHEN 0 THEN 't: cannot parse ''' || event_type || ''' as datetime' WHEN 1 THEN 'ip: cannot parse ''' || event_type || ''' as IP address' WHEN 2 THEN 'v: cannot parse ''' || event_type || ''' as semver'
+  WHEN 3 THEN 'j: cannot parse ''' || event_type || ''' as JSON' WHEN 4 THEN 'j: expected JSON object, got list' END AS error FROM events""")
+def extract_text_errors(spark, sf_dir):
+    """What texts that are no moments, addresses, versions or objects are refused with."""
+    kind, word = F.col("event_id") % 6, F.col("event_type")
+    given = lambda k, name, good: F.when(kind == k, word).otherwise(F.lit(good)).alias(name)
+    j = F.when(kind == 3, word).when(kind == 4, "[1]").otherwise("{}").alias("j")
+    payload = F.to_variant_object(F.struct(given(0, "t", "2024-01-01T00:00:00Z"), given(1, "ip", "10.0.0.1"), given(2, "v", "1.2.3"), j))
+    fields = {"t": Field("timestamp"), "ip": Field("ip_address"), "v": Field("semver"), "j": Field("json_expand")}
+    return _extracted(events(spark, sf_dir), payload, fields).select("event_id", "accepted", "error")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE user_id::VARCHAR END AS path, user_id::VARCHAR AS identifier, NULL::VARCHAR AS missing FROM events""")
 def path_and_identifiers(spark, sf_dir):
     literal = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(', "a.b": "'), "event_type", F.lit('"'))).otherwise("")
@@ -276,10 +304,10 @@ def _paths_sql(rows: str, p: detect.Plan, name: str) -> str:
     return ", ".join([*ctes, f"{name} AS ({union})"])
 
 
-def _hst_sql(p: detect.Plan) -> str:
+def _hst_sql(p: detect.Plan, digits: int = 6) -> str:
     """CTEs: split, cohorts, vectors of training (trained) and scored rows (frozen), the reference windows' masses and means."""
     w = "(PARTITION BY cohort_key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    z = lambda n, m, s, lo, hi: f"round(CASE WHEN {n} < 2 OR {lo} = {hi} THEN 0 ELSE greatest(-5, least(5, (value - {m}) / {s})) END, 6)"
+    z = lambda n, m, s, lo, hi: f"round(CASE WHEN {n} < 2 OR {lo} = {hi} THEN 0 ELSE greatest(-5, least(5, (value - {m}) / {s})) END, {digits})"
     return f"""
 {_SPLIT}, c AS (SELECT e.*, hour(ts)::DOUBLE AS hour, 'all' AS cohort, 'all' AS cohort_key, 0.25 AS weight FROM e UNION ALL SELECT e.*, hour(ts)::DOUBLE, 'type', 'type::' || event_type, 0.75 FROM e),
 tr AS (SELECT *, row_number() OVER (PARTITION BY cohort_key ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY cohort_key) AS trained, count(value) OVER {w} AS n, avg(value) OVER {w} AS m, stddev_pop(value) OVER {w} AS s, min(value) OVER {w} AS lo, max(value) OVER {w} AS hi FROM c WHERE NOT is_score),
@@ -343,6 +371,54 @@ def hst_explain(spark, sf_dir):
     return each.select("event_id", "cohort", "baseline", "f.field", "place", (F.col("f.delta") + 0.0).alias("delta"))
 
 
+# A configuration, learned and scored
+
+ENGINE = config.parse({
+    "features": {"f": {"value": "numeric"}},
+    "identifiers": ["id"],
+    "cohorts": [{"name": "all", "features_config": "f", "weight": 0.25}, {"name": "type", "features_config": "f", "fields": ["event_type"], "weight": 0.75}],
+})
+_ENGINE_PLAN = detect.Plan(event=("event_id",), order=("event_id",), numbers=(("value", -5.0, 5.0),), scaled=("value",), cohorts=PLAN.cohorts, window=250, trees=25)
+_ENGINE = f"""
+WITH {_hst_sql(_ENGINE_PLAN, 9)}, {_paths_sql("(SELECT rid, f0 FROM sc)", _ENGINE_PLAN, "ps")}, {_score_sql("sc", "ps", _ENGINE_PLAN, "got")},
+fin AS (SELECT event_id, cohort, s.cohort_key, weight, CASE WHEN trained >= 250 THEN score END AS score, CASE WHEN trained >= 250 THEN trained % 250 END AS reference_age FROM sc s JOIN got USING (rid) LEFT JOIN age a ON a.cohort_key = s.cohort_key)""".replace("ts, event_id", "event_id")
+
+
+def _payloads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The events as a service gets them, the earlier ones to learn from and the last fifth to score."""
+    rows = windows.head_tail(events(spark, sf_dir), ["event_id"], 0.2)
+    payload = F.to_variant_object(F.struct("value", "event_type", F.col("user_id").cast("string").alias("id")))
+    rows = rows.select(F.col("event_id").alias("seq"), payload.alias("payload"), "is_score")
+    return rows.filter("not is_score").drop("is_score"), rows.filter("is_score").drop("is_score")
+
+
+@query(f"{_ENGINE} SELECT event_id, cohort AS name, cohort_key AS key, weight::DOUBLE AS weight, round(score, 6) + 0.0 AS score, {_LABEL.replace('x ', 'round(score, 9) ')} AS score_label, reference_age FROM fin")
+def engine_cohort_scores(spark, sf_dir):
+    """What a configuration's cohorts say of each event to score, after they learned all earlier events."""
+    out = Engine(ENGINE).run(*_payloads(spark, sf_dir)).select(F.col("seq").alias("event_id"), F.inline("scores"))
+    return out.select("event_id", "name", "key", "weight", r6(F.col("anomaly_score")).alias("score"), "score_label", F.col("properties")["reference_age"].alias("reference_age"))
+
+
+@query(f"{_ENGINE}, o AS (SELECT event_id, sum(weight * score) / sum(CASE WHEN score IS NOT NULL THEN weight END) AS x FROM fin GROUP BY event_id) SELECT event_id, true AS accepted, user_id::VARCHAR AS identifier, round(x, 2) + 0.0 AS composite_score, CASE WHEN x IS NULL THEN 'insufficient_data' ELSE {_LABEL.replace('x ', 'round(x, 9) ')} END AS status FROM o JOIN events USING (event_id)")
+def engine_scores(spark, sf_dir):
+    """The response to each event to score."""
+    out = Engine(ENGINE).run(*_payloads(spark, sf_dir))
+    return out.select(F.col("seq").alias("event_id"), "accepted", F.col("identifiers")["id"].alias("identifier"), (F.col("composite_score") + 0.0).alias("composite_score"), "status")
+
+
+@query("""
+WITH k AS (SELECT event_id, value, 'user::' || user_id AS key, row_number() OVER w AS pos, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, min(value) OVER w AS lo, max(value) OVER w AS hi
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, 'value' AS field, value, CASE WHEN pos >= 10 THEN round(CASE WHEN n < 2 OR lo = hi THEN 0 ELSE greatest(-5, least(5, (value - m) / s)) END, 6) + 0.0 END AS preprocessed FROM k""")
+def engine_learned(spark, sf_dir):
+    """The response to each learned event of a cohort that warms up: its fields, with nothing preprocessed before the tenth of a key."""
+    cohort = {"name": "user", "features_config": "f", "fields": ["id"], "warmup_count": 10}
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.to_variant_object(F.struct("value", F.col("user_id").cast("string").alias("id"))).alias("payload"))
+    out = Engine(config.parse({"features": {"f": {"value": "numeric"}}, "cohorts": [cohort]})).learned(rows)
+    each = out.filter("accepted").select(F.col("seq").alias("event_id"), F.inline(F.get("cohorts", F.lit(0))["features"]))
+    return each.select("event_id", "field", F.col("value").cast("double").alias("value"), r6(F.get(F.try_element_at("preprocessed", F.lit("value")), F.lit(0))).alias("preprocessed"))
+
+
 # Scores, labels, metrics
 
 
@@ -393,6 +469,35 @@ def topk_contributions(spark, sf_dir):
     return composite.top_contributions(parts, ["event_id"], 2).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""
+WITH s AS (SELECT doc_id, n_chars % 100 AS x, toxic FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'FN' ELSE 'FP' END AS kind, x::DOUBLE AS score, {_LABEL} AS status FROM s WHERE (x >= 70) <> (toxic = 1)""")
+def misjudged_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("score", (F.col("n_chars") % 100).cast("double"))
+    rows = rows.withColumns({"status": labels.label(F.col("score")), "truth": F.when(F.col("toxic") == 1, "anomaly:toxic").otherwise("NORMAL")})
+    return composite.misjudged(rows, F.col("status"), F.col("truth")).select("doc_id", "kind", "score", "status")
+
+
+@query("SELECT event_type, count(*) FILTER (event_id % 5 > 0) AS accepted, count(*) FILTER (event_id % 5 = 0) AS unaccepted FROM events GROUP BY event_type")
+def accepted_counts(spark, sf_dir):
+    text = F.when(F.col("event_id") % 5 == 0, '{"n": "x"}').otherwise('{"n": 1}')
+    out = extract.extracted(events(spark, sf_dir).select("event_type", F.parse_json(text).alias("payload")), {"n": Field("numeric")})
+    return composite.acceptance(out, ["event_type"])
+
+
+@query(f"SELECT event_id, score, {_LABEL.replace('x ', 'score ')} AS status FROM (SELECT event_id, (event_id % 101)::DOUBLE AS score FROM events) WHERE score >= 70")
+def anomalous_only(spark, sf_dir):
+    score = (F.col("event_id") % 101).cast("double")
+    return state.anomalous(events(spark, sf_dir).select("event_id", score.alias("score"), labels.label(score).alias("status")))
+
+
+@query("SELECT c_custkey, round(100.0 * (SELECT count(*) FROM nation WHERE n_nationkey < c_nationkey) / (SELECT count(*) FROM nation), 6)::DOUBLE AS percentile FROM customer")
+def percentile_of_baseline(spark, sf_dir):
+    """The share of a model's sorted baseline that lies below each value; a baseline is a part of the model, and as small."""
+    baseline = table(spark, sf_dir, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("baseline"))
+    return table(spark, sf_dir, "customer").join(F.broadcast(baseline)).select("c_custkey", F.round(labels.share_below(F.col("baseline"), F.col("c_nationkey")), 6).alias("percentile"))
+
+
 # Scans, filters, sorts, state
 
 
@@ -442,6 +547,14 @@ def state_incremental(spark, sf_dir):
     return kept.load("scaler").select("model_key", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "low", "high")
 
 
+@query("SELECT 'scaler' AS model_type, event_type AS model_key, count(value)::BIGINT AS sample_count FROM events GROUP BY event_type")
+def state_statistics(spark, sf_dir):
+    kept = state.StateTable(spark, scratch(spark, "state"))
+    for part in ("ts < '2024-01-15'", "ts >= '2024-01-15'"):
+        kept.learn_moments("scaler", events(spark, sf_dir).filter(part), "event_type", "value")
+    return kept.statistics().select("model_type", "model_key", F.col("sample_count").cast("long").alias("sample_count"))
+
+
 @query("SELECT event_type, row_number() OVER (ORDER BY min(event_id))::INT AS at FROM events GROUP BY event_type")
 def first_seen_values(spark, sf_dir):
     return composite.first_seen(events(spark, sf_dir), "event_type", ["event_id"])
