@@ -27,7 +27,7 @@ ORDER = ["phase", "seq"]
 #: Rows of a block of the arrival order, by which a cohort that holds all rows adds up its statistics.
 BLOCK_ROWS = 50_000
 SHOWN = "ARRAY<STRUCT<field: STRING, value: STRING, preprocessed: MAP<STRING, ARRAY<DOUBLE>>, raw: MAP<STRING, STRING>>>"
-TOLD = "STRUCT<baseline: DOUBLE, features: ARRAY<STRUCT<field: STRING, value: DOUBLE, delta: DOUBLE>>>"
+TOLD = "STRUCT<baseline: DOUBLE, features: ARRAY<STRUCT<field: STRING, value: STRING, delta: DOUBLE, preprocessed: MAP<STRING, ARRAY<DOUBLE>>, raw: MAP<STRING, STRING>>>>"
 
 
 @dataclass(frozen=True)
@@ -208,12 +208,24 @@ class Engine:
             fields.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(name).alias("field"), F.col(c).cast("string").alias("value"), made.cast("map<string,array<double>>").alias("preprocessed"), F.when(F.size(raw) > 0, raw).alias("raw"))))
         return F.array_compact(F.array(*fields)).cast(SHOWN) if fields else F.array().cast(SHOWN)
 
+    def _told(self, explain: bool, shown: Column, baseline: Column, deltas: Column | None) -> Column:
+        """The explanation: the fields in the order of deltas (field, delta), or, where a model gives none, as they are, with nothing preprocessed."""
+        if not explain:
+            return F.lit(None).cast(TOLD)
+        part = lambda x, delta, made: F.struct(x["field"].alias("field"), x["value"].alias("value"), delta.cast("double").alias("delta"), made.alias("preprocessed"), x["raw"].alias("raw"))
+        bare = F.struct(F.lit(None).cast("double").alias("baseline"), F.transform(shown, lambda x: part(x, F.lit(None), F.create_map().cast("map<string,array<double>>"))).alias("features")).cast(TOLD)
+        if deltas is None:
+            return bare
+        own = lambda d: F.get(F.filter(shown, lambda x: x["field"] == d["field"]), F.lit(0))
+        told = F.filter(F.transform(deltas, lambda d: part(own(d), d["delta"], own(d)["preprocessed"])), lambda x: x["field"].isNotNull())
+        return F.when(deltas.isNotNull(), F.struct(baseline.alias("baseline"), told.alias("features")).cast(TOLD)).otherwise(bare)
+
     # Models
 
     def _cohort(self, events: DataFrame, cohort: Cohort, names: dict[str, str], explain: bool) -> DataFrame:
         """seq, key, anomaly_score, failed, properties, explanation of each scored event."""
-        empty = TOLD
-        none = [F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("string").alias("failed"), F.create_map().cast("map<string,long>").alias("properties"), F.lit(None).cast(empty).alias("explanation")]
+        untold = self._told(explain, self._shown(names, [], F.lit(False)), F.lit(None), None)
+        none = [F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("string").alias("failed"), F.create_map().cast("map<string,long>").alias("properties"), untold.alias("explanation")]
         if cohort.model == "NoOp":
             return events.filter("phase = 1").select("seq", "key", *none)
         number = F.row_number().over(Window.partitionBy("key").orderBy(*ORDER))
@@ -236,15 +248,18 @@ class Engine:
                     slots |= {c: size for c in categories if c == f"n{k}" or c.startswith(f"n{k}_v")}
             out = autoencoder.scored(rows, ["key"], ORDER, categories, [c for _, _, c, _ in numbers], "learns", "seq", autoencoder.Options(**given), keep=["phase"], slots=slots)
             shown = F.create_map(F.lit("buffer_size"), "buffered", F.lit("events_since_retrain"), F.coalesce("events_since_retrain", F.lit(0)))
-            told = F.lit(None).cast(empty)
+            told = F.lit(None).cast(TOLD)
             if explain:
+                # Only what is scored is shown.
+                shown_rows = rows.filter("phase = 1").select(F.col("seq").alias("_seq"), self._shown(names, features, F.lit(True)).alias("_shown"))
+                out = out.filter("phase = 1").join(shown_rows, F.col("seq") == F.col("_seq")).drop("_seq")
                 own = {c: f.field for f in features for c in f.columns}
                 field = lambda x: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in own.items() for v in kv]), x), x)
                 parts = F.transform("parts", lambda x: F.struct(field(x["field"]).alias("field"), x["delta"].alias("delta")))
                 share = lambda f: F.aggregate(F.filter(parts, lambda x: x["field"] == f), F.lit(0.0), lambda s, x: s + x["delta"])
-                each = F.transform(F.array_distinct(F.transform(parts, lambda x: x["field"])), lambda f: F.struct(f.alias("field"), F.lit(None).cast("double").alias("value"), F.round(share(f), 4).alias("delta")))
+                each = F.transform(F.array_distinct(F.transform(parts, lambda x: x["field"])), lambda f: F.struct(f.alias("field"), F.round(share(f), 4).alias("delta")))
                 by_size = lambda a, b: F.when(F.abs(a["delta"]) > F.abs(b["delta"]), -1).when(F.abs(a["delta"]) < F.abs(b["delta"]), 1).otherwise(0)
-                told = F.when(F.col("parts").isNotNull(), F.struct(F.lit(0.0).alias("baseline"), F.array_sort(each, by_size).alias("features")).cast(empty))
+                told = self._told(explain, F.col("_shown"), F.lit(0.0), F.array_sort(each, by_size))
             return out.filter("phase = 1").select("seq", "key", F.col("score").alias("anomaly_score"), F.col("error").alias("failed"), shown.alias("properties"), told.alias("explanation"))
         if not numbers:
             return events.filter("phase = 1").select("seq", "key", *none)
@@ -259,10 +274,15 @@ class Engine:
         # Rows are used twice, by the fit and by the scores; the model itself is small.
         train = rows.filter("phase = 0 and failed is null").select("key", *ORDER, "features")
         model = trees.fit(train, ["key"], ORDER, "features", forests, window)
+        if cohort.warmup > window:
+            # A key that has not warmed up has learned nothing.
+            warm = train.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= cohort.warmup).select(F.col("key").alias("_key"))
+            model = model.join(warm, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
         # A field is explained by all of its columns at once.
         groups = {f.field: [i for i, (_, _, c, _) in enumerate(numbers) if c in {x for g in features if g.field == f.field for x in g.columns}] for f in features}
-        out = trees.scored(rows.filter("phase = 1").select("seq", "key", "features", "failed"), model, ["key"], "features", forests, window, explain, groups)
-        said = F.col("explanation").cast(empty) if explain else F.lit(None).cast(empty)
+        shown = [self._shown(names, features, F.lit(True)).alias("_shown")] if explain else []
+        out = trees.scored(rows.filter("phase = 1").select("seq", "key", "features", "failed", *shown), model, ["key"], "features", forests, window, explain, groups)
+        said = self._told(explain, F.col("_shown"), F.col("explanation.baseline"), F.col("explanation.features")) if explain else F.lit(None).cast(TOLD)
         score = F.when(F.col("failed").isNull(), F.col("score"))
         return out.select("seq", "key", score.alias("anomaly_score"), "failed", F.when(F.col("reference_age").isNotNull(), F.create_map(F.lit("reference_age"), F.col("reference_age").cast("long"))).otherwise(F.create_map().cast("map<string,long>")).alias("properties"), said.alias("explanation"))
 
@@ -315,7 +335,9 @@ class Engine:
     def run(self, ingest: DataFrame, score: DataFrame, explain: bool = False) -> DataFrame:
         """seq, accepted, error, identifiers, composite_score, status, scores of each scored event.
 
-        scores: name, key, weight, anomaly_score, score_label, properties, explanation of each cohort, in their order.
+        scores: name, key, weight, anomaly_score, score_label, properties, explanation of each cohort, in their order. If asked
+        for, an explanation holds the event's fields, the largest share of the score first; without shares where the cohort's
+        model gives none, as before its first window.
         """
         both, names = self._both(ingest, score)
         parts = None

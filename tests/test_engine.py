@@ -48,6 +48,24 @@ def test_cold_start_and_weights(spark):
     assert row.composite_score is None and row.status == "insufficient_data" and row.scores[1].key == "user::__missing__"
 
 
+def test_explanations(spark):
+    """Fields with what was read and made of them; without shares where a model gives none. Absent fields are left out."""
+    raw = {"features": FEATURES, "cohorts": [hst(), hst("user", ["user.id"]), {"name": "none", "features_config": "f", "model": "NoOp"}]}
+    known, partly = run(spark, raw, ordinary(150), [{"latency": 103, "country": "US", "user": {"id": "u1"}}, {"country": "DE"}], explain=True)
+    one, cold, none = [{f.field: f for f in s.explanation.features} for s in known.scores]
+    assert known.scores[0].explanation.baseline is not None and known.scores[1].explanation.baseline is None
+    assert set(one) == set(cold) == set(none) == {"latency", "country"}
+    assert one["latency"].value == "103.0" and one["country"].value == "US" and one["country"].preprocessed["country__2"] == [1.0]
+    assert all(f.delta is not None for f in one.values()) and all(f.delta is None and f.preprocessed == {} for f in [*cold.values(), *none.values()])
+    assert [[f.field for f in s.explanation.features] for s in partly.scores] == [["country"]] * 3
+
+
+def test_a_key_that_has_not_warmed_up_scores_nothing(spark):
+    raw = {"features": FEATURES, "cohorts": [{**hst(), "warmup_count": 140}, {**hst("user", ["user.id"], window_size=20), "warmup_count": 60}]}
+    (row,) = run(spark, raw, ordinary(150), [{"latency": 103, "country": "US", "user": {"id": "u1"}}])
+    assert row.scores[0].anomaly_score is not None and row.scores[1].anomaly_score is None
+
+
 def test_rejections(spark):
     raw = {"features": {**FEATURES, "g": {"flag": "boolean"}}, "cohorts": [hst(), {**hst("second"), "features_config": "g"}]}
     ingest = ordinary(99) + [{"latency": 100, "country": "DE", "flag": 1}]
