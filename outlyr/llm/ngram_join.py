@@ -42,7 +42,7 @@ FILTER_BITS_A_TEXT, FILTER_MOST = 16, 1 << 28
 SLICE, HELD = 1 << 18, 1 << 20
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches, each with the sets of its texts; a task holds the sets of one slice."""
     with np.errstate(over="ignore"):
         for whole in batches:
@@ -50,7 +50,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
                 yield batch, shingle_sets([t or "" for t in batch.column("text").to_pylist()], size)
 
 
-def _fingerprint(data: bytes) -> bytes:
+def fingerprint(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -95,9 +95,9 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             counts = [_planes(p, 4) for p in np.split(times, edges[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "keys", "counts"])
 
-        for _, sets in _sets(batches, size):
+        for _, sets in set_batches(batches, size):
             for s in sets:
-                f = _fingerprint(s.tobytes())
+                f = fingerprint(s.tobytes())
                 if f not in seen and len(s):
                     seen.add(f)
                     held.append(s)
@@ -154,12 +154,12 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch, sets in _sets(batches, size):
+        for batch, sets in set_batches(batches, size):
             fps, gs, heads = [], [], []
             for s in sets:
                 head = order(s)[: prefix_length(len(s), percent)] if len(s) else s
-                g = int.from_bytes(_fingerprint(len(s).to_bytes(8, "little") + head.tobytes())[:8], "little", signed=True)
-                fps.append(_fingerprint(s.tobytes()))
+                g = int.from_bytes(fingerprint(len(s).to_bytes(8, "little") + head.tobytes())[:8], "little", signed=True)
+                fps.append(fingerprint(s.tobytes()))
                 gs.append(g)
                 heads.append(None if g in seen or not len(s) else head.view(np.int64))
                 seen.add(g)
@@ -178,7 +178,7 @@ def _may_link(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) ->
     return (least * 100 >= most * percent) & (rest * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _hidden(key: str) -> Column:
+def hidden(key: str) -> Column:
     """A key whose expression hides how its table is dealt.
 
     A table of one row a key that was made by an aggregate is dealt by that key already, and would be joined in the task
@@ -187,7 +187,7 @@ def _hidden(key: str) -> Column:
     return F.concat(F.col(key), F.unhex(F.lit("")))
 
 
-def _hidden_number(key: str) -> Column:
+def hidden_number(key: str) -> Column:
     """The same for a number."""
     return F.bitwise_not(F.bitwise_not(F.col(key)))
 
@@ -212,13 +212,15 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if before == state or not state[0]:
-            return edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
+            out = edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
+            out.outlyr_path = edges.outlyr_path
+            return out
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         centre = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(centre, F.col("u") == _hidden("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(centre, F.col("u") == hidden("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         centre = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(centre, F.col("u") == _hidden("c"))
+        small = large.join(centre, F.col("u") == hidden("c"))
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         spent, edges = edges, written(small, "edges")
         discard(spent)
@@ -240,7 +242,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     # Any group with the least place will do, so all that is added up are numbers.
     leads = entries.groupBy("shingle").agg(F.min_by("g", "at_n").alias("lead"), F.min("at_n").alias("lead_at_n"), F.count("*").alias("groups")).filter("groups > 1").select(F.col("shingle").alias("key"), "lead", "lead_at_n")
     at, n = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND((1 << 32) - 1)
-    met = entries.join(leads, F.col("shingle") == _hidden_number("key"))
+    met = entries.join(leads, F.col("shingle") == hidden_number("key"))
     met = written(met.select("shingle", "g", n("at_n").alias("n"), at("at_n").alias("at"), "lead", n("lead_at_n").alias("lead_n"), at("lead_at_n").alias("lead_at")), "met")
 
     first = met.filter("g <> lead").filter(_may_link(F.col("n"), F.col("at"), F.col("lead_n"), F.col("lead_at"), percent)).select("g", "lead").distinct()
@@ -254,7 +256,7 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     parts = marked.select("g", "label").distinct()
     open_ = met.select("shingle", "g", "n", "at").join(parts, "g")
     mixed = open_.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select(F.col("shingle").alias("key"))
-    open_ = written(open_.join(mixed, F.col("shingle") == _hidden_number("key"), "left_semi"), "open")
+    open_ = written(open_.join(mixed, F.col("shingle") == hidden_number("key"), "left_semi"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     may = (F.col("x.label") < F.col("y.label")) & _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent)
     ends = [F.col(f"{t}.{c}").alias(f"{c[0]}{k}") for k, t in ((1, "x"), (2, "y")) for c in ("g", "label")]
@@ -269,13 +271,18 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
     discard(groups, met, open_, marked)
     if not second.isEmpty():
         more = _links(texts, items, second, size, percent)
-        labels = components(links.unionByName(more))
-        discard(more)
+        spent, labels = labels, components(links.unionByName(more))
+        discard(more, spent)
+    found = named(items, labels)
+    discard(first, second, links, items, labels)
+    return whole.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
+
+
+def named(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """fp, component_id: the smallest id of each set's component, written; labels has the sets that are linked."""
     known = items.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     least = known.groupBy("label").agg(F.min("id").alias("component_id")).select(F.col("label").alias("key"), "component_id")
-    found = written(known.join(least, F.col("label") == _hidden("key")).select("fp", "component_id"), "found")
-    discard(first, second, links, items)
-    return whole.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
+    return written(known.join(least, F.col("label") == hidden("key")).select("fp", "component_id"), "found")
 
 
 def _marked(ids: DataFrame, bits: int) -> np.ndarray:
@@ -295,13 +302,12 @@ def _passes(h: pa.Array, marks: np.ndarray, bits: int) -> np.ndarray:
     return np.logical_and(*((marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) for at in places))
 
 
-def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that hold, written: tested on the whole sets of the texts that are in a pair.
+def sets_of(texts: DataFrame, items: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """fp, set of the given fps (one column), written.
 
-    Texts are scanned once; a filter over the wanted ids spares the others, and the joins drop what passes it by chance.
-    Rows that repeat give a link twice, which distinct() mends.
+    Texts are scanned once; a filter over the wanted ids spares the others, and joins drop what passes it by chance. Rows
+    that repeat give a set twice.
     """
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     ids = items.join(ends, "fp", "left_semi").select(F.xxhash64("id").alias("h"))
     rows = texts.select(F.xxhash64("id").alias("h"), "text")
     n = ids.count()
@@ -314,12 +320,19 @@ def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, perc
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = batches if shared is None else (batch.filter(pa.array(_passes(batch.column("h"), shared.value, bits))) for batch in batches)
-        for _, sets in _sets(chosen, size):
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
+        for _, sets in set_batches(chosen, size):
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
     sets = written(rows.mapInArrow(whole, "fp binary, set array<long>"), "sets")
     if shared is not None:
         shared.destroy()
+    return sets
+
+
+def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that hold, written: tested on the whole sets of the texts that are in a pair."""
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = sets_of(texts, items, ends, size)
     links = written(verified(pairs, sets, percent).distinct(), "links")
     discard(sets)
     return links

@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
 import corpus_pipeline
-from outlyr.llm import bpe, chat, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter
+from outlyr.llm import bpe, chat, filter_audit, language_id, media, minhash, mixing, ngram_join, quality_classifier, quality_rules, token_counts, url_filter, vector_codes
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_mixing": mixing.query,
+    "op11_minhash": minhash.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_filter_audit": filter_audit.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -21,4 +24,6 @@ ORACLES = {
     "op7_chat": chat.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
