@@ -9,7 +9,9 @@ other with a chance of (1 - 0.8^4)^32 = 5e-8; no bucket is capped. All pairs of
 
 1. each set meets the least set that leads one of its buckets;
 2. each set meets the leads of those of its buckets that are in other components after that;
-3. all pairs of a bucket that are still in different components, and whose sizes allow a link, are tried.
+3. all pairs of a bucket that are still in different components, and whose sizes allow a link, are tried: those of a small
+   bucket as rows, those of a large one in blocks. A task holds two blocks, counts what each two of their sets have in common
+   by matrix products, and gives one link for each two components that it joins, so no pairs of a large bucket are written.
 
 What is in one component needs no test. Pairs are confirmed on whole sets of 64-bit hashes, links become components, and a group
 of copies, which share a set, is one set. Sets of texts that share no bucket are not gathered.
@@ -32,6 +34,10 @@ from outlyr.llm.ngram_join import components, fingerprint, hidden_number, named,
 from outlyr.llm.shingles import mixed
 
 BANDS, ROWS = 32, 4
+#: Sets of a bucket whose pairs are written as rows; beyond it, blocks of at most so many sets, and shingles, are compared.
+PAIRED, BLOCK_SETS, BLOCK_SHINGLES = 32, 2048, 1 << 20
+#: Numbers of a matrix of sets by shingles.
+CELLS = 1 << 22
 # What tells the two permutations and the bands apart.
 FIRST, SECOND, BAND = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x3C6EF372FE94F82A), np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +90,63 @@ def sizes_allow(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
+def common(values: np.ndarray, rows: np.ndarray, n_left: int, n: int) -> np.ndarray:
+    """How many values each row below n_left shares with each of the rows from n_left to n (all with all, where these are none)."""
+    held, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    # A value of one row alone is shared by none.
+    place = np.cumsum(times > 1) - 1
+    known = times[at] > 1
+    at, rows = place[at[known]], rows[known]
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    left, right = (slice(0, n_left), slice(n_left, n)) if n_left < n else (slice(0, n), slice(0, n))
+    out = np.zeros((left.stop, right.stop - right.start))
+    width = max(1, CELLS // max(1, n))
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        part = slice(*np.searchsorted(at, (first, first + width)))
+        matrix = np.zeros((n, width), np.float32)
+        matrix[rows[part], at[part] - first] = 1
+        out += matrix[left] @ matrix[right].T
+    return out
+
+
+def blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: a link for each two components that sets of one large bucket join; open_ has bucket, fp, n, c (the component).
+
+    A bucket's sets are dealt into blocks by their hash, and each two of its blocks meet in one group.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = open_.groupBy("bucket").agg(F.count("*").alias("m"), parts.alias("parts")).filter(F.col("m") > PAIRED).select(F.col("bucket").alias("key"), "parts")
+    rows = open_.join(large, F.col("bucket") == hidden_number("key")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.select("bucket", "fp", "c", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "c", "fp").join(sets, "fp")
+
+    def compared(group: pa.Table) -> pa.Table:
+        left, right = {}, {}
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        numbers = zip(group.column("fp").to_pylist(), group.column("own").to_pylist(), group.column("c").to_pylist())
+        # A repeated row may have given a set twice.
+        for i, (fp, own, c) in enumerate(numbers):
+            (left if own == low else right)[fp] = (i, c)
+        both = [*left.items(), *right.items()]
+        held = group.column("set").combine_chunks()
+        own = [held[i].values.to_numpy(zero_copy_only=False) for _, (i, _) in both]
+        size, c = np.array([len(x) for x in own]), np.array([c for _, (_, c) in both])
+        fps = np.array([fp for fp, _ in both], object)
+        n_left = len(left) if low < high else len(both)
+        same = common(np.concatenate(own), np.repeat(np.arange(len(own)), size), n_left, len(own))
+        shift = n_left if low < high else 0
+        i, j = np.nonzero(same * (100 + percent) >= (size[:n_left, None] + size[None, shift:]) * percent)
+        j += shift
+        keep = c[i] < c[j] if low == high else c[i] != c[j]
+        i, j = i[keep], j[keep]
+        ends = np.stack((np.minimum(c[i], c[j]), np.maximum(c[i], c[j])), 1)
+        one = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else []
+        return pa.table({"a": pa.array(fps[i[one]].tolist() if len(ends) else [], pa.binary()), "b": pa.array(fps[j[one]].tolist() if len(ends) else [], pa.binary())})
+
+    return rows.groupBy("bucket", "low", "high").applyInArrow(compared, "a binary, b binary")
+
+
 def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept of each row."""
     small_batches(docs.sparkSession)
@@ -107,32 +170,33 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, pe
             both = both.join(done, ["a", "b"], "left_anti")
         return both
 
-    def joined(pairs: DataFrame) -> None:
-        """Confirms pairs and adds their links to the components."""
+    def joined(pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Confirms pairs and adds their links, and more of them, to the components."""
         nonlocal labels
         pairs = written(pairs, "pairs")
         before = [] if labels is None else [labels]
         tried.append(pairs)
-        if labels is not None and pairs.isEmpty():
-            return
-        links = written(verified(pairs, sets, percent).distinct(), "links")
-        known = [x.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")) for x in before]
-        labels = components(links.unionByName(*known) if known else links)
-        discard(links, *before)
+        links = verified(pairs, sets, percent)
+        links = written((links if more is None else links.unionByName(more)).distinct(), "links")
+        if labels is None or not links.isEmpty():
+            known = [x.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")) for x in before]
+            labels = components(links.unionByName(*known) if known else links)
+            discard(*before)
+        discard(links)
 
     def labelled() -> DataFrame:
-        """f, n and a number for the component of each set that is in a bucket."""
-        return items.join(labels, "fp", "left").select("f", "n", F.xxhash64(F.coalesce("label", "fp")).alias("c"))
+        """f, fp, n and a number for the component of each set that is in a bucket."""
+        return items.join(labels, "fp", "left").select("f", "fp", "n", F.xxhash64(F.coalesce("label", "fp")).alias("c"))
 
     joined(paired(met.groupBy("f").agg(F.min("lead").alias("other")).filter("f <> other")))
     other = labelled().select(F.col("f").alias("other"), F.col("c").alias("d"))
     joined(paired(met.filter("f <> lead").select("f", F.col("lead").alias("other")).distinct().join(labelled(), "f").join(other, "other").filter("c <> d").select("f", "other")))
     open_ = met.select("bucket", "f").distinct().join(labelled(), "f")
-    several = open_.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select(F.col("bucket").alias("key"))
-    open_ = written(open_.join(several, F.col("bucket") == hidden_number("key"), "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    several = open_.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low < high").select(F.col("bucket").alias("key"), "m")
+    open_ = written(open_.join(several, F.col("bucket") == hidden_number("key")).drop("key"), "open")
+    x, y = (open_.filter(F.col("m") <= PAIRED).alias(t) for t in "xy")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & sizes_allow(F.col("x.n"), F.col("y.n"), percent))
-    joined(paired(across.select(F.col("x.f").alias("f"), F.col("y.f").alias("other")).distinct()))
+    joined(paired(across.select(F.col("x.f").alias("f"), F.col("y.f").alias("other")).distinct()), blocked(open_.drop("m"), sets, percent))
     discard(open_, met, sets, *tried)
     found = named(items, labels)
     discard(items, labels)

@@ -25,6 +25,35 @@ def test_large_groups_of_near_copies_with_a_common_passage(spark):
     assert rows_of(found) == brute(rows, 4, 80)
 
 
+@pytest.mark.parametrize(("paired", "block"), [(0, 2048), (0, 16), (2, 50)])
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch, paired, block):
+    """Texts close to one another, below the threshold but for some pairs, in buckets of one block, of many, and in rows."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    monkeypatch.setattr(minhash, "CELLS", 1 << 12)
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.choice(90, rng.integers(1, 4), replace=False):
+            w[k] = f"own{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, t) for i, (_, t) in enumerate(rows[:5])]
+    found = minhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4, percent=85)
+    want = brute(rows, 4, 85)
+    assert rows_of(found) == want and 1 < len({c for *_, c in want}) < 150
+
+
+def test_common_counts(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(12)]
+    values, rows = np.concatenate(sets), np.repeat(np.arange(12), [len(s) for s in sets])
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (minhash.common(values, rows, 12, 12) - np.diag(np.diag(minhash.common(values, rows, 12, 12))) == want - np.diag(np.diag(want))).all()
+    assert (minhash.common(values, rows, 5, 12) == want[:5, 5:]).all()
+
+
 def test_a_chain_of_near_copies_is_one_component(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[i:] + [f"t{k}" for k in range(i)])) for i in range(40)]
