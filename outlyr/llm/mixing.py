@@ -4,7 +4,8 @@ Sources in code-point order (null last) get weights in turn and share a multiple
 max_repeats times its source's words, and what is above goes to the other sources by weight. Slot i of the schedule is the
 i-th golden-ratio point, mapped through the sources' cumulative shares, so every stretch of slots holds the sources near
 their shares. The r-th slot of a source takes the r-th equal block of words of its shuffled documents, which repeat until
-the target is reached; slots that the schedule leaves short of a target are appended to it. What comes out is in the order
+the target is reached; blocks that the schedule leaves short of a target take the slots that others have no block for, and
+then those after its end. What comes out is in the order
 of the slots: each row says where the mix first takes it and in how many pieces, and mixed documents are dealt by stretches
 of slots and stand in their order.
 
@@ -76,7 +77,7 @@ def goal() -> Column:
 
 
 def schedule(sources: DataFrame, block_words: int) -> DataFrame:
-    """slot, no, block: which block of which source each slot takes.
+    """slot, no, block: which block of which source each slot takes. Slots run from 0 without gaps, one for each block.
 
     Shares are whole numbers of the circle's points, from whole words, so that they are the same wherever they are worked out.
     """
@@ -97,12 +98,17 @@ def schedule(sources: DataFrame, block_words: int) -> DataFrame:
     heads = heads.select("no", "stretch", "n", F.coalesce(ahead, F.lit(0)).alias("ahead"))
     inside = F.row_number().over(Window.partitionBy("no", "stretch").orderBy("slot")) - 1
     ranked = drawn.withColumn("inside", inside).join(heads.drop("n"), ["no", "stretch"])
-    ranked = ranked.select("slot", "no", (F.col("ahead") + F.col("inside")).alias("block"), "need").filter("block < need").drop("need")
+    ranked = ranked.select("slot", "no", (F.col("ahead") + F.col("inside")).alias("block"), "need")
     given = heads.groupBy("no").agg(F.sum("n").alias("given"))
     short = shares.join(given, "no", "left").withColumn("given", F.coalesce("given", F.lit(0))).filter("given < need")
     closing = short.select("no", F.explode(F.sequence("given", F.col("need") - 1)).alias("block"))
-    closing = closing.select((F.lit(n_slots) + F.col("block")).alias("slot"), "no", "block")
-    return ranked.unionByName(closing)
+    # Slots that a source has no block for are given to such blocks, and then those after the last. Both are few: a source's
+    # count of points is off its share by the logarithm of all.
+    gaps = ranked.filter("block >= need").select("slot", F.row_number().over(Window.orderBy("slot")).alias("turn"))
+    n_gaps = gaps.agg(F.count("*").alias("gaps"))
+    closing = closing.withColumn("turn", F.row_number().over(Window.orderBy("block", "no"))).join(gaps, "turn", "left").join(F.broadcast(n_gaps))
+    closing = closing.select(F.coalesce("slot", n_slots + F.col("turn") - 1 - F.col("gaps")).cast("long").alias("slot"), "no", "block")
+    return ranked.filter("block < need").drop("need").unionByName(closing)
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, max_repeats=2, block_words: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +179,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extrac
      i AS (SELECT unnest(range((SELECT coalesce(max(n_slots), 0)::BIGINT FROM h))) AS slot),
      r AS (SELECT slot, no, need, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS block FROM i JOIN h ON (slot % {CIRCLE}) * {STEP} % {CIRCLE} >= low AND (slot % {CIRCLE}) * {STEP} % {CIRCLE} < high),
      c AS (SELECT no, max(n_slots)::BIGINT AS n_slots, max(need) AS need, count(r.slot) AS given FROM h LEFT JOIN r USING (no, need) GROUP BY no),
-     z AS (SELECT slot, no, block FROM r WHERE block < need UNION ALL SELECT n_slots + block, no, block FROM (SELECT no, n_slots, unnest(range(given, need::BIGINT)) AS block FROM c WHERE given < need)),
+     q AS (SELECT slot, row_number() OVER (ORDER BY slot) AS turn FROM r WHERE block >= need),
+     y AS (SELECT no, n_slots, block, row_number() OVER (ORDER BY block, no) AS turn FROM (SELECT no, n_slots, unnest(range(given, need::BIGINT)) AS block FROM c WHERE given < need)),
+     z AS (SELECT slot, no, block FROM r WHERE block < need UNION ALL SELECT coalesce(slot, n_slots + turn - 1 - (SELECT count(*) FROM q)), no, block FROM y LEFT JOIN q USING (turn)),
      p AS (SELECT rid, doc_id, no, size, source_size, target, goal,
                   coalesce(sum(size) OVER (PARTITION BY h.source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, 'null')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
            FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),

@@ -59,6 +59,18 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.taken_words(*mixing.mix(df.repartition(7), block_words=64)).collect()))
 
 
+@pytest.mark.parametrize("block", [16, 64, 4096])
+def test_slots_are_distinct_and_without_gaps(spark, block):
+    """Also where several sources end inside a block, so that blocks are left after the schedule's end."""
+    rows = [(i, "w " * (1 + i % 50), f"s{i * i % 23 % 9}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = mixing.targets(mixing.sizes(df)).cache()
+    slots = mixing.schedule(sources, block).collect()
+    need = {r.no: -(-int(r.target) // block) for r in sources.collect()}
+    assert sorted(r.slot for r in slots) == list(range(sum(need.values())))
+    assert {no: sorted(r.block for r in slots if r.no == no) for no in need} == {no: list(range(n)) for no, n in need.items()}
+
+
 def test_mix_edges(edge, empty):
     out = mixing.taken_words(*mixing.mix(edge)).collect()
     assert len(out) == 9 and all(r.taken <= 2 * r.size for r in out) and {r.source for r in out} == {"a", "b", "c", None}
