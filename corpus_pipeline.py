@@ -5,8 +5,8 @@ Every stage takes a table with doc_id, text and source, and keeps whatever other
 * quality: a null or empty text gets the score of the model's bias, and goes or stays by it; a score at the threshold stays;
   without labels every score is 0.5, and all rows go.
 * rules: null, empty and other texts of fewer than 50 words go, as do texts of more than 1,000,000 words.
-* near_duplicates: null and empty texts are linked with nothing and stay; of a component the smallest doc_id stays, of rows
-  alike in id and text one. Null ids stay.
+* near_duplicates: null and empty texts are linked with nothing and stay; of a component one row of the smallest doc_id
+  stays, where a null id is larger than any; of rows alike in id and text one.
 * mixture: rows without words are never taken; a null source is a source of its own; repeated rows are taken each.
 * tokens: a null text has no tokens; repeated rows give a row each.
 

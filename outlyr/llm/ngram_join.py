@@ -18,7 +18,7 @@ What is read more than once is written to the shared folder and deleted when it
 Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer words than a shingle are one shingle;
 texts of any length are read whole, a slice of texts at a time. Copies and repeated rows share one set and one component.
 Null ids are kept, and count in no component's smallest id. An empty table gives no rows. Ties: of rows with one id the
-smallest id is that id; deduplicated() keeps one of several rows alike in id and text. Only the two named columns are read.
+smallest id is that id; deduplicated() says which row of a component it keeps. Only the two named columns are read.
 """
 
 import hashlib
@@ -136,7 +136,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, n, fp (the set), g (the group), prefix (where a task meets a group first), written."""
+    """id, h (the text), n, fp (the set), g (the group), prefix (where a task meets a group first), written."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent(texts, size))
     drop = np.uint64(64 - COUNT_BITS)
 
@@ -163,10 +163,12 @@ def prefixes(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 gs.append(g)
                 heads.append(None if g in seen or not len(s) else head.view(np.int64))
                 seen.add(g)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(gs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "n", "fp", "g", "prefix"])
+            own = [batch.column("id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fps, pa.binary()), pa.array(gs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["id", "h", "n", "fp", "g", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    out = written(texts.select("id", "text").mapInArrow(first, f"id {kind}, n long, fp binary, g long, prefix array<long>"), "prefixes")
+    rows = texts.select("id", F.xxhash64("text").alias("h"), "text")
+    out = written(rows.mapInArrow(first, f"id {kind}, h long, n long, fp binary, g long, prefix array<long>"), "prefixes")
     shared.destroy()
     return out
 
@@ -227,7 +229,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id, fp (the set) of each row."""
+    """id, n_shingles, component_id, fp (the set), h (the text), label (the component, NULL for an empty set) of each row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     whole = prefixes(texts, size, percent)
@@ -275,14 +277,14 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, pe
         discard(more, spent)
     found = named(items, labels)
     discard(first, second, links, items, labels)
-    return whole.select("id", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp")
+    return whole.select("id", "h", "n", "fp").join(found, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "fp", "h", "label")
 
 
 def named(items: DataFrame, labels: DataFrame) -> DataFrame:
-    """fp, component_id: the smallest id of each set's component, written; labels has the sets that are linked."""
+    """fp, component_id (the smallest id of the set's component), label, written; labels has the sets that are linked."""
     known = items.join(labels, "fp", "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
     least = known.groupBy("label").agg(F.min("id").alias("component_id")).select(F.col("label").alias("key"), "component_id")
-    return written(known.join(least, F.col("label") == hidden("key")).select("fp", "component_id"), "found")
+    return written(known.join(least, F.col("label") == hidden("key")).select("fp", "component_id", "label"), "found")
 
 
 def _marked(ids: DataFrame, bits: int) -> np.ndarray:
@@ -344,8 +346,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id; of repeated rows one."""
+    """The rows of docs that stay: one of each component, and every text without words.
+
+    A component keeps a row of its smallest id; a null id is larger than any. Where several rows of a component have that
+    id, the one whose set and text have the smallest hashes stays. Of rows alike in id and text one stays.
+    """
     found = similar(docs, id_col, text_col, size, percent)
-    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(f"`{text_col}`")).join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_semi")
+    first = found.filter("label is not null").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("label").agg(F.min(F.struct("fp", "h")).alias("_row"), F.first("id").alias("_id")).select("_id", F.col("_row.h").alias("_h"))
+    kept = first.unionByName(found.filter("label is null").select(F.col("id").alias("_id"), F.col("h").alias("_h"))).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(f"`{text_col}`"))
+    rows = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
     return rows.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

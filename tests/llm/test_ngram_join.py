@@ -86,3 +86,26 @@ def test_edges(edge, empty):
     kept = ngram_join.deduplicated(edge)
     assert kept.columns == edge.columns and kept.count() == 8 and ngram_join.deduplicated(empty).count() == 0
     assert kept.filter(F.col("doc_id").isNull()).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        # A repeated id with unlike texts: each row is judged by its own text.
+        ([(3, "A"), (7, "A"), (7, "B")], [(3, "A"), (7, "B")]),
+        ([(3, "A"), (7, "A"), (7, "B"), (9, "B")], [(3, "A"), (7, "B")]),
+        # A null id is larger than any, and stays where its component has no other.
+        ([(3, "A"), (None, "A"), (None, "B"), (None, "C")], [(3, "A"), (None, "B"), (None, "C")]),
+        ([(None, "A"), (None, "a")], [(None, None)]),
+        # One id, one set, other letters or blanks: one row stays. Texts without words stay each, alike rows once.
+        ([(5, "A"), (5, "a")], [(5, None)]),
+        ([(5, ""), (5, ""), (6, ""), (None, None), (5, None), (5, " ")], [(None, None), (5, None), (5, ""), (5, " "), (6, "")]),
+    ],
+)
+def test_which_rows_stay(spark, rows, want):
+    texts = {"A": "one two three four five six seven", "a": "One  two three\nfour five six seven", "B": "eight nine ten eleven twelve thirteen", "C": "some other text of more than five words"}
+    df = spark.createDataFrame([(i, texts.get(t, t), "x") for i, t in rows], "doc_id long, text string, id string")
+    got = [(r.doc_id, {v: k for k, v in texts.items()}.get(r.text, r.text)) for r in ngram_join.deduplicated(df).collect()]
+    if want == [(rows[0][0], None)] and len(got) == 1:
+        got = [(got[0][0], None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
