@@ -96,3 +96,45 @@ def test_ipv6_golden_value(spark):
     frame = spark.createDataFrame([('{"ip": "2001:db8::1"}',)], "json string").select(F.parse_json("json").alias("payload"))
     row = extract.extracted(frame, {"ip": Field("ip_address")}).first().features
     assert row["ip.is_private"] == 1.0 and abs(row["ip.subnet_hash"] - 0.719720471119443) < 1e-12
+
+
+def nested(depth):
+    """A payload of texts in texts, and the fields that read a number, a version and an alias of each level."""
+    import json
+
+    inner, fields, path = {"n": depth, "v": f"1.{depth}"}, {}, "raw"
+    for k in range(depth - 1, 0, -1):
+        inner = {"n": k, "v": f"1.{k}", "in": json.dumps(inner)}
+    for k in range(1, depth + 1):
+        fields |= {path: Field("json_expand"), f"{path}.n": Field("numeric"), f"{path}.v": Field("semver"), f"alias{k}": Field("numeric", source=f"{path}.v.minor")}
+        path += ".in"
+    return json.dumps({"raw": json.dumps(inner)}), fields
+
+
+def test_texts_in_texts_six_levels_deep(spark):
+    payload, fields = nested(6)
+    (found, error), = run(spark, fields, payload)
+    assert error is None and [found[f"alias{k}"] for k in range(1, 7)] == [1, 2, 3, 4, 5, 6] and found["raw.in.in.in.in.in.n"] == 6
+
+
+def test_a_plan_grows_with_its_fields_and_not_with_their_depth(spark):
+    """Each JSON text is parsed once for each row, whatever is read from it."""
+    rows = spark.createDataFrame([(0, "{}")], "seq long, json string").select("seq", F.parse_json("json").alias("payload"))
+    size = {}
+    for depth in (2, 4, 8):
+        plan = extract.extracted(rows, nested(depth)[1])._jdf.queryExecution().optimizedPlan().toString()
+        size[depth] = len(plan)
+        assert plan.count("parse_json") <= depth + 1
+    assert size[8] - size[4] < 4 * (size[4] - size[2])
+
+
+def test_an_object_inside_is_no_leaf(spark):
+    fields = {"raw": Field("json_expand"), "raw.a": Field("str_text"), "raw.a.b": Field("numeric")}
+    (found, error), = run(spark, fields, '{"raw": "{\\"a\\": {\\"b\\": 2}}"}')
+    assert (found["raw.a"], found["raw.a.b"], error) == (None, 2, None)
+
+
+def test_entries_are_sources_of_later_ones(spark):
+    fields = {"flag": Field("boolean", source="x.flag"), "same": Field("boolean", source="flag"), "text": Field("str_text", source="flag")}
+    (found, error), = run(spark, fields, '{"x": {"flag": true}}')
+    assert (found["flag"], found["same"], found["text"], error) == (1, 1, "True", None)
