@@ -2,6 +2,8 @@
 
 from dataclasses import dataclass, field
 
+from outlyr import extensions
+
 # Field types, and the encoder that each model takes for a type where none is named.
 TYPES = ("timestamp", "numeric", "boolean", "str_categorical", "str_identifier", "str_text", "ip_address", "semver", "json_expand", "ignore")
 DEFAULT_ENCODERS = {
@@ -29,7 +31,7 @@ class Cohort:
     features: str = "default"
     params: dict = field(default_factory=dict)
     warmup: int = 0
-    lru_size: int | None = None  #: accepted; the state of every key is kept in the state table, so results do not depend on it
+    lru_size: int | None = None  #: no state is evicted; but ids that such a cohort gives while it scores are not kept
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,9 @@ NO_FEATURES = ""
 
 def encoder_of(f: Field, model: str) -> str:
     """The named encoder, or the model's for the type; ValueError for an unknown or unsupported one."""
-    name = f.encoder or DEFAULT_ENCODERS[model].get(f.type, "PassThrough")
-    if name not in ENCODERS:
+    defaults = DEFAULT_ENCODERS[model] if model in DEFAULT_ENCODERS else extensions.MODELS[model].encoders
+    name = f.encoder or defaults.get(f.type, "PassThrough")
+    if name not in ENCODERS and name not in extensions.ENCODERS:
         raise ValueError(f"Unknown preprocessor: '{name}'")
     return name
 
@@ -75,8 +78,8 @@ def parse(raw: dict) -> Config:
     cohorts = []
     for c in raw.get("cohorts") or ():
         kind, params = _named(c.get("model", "HalfSpaceTrees"))
-        if kind not in MODELS:
-            raise ValueError(f"Unknown model: '{kind}'. Available: {list(MODELS)}")
+        if kind not in MODELS and kind not in extensions.MODELS:
+            raise ValueError(f"Unknown model: '{kind}'. Available: {[*MODELS, *extensions.MODELS]}")
         name = c["features_config"] if "features_config" in c else c.get("features", "default")
         if name is None:
             name = NO_FEATURES

@@ -4,6 +4,8 @@ Categories are looked up in embeddings that train with the rest (the loss reache
 target); numbers stand beside an is-present flag. The share of the buffer's errors below an event's error is its percentile.
 """
 
+import io
+import json
 from bisect import bisect_left
 from collections import deque
 from dataclasses import dataclass
@@ -109,6 +111,32 @@ class State:
         self.seen = 0
         self.baseline: list[float] = []
 
+    def saved(self) -> bytes:
+        """All of it as arrays and JSON; nothing is pickled."""
+        ids, x = [list(c) for c in zip(*self.rows)] or [[], []]
+        told = {"used": self.used, "seen": self.seen, "ids": [list(known.items()) for known in self.ids], "net": None}
+        arrays = {"ids": np.array(ids, np.int64).reshape(len(ids), -1), "x": np.array(x, np.float64).reshape(len(x), -1), "baseline": np.array(self.baseline)}
+        if self.net is not None:
+            told["net"] = {"step": self.net.step, "rng": self.net.rng.bit_generator.state, "sizes": [len(p) - self.o.headroom for p in self.net.p[8:]]}
+            arrays |= {f"{name}{i}": a for name in "pmv" for i, a in enumerate(getattr(self.net, name))}
+        out = io.BytesIO()
+        np.savez(out, told=np.frombuffer(json.dumps(told, default=lambda v: v.item()).encode(), np.uint8), **arrays)
+        return out.getvalue()
+
+    def restored(self, data: bytes) -> "State":
+        """This state, which has learned nothing yet, with what a saved one held."""
+        with np.load(io.BytesIO(data), allow_pickle=False) as held:
+            told = json.loads(held["told"].tobytes())
+            self.used, self.seen, self.baseline = told["used"], told["seen"], held["baseline"].tolist()
+            self.ids = [dict(map(tuple, known)) for known in told["ids"]]
+            self.rows.extend(zip(held["ids"].tolist(), held["x"].tolist(), strict=True))
+            if told["net"]:
+                self.net = Network(told["net"]["sizes"], len(self.numbers), self.o)
+                self.net.step, self.net.rng.bit_generator.state = told["net"]["step"], told["net"]["rng"]
+                for name in "pmv":
+                    setattr(self.net, name, [held[f"{name}{i}"] for i in range(len(self.net.p))])
+        return self
+
     def encode(self, row, learn: bool) -> tuple[list[int], list[float], str | None]:
         ids, error = [], None
         for known, name in zip(self.ids, self.categories, strict=True):
@@ -160,12 +188,13 @@ class State:
         return score, None, sorted(((n, round(p / total * score, 4)) for n, p in parts), key=lambda p: -abs(p[1]))
 
 
-def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = (), slots: dict[str, int] = {}) -> DataFrame:
+def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = (), slots: dict[str, int] = {}, before: DataFrame | None = None, finish: bool = False) -> DataFrame:
     """keys, id_col, keep, score, error, buffered, events_since_retrain, top_field, parts of each row that does not learn.
 
     parts: each field's share of the score by its squared error, the largest first.
     Rows where learns is true are learned in order, the others are scored with the state of their moment. events needs
     all named columns; numbers are encoded already. slots: categories that may stay empty, with the number of values they may take.
+    before: keys and state of models that have learned already; finish: states are handed on (see sequential.by_key).
     """
 
     def step(state: State, rows: pd.DataFrame) -> pd.DataFrame:
@@ -186,6 +215,9 @@ def scored(events: DataFrame, keys: list[str], order: list[str], categories: lis
         found["events_since_retrain"] = found["events_since_retrain"].astype("Int64")
         return pd.concat([rows.loc[shown, [*keys, id_col, *keep]], found], axis=1)
 
+    def start() -> State:
+        return State(categories, numbers, options, slots)
+
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
     used = events.select(*dict.fromkeys([*keys, *order, id_col, *keep, learns, *categories, *numbers]))
-    return by_key(used, keys, order, lambda: State(categories, numbers, options, slots), step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string, parts array<struct<field:string,delta:double>>")
+    return by_key(used, keys, order, start, step, f"{kinds}, score double, error string, buffered long, events_since_retrain long, top_field string, parts array<struct<field:string,delta:double>>", before, lambda data: start().restored(data), State.saved if finish else None)

@@ -5,6 +5,7 @@ tokens agree; tokens that differ become wildcards. State is bounded by the numbe
 goes first.
 """
 
+import json
 import re
 from collections import OrderedDict
 from dataclasses import dataclass, field
@@ -62,14 +63,26 @@ class Miner:
         self.clusters.move_to_end(i)
         return i
 
+    def saved(self) -> bytes:
+        return json.dumps({"made": self.made, "clusters": list(self.clusters.items())}).encode()
+
+    def restored(self, data: bytes) -> "Miner":
+        """This miner, which has learned nothing yet, with a saved one's templates."""
+        held = json.loads(data)
+        self.made, self.clusters = held["made"], OrderedDict((i, tokens) for i, tokens in held["clusters"])
+        for i in sorted(self.clusters):
+            self.index.setdefault(self._lead(self.clusters[i]), []).append(i)
+        return self
+
     def variables(self, message: str, template: list[str]) -> list[str]:
         return [t for t, own in zip(message.split(), template, strict=True) if own == WILD]
 
 
-def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), **params) -> DataFrame:
+def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), before: DataFrame | None = None, finish: bool = False, **params) -> DataFrame:
     """keys, id_col, keep, template_id, template, variables of each row, in order; NULLs for a blank text.
 
-    Rows where the condition learns is false are matched with the templates of their moment, or with none.
+    Rows where the condition learns is false are matched with the templates of their moment, or with none. before: keys and
+    state of miners that have learned already; finish: states are handed on (see sequential.by_key).
     """
 
     def step(miner: Miner, rows: pd.DataFrame) -> pd.DataFrame:
@@ -91,4 +104,4 @@ def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_co
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
     df = df.withColumn("_learns", F.expr(learns))
-    return by_key(df, keys, order, lambda: Miner(**params), step, f"{kinds}, template_id long, template string, variables array<string>")
+    return by_key(df, keys, order, lambda: Miner(**params), step, f"{kinds}, template_id long, template string, variables array<string>", before, lambda data: Miner(**params).restored(data), Miner.saved if finish else None)

@@ -55,16 +55,58 @@ def frequency_encoder(v: Column, value_col: str, keys: list[str], order: list[st
     return F.when(v.isNull(), None).when(all_ == 0, F.lit(0.0)).otherwise(seen / F.when(all_ > 0, all_))
 
 
-def label_index(df: DataFrame, value_col: str, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """df with name: the id of the value by first appearance in its key, from 1.
-
-    First appearances are a small aggregate (one row for each key and value) that is ranked and joined back.
-    """
+def value_ids(df: DataFrame, value_col: str, keys: list[str], order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """keys, value_col, id of each value of df: by first appearance in its key, from 1; after the ids of known, which stay."""
     at = F.struct(*order)
     first = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.min(at).alias("_first"))
-    ids = first.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))).drop("_first")
-    on = [df[k].eqNullSafe(ids[k]) for k in (*keys, value_col)]
-    return df.join(ids, on, "left").select(df["*"], ids[name])
+    if known is None:
+        return first.select(*keys, value_col, F.row_number().over(Window.partitionBy(*keys).orderBy("_first")).alias("id"))
+    same = lambda left, names: [left[k].eqNullSafe(F.col(f"_k_{k}")) for k in names]
+    old = known.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, value_col)], F.col("id").alias("_id"))
+    last = known.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("id").alias("_last"))
+    found = first.join(old, same(first, [*keys, value_col]), "left").select(first["*"], "_id")
+    both = found.join(last, same(found, keys), "left").select(found["*"], "_last")
+    new = F.row_number().over(Window.partitionBy(*keys, F.col("_id").isNull()).orderBy("_first"))
+    return both.select(*keys, value_col, F.coalesce("_id", F.coalesce("_last", F.lit(0)) + new).cast("int").alias("id"))
+
+
+def label_index(df: DataFrame, value_col: str, keys: list[str], order: list[str], name: str, known: DataFrame | None = None, keeps: Column | None = None) -> DataFrame:
+    """df with name: the id of the value by first appearance in its key, from 1; known: ids (keys, value_col, id) given before.
+
+    First appearances are a small aggregate (one row for each key and value) that is ranked and joined back. keeps: the rows
+    whose new values get an id that lasts; any other new value takes the next id for its own row alone.
+    """
+    rows = df if keeps is None else df.filter(keeps)
+    ids = value_ids(rows, value_col, keys, order, known)
+    if keeps is not None and known is not None:
+        ids = ids.unionByName(known.select(*keys, value_col, F.col("id").cast("int"))).distinct()
+    named = ids.select(*[F.col(k).alias(f"_i_{k}") for k in (*keys, value_col)], F.col("id").alias(name))
+    out = df.join(named, [df[k].eqNullSafe(named[f"_i_{k}"]) for k in (*keys, value_col)], "left").select(df["*"], named[name])
+    if keeps is None:
+        return out
+    last = ids.groupBy(*[F.col(k).alias(f"_i_{k}") for k in keys]).agg(F.max("id").alias("_last"))
+    both = out.join(last, [out[k].eqNullSafe(last[f"_i_{k}"]) for k in keys], "left").select(out["*"], "_last")
+    fresh = F.when(F.col(value_col).isNotNull(), F.coalesce("_last", F.lit(0)) + 1)
+    return both.withColumn(name, F.coalesce(F.col(name), fresh)).drop("_last")
+
+
+def frequency_blocks(df: DataFrame, value_col: str, keys: list[str], order: list[str], block: Column) -> DataFrame:
+    """df with seen and before: how often the row's value, and any value, came before it in its key.
+
+    For keys that hold more rows than a task should: counts of each block of the order, and of each value in it, are added up
+    in the order of the blocks, and rows inside their block. block is a value that never falls along the order.
+    """
+    rows = df.withColumn("_block", block)
+    same = lambda a, b, names: [a[k].eqNullSafe(b[f"_b_{k}"]) for k in names]
+    out = rows
+    for name, by in (("before", keys), ("seen", [*keys, value_col])):
+        n = F.count(value_col)
+        heads = rows.groupBy(*by, "_block").agg(n.alias("_n"))
+        ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+        heads = heads.select(*[F.col(k).alias(f"_b_{k}") for k in (*by, "_block")], F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+        inside = out.withColumn("_inside", n.over(earlier([*by, "_block"], order)))
+        out = inside.join(heads, same(inside, heads, [*by, "_block"]), "left").select(*out.columns, (F.col("_ahead") + F.col("_inside")).alias(name))
+    return out.drop("_block")
 
 
 def one_hot(index: Column, n: int) -> Column:
@@ -120,17 +162,26 @@ def fitted(df: DataFrame, v: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*made)
 
 
-def merged(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """The state after the rows of two fitted states, as if they had been learned at once: means and squares about them."""
-    both = a.select(*keys, F.struct("n", "mean", "std", "low", "high").alias("a")).join(b.select(*keys, F.struct("n", "mean", "std", "low", "high").alias("b")), keys, "full")
-    na, nb = (F.coalesce(F.col(f"{s}.n"), F.lit(0)) for s in "ab")
+MOMENTS = ("n", "mean", "std", "low", "high")
+
+
+def together(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The moments of two sets of values at once, from those of each; NULL where neither has a value."""
+    na, nb = F.coalesce(a["n"], F.lit(0)), F.coalesce(b["n"], F.lit(0))
     n = na + nb
-    part = lambda s, c: F.coalesce(F.col(f"{s}.{c}"), F.lit(0.0))
-    mean = part("a", "mean") + (part("b", "mean") - part("a", "mean")) * F.coalesce(F.try_divide(nb, n), F.lit(0.0))
-    apart = F.when((na > 0) & (nb > 0), part("a", "mean") - part("b", "mean")).otherwise(0.0)
-    squares = na * part("a", "std") * part("a", "std") + nb * part("b", "std") * part("b", "std") + F.coalesce(F.try_divide(na * nb, n), F.lit(0.0)) * apart * apart
+    part = lambda s, c: F.coalesce(s[c], F.lit(0.0))
+    mean = part(a, "mean") + (part(b, "mean") - part(a, "mean")) * F.coalesce(F.try_divide(nb, n), F.lit(0.0))
+    apart = F.when((na > 0) & (nb > 0), part(a, "mean") - part(b, "mean")).otherwise(0.0)
+    squares = na * part(a, "std") * part(a, "std") + nb * part(b, "std") * part(b, "std") + F.coalesce(F.try_divide(na * nb, n), F.lit(0.0)) * apart * apart
     some = lambda c: F.when(n > 0, c)
-    return both.select(*keys, n.alias("n"), some(mean).alias("mean"), some(F.sqrt(F.try_divide(squares, n))).alias("std"), F.least("a.low", "b.low").alias("low"), F.greatest("a.high", "b.high").alias("high"))
+    return {"n": n, "mean": some(mean), "std": some(F.sqrt(F.try_divide(squares, n))), "low": F.least(a["low"], b["low"]), "high": F.greatest(a["high"], b["high"])}
+
+
+def merged(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The state after the rows of two fitted states, as if they had been learned at once: means and squares about them."""
+    both = a.select(*keys, F.struct(*MOMENTS).alias("a")).join(b.select(*keys, F.struct(*MOMENTS).alias("b")), keys, "full")
+    made = together(*({c: F.col(f"{s}.{c}") for c in MOMENTS} for s in "ab"))
+    return both.select(*keys, *[c.alias(k) for k, c in made.items()])
 
 
 def frozen(df: DataFrame, state: DataFrame, v: str, keys: list[str], name: str) -> DataFrame:

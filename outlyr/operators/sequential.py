@@ -1,32 +1,67 @@
 """Operators whose state follows each key's rows one by one, with bounded memory.
 
 Rows are dealt by key and sorted inside their partition, and a partition is read in Arrow batches: a task holds one batch
-and one key's bounded state, never a whole key.
+and one key's bounded state, never a whole key. States may be given from before and handed on: a key's earlier state stands in
+front of its rows, and its last state follows them as a row of its own.
 """
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def by_key(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """step(state, rows of one key of one batch) in the rows' order; start() makes a key's first state."""
+#: The column of a state, as bytes.
+STATE = "_state"
+
+
+def by_key(
+    df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str,
+    before: DataFrame | None = None, restore: Callable[[bytes], object] | None = None, finish: Callable[[object], bytes] | None = None,
+) -> DataFrame:
+    """step(state, rows of one key of one batch) in the rows' order; start() makes a key's first state.
+
+    before: the keys and their state, which restore() reads. With finish, the result has a column _state, which is NULL but
+    for one row of each key of df, whose other columns are NULL.
+    """
+    resumes, hands_on = before is not None, finish is not None
+    columns = [part.strip().split()[0] for part in re.sub(r"<[^>]*>", "", schema).split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        key, state, first = None, None, None
+
+        def last() -> Iterator[pd.DataFrame]:
+            if hands_on and state is not None:
+                yield pd.DataFrame({c: [first[c] if c in keys else None] for c in columns} | {STATE: [finish(state)]}, dtype=object)
+
         for batch in batches:
-            if not keys:
-                state = start() if state is None else state
-                yield step(state, batch)
+            if not len(batch):
                 continue
-            same = batch[keys].fillna("\0").astype(str).agg("\1".join, axis=1)
+            # NULL is no text, so it gets a mark of its own.
+            marks = [batch[k].isna().map({True: "-", False: "+"}) + batch[k].astype(str) for k in keys]
+            same = pd.concat(marks, axis=1).agg("\1".join, axis=1) if keys else pd.Series("", index=batch.index)
             turn = (same != same.shift()).cumsum()
             for _, rows in batch.groupby(turn, sort=False):
                 now = same[rows.index[0]]
                 if state is None or now != key:
-                    key, state = now, start()
-                yield step(state, rows)
+                    yield from last()
+                    key, state, first = now, start(), rows.iloc[0]
+                if resumes:
+                    given = rows[STATE].notna()
+                    if given.any():
+                        state = restore(rows.loc[given, STATE].iloc[0])
+                    rows = rows[~given].drop(columns=STATE)
+                if len(rows):
+                    out = step(state, rows)
+                    yield out.assign(**{STATE: None}) if hands_on else out
+        yield from last()
 
+    if before is not None:
+        touched = df.select(*[F.col(k).alias(f"_t_{k}") for k in keys]).distinct()
+        mine = before.join(touched, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], "left_semi")
+        df = df.withColumn(STATE, F.lit(None).cast("binary")).unionByName(mine.select(*keys, F.col("state").alias(STATE)), allowMissingColumns=True)
+        order = [F.col(STATE).isNull(), *order]
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order) if keys else df.repartition(1).sortWithinPartitions(*order)
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(run, f"{schema}, {STATE} binary" if finish is not None else schema)

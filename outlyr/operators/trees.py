@@ -189,8 +189,15 @@ def score_of(raw: Column) -> Column:
 
 def limit_error(features: Column, forest: Forest) -> Column:
     """The first feature outside its limits, as an error text."""
+    return bounds_error(features, [(name, *limit) for name, limit in zip(forest.names, forest.limits, strict=True)])
+
+
+def bounds_error(features: Column, bounds: list[tuple[str, float | None, float | None]]) -> Column:
+    """The first feature outside its bounds (name, low, high; None: unbounded), as an error text."""
     tests = []
-    for i, (name, (low, high)) in enumerate(zip(forest.names, forest.limits, strict=True)):
+    for i, (name, low, high) in enumerate(bounds):
+        if low is None:
+            continue
         v = F.get(features, F.lit(i))
         tests.append(F.when((v < low) | (v > high), F.concat(F.lit(f"feature '{name}' = "), v.cast("string"), F.lit(f" is outside expected range [{low}, {high}]"))))
     return F.coalesce(*tests, F.lit(None).cast("string"))

@@ -13,6 +13,7 @@ from outlyr.functions import extract, labels, paths
 from outlyr.operators import autoencoder, composite, drain, encoders, projection, trees, windows
 from outlyr.plans import detect
 from outlyr.plans.engine import Engine
+from outlyr.plans.service import Service
 from outlyr.session import scratch, table
 from outlyr.sources import files, state
 
@@ -127,6 +128,22 @@ def extract_json_in_json(spark, sf_dir):
     return out.select("event_id", "depth", F.col("`v.major`").alias("major"), "accepted")
 
 
+@query("""
+SELECT event_id, value AS one, (event_id % 97)::DOUBLE AS two, CASE WHEN event_id % 11 > 0 THEN (event_id % 7)::DOUBLE END AS three, CASE WHEN event_id % 11 > 0 THEN (event_id % 5)::DOUBLE END AS minor,
+       CASE WHEN event_id % 11 > 0 THEN (event_id % 5)::DOUBLE END AS again, CASE WHEN event_id % 11 = 0 THEN 'raw.inner.inner: expected JSON object, got list' END AS error FROM events""")
+def extract_json_depth(spark, sf_dir):
+    """Texts in texts, three levels deep, and aliases of what the deepest level's expansion made."""
+    n = lambda k: (F.col("event_id") % k).alias("n")
+    deepest = F.when(F.col("event_id") % 11 == 0, "[1]").otherwise(F.to_json(F.struct(n(7), F.concat(F.lit("1."), F.col("event_id") % 5).alias("version"))))
+    middle = F.to_json(F.struct(n(97), deepest.alias("inner")))
+    outer = F.to_json(F.struct(F.col("value").alias("n"), middle.alias("inner")))
+    fields = {"raw": Field("json_expand"), "raw.n": Field("numeric"), "raw.inner": Field("json_expand"), "raw.inner.n": Field("numeric"), "raw.inner.inner": Field("json_expand")}
+    fields |= {"raw.inner.inner.n": Field("numeric"), "raw.inner.inner.version": Field("semver"), "again": Field("numeric", source="raw.inner.inner.version.minor")}
+    out = _extracted(events(spark, sf_dir), F.to_variant_object(F.struct(outer.alias("raw"))), fields)
+    named = {"one": "raw.n", "two": "raw.inner.n", "three": "raw.inner.inner.n", "minor": "raw.inner.inner.version.minor", "again": "again"}
+    return out.select("event_id", *[F.col(f"`{c}`").alias(name) for name, c in named.items()], "error")
+
+
 @query("""
 SELECT event_id, event_id % 6 = 5 AS accepted, CASE event_id % 6
   WHEN 0 THEN 't: cannot parse ''' || event_type || ''' as datetime' WHEN 1 THEN 'ip: cannot parse ''' || event_type || ''' as IP address' WHEN 2 THEN 'v: cannot parse ''' || event_type || ''' as semver'
@@ -406,6 +423,28 @@ def engine_scores(spark, sf_dir):
     return out.select(F.col("seq").alias("event_id"), "accepted", F.col("identifiers")["id"].alias("identifier"), (F.col("composite_score") + 0.0).alias("composite_score"), "status")
 
 
+@query(f"{_ENGINE} SELECT event_id, cohort AS name, cohort_key AS key, weight::DOUBLE AS weight, round(score, 6) + 0.0 AS score, {_LABEL.replace('x ', 'round(score, 9) ')} AS score_label, reference_age FROM fin")
+def engine_state_scores(spark, sf_dir):
+    """The same from stored models, which learned the earlier events in three parts and then were joined with those to score."""
+    earlier, later = _payloads(spark, sf_dir)
+    service = Service(spark, ENGINE, scratch(spark, "models"))
+    low, high = earlier.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [low + (high + 1 - low) * k // 3 for k in range(4)] if low is not None else [0, 0, 0, 0]
+    for a, b in zip(cuts, cuts[1:]):
+        service.learn(earlier.filter((F.col("seq") >= a) & (F.col("seq") < b)))
+    out = service.score(later).select(F.col("seq").alias("event_id"), F.inline("scores"))
+    return out.select("event_id", "name", "key", "weight", r6(F.col("anomaly_score")).alias("score"), "score_label", F.col("properties")["reference_age"].alias("reference_age"))
+
+
+@query("""
+WITH e AS (SELECT *, event_id // 500 AS b FROM events)
+SELECT event_id, round(coalesce((count(*) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / nullif(count(*) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), 6) + 0.0 AS share FROM e""")
+def enc_frequency_global(spark, sf_dir):
+    """Shares of values among all earlier rows, from counts of blocks: no task holds the rows of the one key that there is."""
+    rows = encoders.frequency_blocks(events(spark, sf_dir).select("event_id", "event_type"), "event_type", [], ["event_id"], F.expr("event_id div 500"))
+    return rows.select("event_id", r6(F.coalesce(F.try_divide("seen", "before"), F.lit(0.0))).alias("share"))
+
+
 @query("""
 WITH k AS (SELECT event_id, value, 'user::' || user_id AS key, row_number() OVER w AS pos, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, min(value) OVER w AS lo, max(value) OVER w AS hi
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -419,6 +458,21 @@ def engine_learned(spark, sf_dir):
     return each.select("event_id", "field", F.col("value").cast("double").alias("value"), r6(F.get(F.try_element_at("preprocessed", F.lit("value")), F.lit(0))).alias("preprocessed"))
 
 
+@query("""
+WITH t AS (SELECT event_type, dense_rank() OVER (ORDER BY first) AS id FROM (SELECT event_type, min(event_id) AS first FROM events GROUP BY event_type)),
+     n AS (SELECT count(*) AS n, count(*) FILTER (id <= 3) AS fits FROM events JOIN t USING (event_type))
+SELECT cohort, cohort AS key, CASE WHEN cohort = 'after' THEN fits ELSE n END AS events, CASE WHEN cohort = 'before' THEN n ELSE fits END AS trained FROM n, (SELECT unnest(['before', 'narrow', 'after']) AS cohort)""")
+def engine_refusals(spark, sf_dir):
+    """What each cohort's stored models hold where the second refuses events: those before it learned them, those after it did not."""
+    narrow = {"type": "str_categorical", "preprocessor": {"name": "OneHotEncoder", "params": {"n_categories": 3}}}
+    cohorts = [{"name": n, "features_config": "g" if n == "narrow" else "f"} for n in ("before", "narrow", "after")]
+    service = Service(spark, config.parse({"features": {"f": {"value": "numeric"}, "g": {"event_type": narrow}}, "cohorts": cohorts}), scratch(spark, "models"))
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.to_variant_object(F.struct("value", "event_type")).alias("payload"))
+    service.learn(rows.filter("seq % 2 = 0 or seq < 1000"))
+    service.learn(rows.filter("seq % 2 = 1 and seq >= 1000"))
+    return service.store.statistics().select("cohort", "key", "events", "trained")
+
+
 # Scores, labels, metrics
 
 
