@@ -312,19 +312,18 @@ class Engine:
         if not numbers:
             return events.filter("phase = 1").select("seq", "key", *none)
         if cohort.model in extensions.MODELS:
-            rows = self._vectors(rows, numbers)
-            state = extensions.MODELS[cohort.model].fit(rows.filter("phase = 0 and failed is null").select("key", *ORDER, "features"), cohort.params, None)
-            return self._by_extension(rows.filter("phase = 1"), state, cohort, names, features, explain)
+            train = self._vectors(rows.filter("phase = 0"), numbers).filter("failed is null").select("key", *ORDER, "features")
+            state = extensions.MODELS[cohort.model].fit(train, cohort.params, None)
+            return self._by_extension(self._vectors(rows.filter("phase = 1"), numbers), state, cohort, names, features, explain)
         forests, window = self._forests(cohort, numbers)
-        rows = self._vectors(rows, numbers, forests)
         # Rows are used twice, by the fit and by the scores; the model itself is small.
-        train = rows.filter("phase = 0 and failed is null").select("key", *ORDER, "features")
+        train = self._vectors(rows.filter("phase = 0"), numbers, forests).filter("failed is null").select("key", *ORDER, "features")
         model = trees.fit(train, ["key"], ORDER, "features", forests, window)
         if cohort.warmup > window:
             # A key that has not warmed up has learned nothing.
             warm = train.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= cohort.warmup).select(F.col("key").alias("_key"))
             model = model.join(warm, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-        return self._by_trees(rows.filter("phase = 1"), model, names, features, numbers, forests, window, explain)
+        return self._by_trees(self._vectors(rows.filter("phase = 1"), numbers, forests), model, names, features, numbers, forests, window, explain)
 
     def _networks(self, rows: DataFrame, cohort: Cohort, names: dict[str, str], categories: list[str], numbers: list, before: DataFrame | None = None, finish: bool = False) -> DataFrame:
         """What the networks of each key say of encoded rows; those of phase 0 that have not failed are learned."""
@@ -370,7 +369,9 @@ class Engine:
         """rows with features, and failed where one is outside its limits."""
         rows = rows.withColumn("features", F.array(*[F.col(c).cast("double") for _, _, c, _ in numbers]))
         bounds = [(forests[0].names[i], *forests[0].limits[i]) for i in range(len(numbers))] if forests else [(n, *(limit or (None, None))) for _, n, _, limit in numbers]
-        return rows.withColumn("failed", F.coalesce("failed", trees.bounds_error(F.col("features"), bounds)))
+        # A filter on failed must not be moved below the features: it would hold all that they are made of, many times over.
+        stays = F.monotonically_increasing_id() >= 0
+        return rows.withColumn("failed", F.when(stays, F.coalesce("failed", trees.bounds_error(F.col("features"), bounds))))
 
     def _by_extension(self, asked: DataFrame, state: DataFrame, cohort: Cohort, names: dict[str, str], features: list[Feature], explain: bool) -> DataFrame:
         """What _cohort gives, by a model from outside, which explains nothing."""
