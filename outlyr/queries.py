@@ -664,4 +664,5 @@ def autoencoder_score(spark, sf_dir):
 
 @query()
 def signin_generator(spark, sf_dir):
-    return files.signins(spark, 5000)
+    """A sign-in event for each order."""
+    return files.signins(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))

@@ -126,15 +126,18 @@ def date_math(text: str, now: Column) -> Column:
     return F.date_trunc(units[m[4]], out) if m[4] else out
 
 
-def signins(spark: SparkSession, n: int, seed: int = 42, personas: int = 50, anomalies: float = 0.05) -> DataFrame:
-    """Invented sign-in events: at, description and payload (JSON text); anomalies leave their persona's habits."""
+def signins(spark: SparkSession, n: int | DataFrame, seed: int = 42, personas: int = 50, anomalies: float = 0.05) -> DataFrame:
+    """Invented sign-in events: at, description and payload (JSON text); anomalies leave their persona's habits.
+
+    n: how many, or a table whose id column gives one each.
+    """
     pick = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(f"{seed}:{salt}")), F.lit(k)).cast("int")
     unit = lambda salt: F.pmod(F.xxhash64("id", F.lit(f"{seed}:{salt}")), F.lit(1_000_000)) / 1e6
     word = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
     countries, oses, browsers, departments = ("DE", "FR", "US", "GB", "IN"), ("Windows", "macOS", "Linux"), ("Chrome", "Firefox", "Safari"), ("eng", "sales", "hr", "ops")
     person = pick("person", personas)
     kind = F.when(unit("odd") < anomalies, word(("ANOMALY:country", "ANOMALY:latency", "ANOMALY:time", "ANOMALY:client"), pick("kind", 4))).otherwise("NORMAL")
-    rows = spark.range(n).select("id", person.alias("p"), kind.alias("description"))
+    rows = (spark.range(n) if isinstance(n, int) else n).select("id", person.alias("p"), kind.alias("description"))
     habit = lambda values, step: word(values, F.pmod(F.col("p") * step, F.lit(len(values))).cast("int"))
     is_ = lambda k: F.col("description") == f"ANOMALY:{k}"
     hour = F.when(is_("time"), pick("h", 4)).otherwise(8 + pick("h", 10))
