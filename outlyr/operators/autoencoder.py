@@ -6,7 +6,6 @@ target); numbers stand beside an is-present flag. The share of the buffer's erro
 
 import io
 import json
-from bisect import bisect_left
 from collections import deque
 from dataclasses import dataclass
 
@@ -43,9 +42,14 @@ class Network:
         narrow = o.bottleneck or max(total // 2, 2)
         wide = max(2 * total, 16)
         layers = [(total, wide), (wide, narrow), (narrow, wide), (wide, total)]
-        self.p = [rng.uniform(-1, 1, (a, b)) / np.sqrt(a) for a, b in layers] + [rng.uniform(-1, 1, b) / np.sqrt(a) for a, b in layers]
-        self.p += [rng.standard_normal((v + o.headroom, w)) for v, w in zip(sizes, self.widths, strict=True)]
-        self.m, self.v = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p]
+        first = [rng.uniform(-1, 1, (a, b)) / np.sqrt(a) for a, b in layers] + [rng.uniform(-1, 1, b) / np.sqrt(a) for a, b in layers]
+        first += [rng.standard_normal((v + o.headroom, w)) for v, w in zip(sizes, self.widths, strict=True)]
+        # Numbers of one kind lie in one array, which a step moves at once; p, m, v and g are views of its parts.
+        self.flat = {kind: np.zeros(sum(a.size for a in first)) for kind in "pmvgt"}
+        ends = np.cumsum([a.size for a in first])
+        self.p, self.m, self.v, self.g = ([self.flat[kind][e - a.size : e].reshape(a.shape) for a, e in zip(first, ends, strict=True)] for kind in "pmvg")
+        for own, a in zip(self.p, first, strict=True):
+            own[...] = a
 
     def _input(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         present = ~np.isnan(x)
@@ -80,23 +84,34 @@ class Network:
         d2 = (d3 @ w[2].T) * (1 - h2**2)
         d1 = (d2 @ w[1].T) * (h1 > 0)
         back = d1 @ w[0].T - d
-        grads = [z.T @ d1, h1.T @ d2, h2.T @ d3, h3.T @ d, d1.sum(0), d2.sum(0), d3.sum(0), d.sum(0)]
+        g = self.g
+        for own, made in zip(g, (z.T @ d1, h1.T @ d2, h2.T @ d3, h3.T @ d, d1.sum(0), d2.sum(0), d3.sum(0), d.sum(0)), strict=False):
+            own[...] = made
         at = 0
         for k, width in enumerate(self.widths):
-            g = np.zeros_like(self.p[8 + k])
-            np.add.at(g, ids[:, k], back[:, at : at + width])
-            grads.append(g)
+            g[8 + k][...] = 0
+            np.add.at(g[8 + k], ids[:, k], back[:, at : at + width])
             at += width
-        self.step += 1
-        for i, g in enumerate(grads):
-            self.m[i] = 0.9 * self.m[i] + 0.1 * g
-            self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
-            self.p[i] = self.p[i] - self.o.rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.999**self.step)) + 1e-8)
-
+        self._move()
 
-def scaled(percentile: float) -> float:
-    xs, ys = zip(*SCALE, strict=True)
-    return float(np.interp(percentile, xs, ys))
+    def _move(self) -> None:
+        """A step of Adam along the gradient, in place."""
+        self.step += 1
+        p, m, v, g, t = self.flat.values()
+        m *= 0.9
+        np.multiply(g, 0.1, out=t)
+        m += t
+        v *= 0.999
+        np.multiply(g, 0.001, out=t)
+        t *= g
+        v += t
+        np.divide(v, 1 - 0.999**self.step, out=t)
+        np.sqrt(t, out=t)
+        t += 1e-8
+        np.divide(m, 1 - 0.9**self.step, out=g)
+        g *= self.o.rate
+        g /= t
+        p -= g
 
 
 class State:
@@ -134,7 +149,8 @@ class State:
                 self.net = Network(told["net"]["sizes"], len(self.numbers), self.o)
                 self.net.step, self.net.rng.bit_generator.state = told["net"]["step"], told["net"]["rng"]
                 for name in "pmv":
-                    setattr(self.net, name, [held[f"{name}{i}"] for i in range(len(self.net.p))])
+                    for i, own in enumerate(getattr(self.net, name)):
+                        own[...] = held[f"{name}{i}"]
         return self
 
     def encode(self, row, learn: bool) -> tuple[list[int], list[float], str | None]:
@@ -152,8 +168,9 @@ class State:
             ids.append(i)
         return ids, [float("nan") if getattr(row, n) is None else float(getattr(row, n)) for n in self.numbers], error
 
-    def _matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([[r[0][k] for k in self.used] for r in self.rows], np.int64).reshape(len(self.rows), -1), np.array([r[1] for r in self.rows], np.float64).reshape(len(self.rows), -1)
+    def _matrix(self, rows) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array([r[0] for r in rows], np.int64).reshape(len(rows), -1)
+        return ids[:, self.used], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
 
     def learn(self, row) -> str | None:
         ids, x, error = self.encode(row, True)
@@ -166,26 +183,30 @@ class State:
                 # A slot that no row of the buffer fills is no input.
                 self.used = [k for k, c in enumerate(self.categories) if c not in self.slots or any(r[0][k] for r in self.rows)]
                 self.net = Network([max(len(self.ids[k]), self.slots.get(self.categories[k], 0)) + 1 for k in self.used], len(self.numbers), self.o)
-            i, v = self._matrix()
+            i, v = self._matrix(self.rows)
             self.net.train(i, v)
             self.baseline = sorted(self.net.errors(i, v).mean(1).round(12).tolist())  # the last digits depend on the batch
         return None
 
-    def score(self, row) -> tuple[float | None, str | None, list[tuple[str, float]]]:
-        """Score, error, and each field's share of it, the largest first."""
+    def score(self, rows: list) -> list[tuple[float | None, str | None, list[tuple[str, float]]]]:
+        """Score, error, and each field's share of it, the largest first, of rows that nothing is learned between."""
         if self.net is None:
-            return None, None, []
-        ids, x, error = self.encode(row, False)
-        if error:
-            return None, error, []
-        each = self.net.errors(np.array([[ids[k] for k in self.used]], np.int64).reshape(1, -1), np.array([x]).reshape(1, -1))[0]
-        score = scaled(100 * bisect_left(self.baseline, round(float(each.mean()), 12)) / len(self.baseline))
-        parts, at = [], 0
-        for name, width in [*zip([self.categories[k] for k in self.used], self.net.widths, strict=True), *[(n, 2) for n in self.numbers]]:
-            parts.append((name, float(each[at : at + width].sum())))
-            at += width
-        total = sum(p for _, p in parts) or 1.0
-        return score, None, sorted(((n, round(p / total * score, 4)) for n, p in parts), key=lambda p: -abs(p[1]))
+            return [(None, None, [])] * len(rows)
+        coded = [self.encode(row, False) for row in rows]
+        good = [(ids, x) for ids, x, error in coded if error is None]
+        if not good:
+            return [(None, error, []) for _, _, error in coded]
+        each = self.net.errors(*self._matrix(good))
+        found = 100 * np.searchsorted(self.baseline, each.mean(1).round(12), "left") / len(self.baseline)
+        scores = np.interp(found, *zip(*SCALE, strict=True))
+        names = [*[self.categories[k] for k in self.used], *self.numbers]
+        starts = np.cumsum([0, *self.net.widths, *[2] * len(self.numbers)])[:-1]
+        parts = np.add.reduceat(each, starts, 1) if names else np.zeros((len(each), 0))
+        total = parts.sum(1)
+        parts = (parts / np.where(total == 0, 1.0, total)[:, None] * scores[:, None]).round(4)
+        at = np.argsort(-np.abs(parts), 1, kind="stable")
+        made = iter([(score, None, [(names[k], p[k]) for k in order]) for score, p, order in zip(scores.tolist(), parts.tolist(), at.tolist(), strict=True)])
+        return [next(made) if error is None else (None, error, []) for _, _, error in coded]
 
 
 def scored(events: DataFrame, keys: list[str], order: list[str], categories: list[str], numbers: list[str], learns: str, id_col: str, options: Options = Options(), keep: list[str] = (), slots: dict[str, int] = {}, before: DataFrame | None = None, finish: bool = False) -> DataFrame:
@@ -199,17 +220,22 @@ def scored(events: DataFrame, keys: list[str], order: list[str], categories: lis
 
     def step(state: State, rows: pd.DataFrame) -> pd.DataFrame:
         out, shown = [], []
-        for at, row in zip(rows.index, rows.itertuples(index=False), strict=True):
-            if getattr(row, learns):
-                error = state.learn(row)
-                if error is None:
-                    continue
-                out.append((None, error, len(state.rows), None, None, None))
-            else:
-                score, error, parts = state.score(row)
-                since = (state.seen - options.warmup) % options.every if state.seen >= options.warmup else None
+        each, learn = list(rows.itertuples(index=False)), rows[learns].to_numpy(bool)
+        # Rows between two that learn meet one state, so they are scored together.
+        edges = [*np.flatnonzero(np.diff(learn, prepend=not learn[0])).tolist(), len(each)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if learn[start]:
+                for at in range(start, end):
+                    error = state.learn(each[at])
+                    if error is not None:
+                        out.append((None, error, len(state.rows), None, None, None))
+                        shown.append(at)
+                continue
+            since = (state.seen - options.warmup) % options.every if state.seen >= options.warmup else None
+            for score, error, parts in state.score(each[start:end]):
                 out.append((score, error, len(state.rows), since, parts[0][0] if parts else None, [{"field": n, "delta": d} for n, d in parts] if parts else None))
-            shown.append(at)
+            shown.extend(range(start, end))
+        shown = rows.index[shown]
         found = pd.DataFrame(out, columns=["score", "error", "buffered", "events_since_retrain", "top_field", "parts"], index=shown)
         found["score"] = found["score"].astype("float64")
         found["events_since_retrain"] = found["events_since_retrain"].astype("Int64")
