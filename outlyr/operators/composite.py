@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyr.functions import labels
+from outlyr.operators.encoders import value_ids
 
 
 def cohort_key(name: str, fields: list[Column]) -> Column:
@@ -68,7 +69,6 @@ def latest_state(versions: DataFrame, keys: list[str], version: str) -> DataFram
     return last.select(*keys, "_s.*")
 
 
-def first_seen(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """The distinct values in the order of their first appearance: value, at (from 1)."""
-    first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.select(value, F.row_number().over(Window.orderBy("_first")).alias("at"))
+def first_seen(df: DataFrame, value: str, order: list[str], block: Column | None = None) -> DataFrame:
+    """The distinct values in the order of their first appearance: value, at (from 1). block: see encoders.value_ids."""
+    return value_ids(df, value, [], order, block=block).select(value, F.col("id").alias("at"))

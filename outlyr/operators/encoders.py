@@ -55,29 +55,51 @@ def frequency_encoder(v: Column, value_col: str, keys: list[str], order: list[st
     return F.when(v.isNull(), None).when(all_ == 0, F.lit(0.0)).otherwise(seen / F.when(all_ > 0, all_))
 
 
-def value_ids(df: DataFrame, value_col: str, keys: list[str], order: list[str], known: DataFrame | None = None) -> DataFrame:
-    """keys, value_col, id of each value of df: by first appearance in its key, from 1; after the ids of known, which stay."""
-    at = F.struct(*order)
-    first = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.min(at).alias("_first"))
+def ranked(df: DataFrame, keys: list[str], at: str, block: str | None, name: str) -> DataFrame:
+    """df with name: the place of a row in its key by at, from 1; NULL keys are one key.
+
+    block: a column that never falls along at. Then rows are counted by block, and ranked inside their block alone, so a key
+    that holds most rows meets in as many tasks as it has blocks.
+    """
+    if block is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
+    heads = df.groupBy(*keys, block).agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.select(*[F.col(k).alias(f"_h_{k}") for k in (*keys, block)], F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = df.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, block).orderBy(at)))
+    both = inside.join(heads, [inside[k].eqNullSafe(heads[f"_h_{k}"]) for k in (*keys, block)], "left")
+    return both.select(*[inside[c] for c in df.columns], (F.col("_ahead") + F.col("_inside")).cast("int").alias(name))
+
+
+def value_ids(df: DataFrame, value_col: str, keys: list[str], order: list[str], known: DataFrame | None = None, block: Column | None = None) -> DataFrame:
+    """keys, value_col, id of each value of df: by first appearance in its key, from 1; after the ids of known, which stay.
+
+    block: a value that never falls along the order, for keys that hold more distinct values than a task should (see ranked).
+    """
+    at = [F.min(F.struct(*order)).alias("_first")]
+    if block is not None:
+        df, at = df.withColumn("_block", block), [*at, F.min("_block").alias("_block")]
+    by = "_block" if block is not None else None
+    first = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(*at)
     if known is None:
-        return first.select(*keys, value_col, F.row_number().over(Window.partitionBy(*keys).orderBy("_first")).alias("id"))
+        return ranked(first, keys, "_first", by, "id").select(*keys, value_col, "id")
     same = lambda left, names: [left[k].eqNullSafe(F.col(f"_k_{k}")) for k in names]
     old = known.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, value_col)], F.col("id").alias("_id"))
     last = known.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("id").alias("_last"))
     found = first.join(old, same(first, [*keys, value_col]), "left").select(first["*"], "_id")
     both = found.join(last, same(found, keys), "left").select(found["*"], "_last")
-    new = F.row_number().over(Window.partitionBy(*keys, F.col("_id").isNull()).orderBy("_first"))
-    return both.select(*keys, value_col, F.coalesce("_id", F.coalesce("_last", F.lit(0)) + new).cast("int").alias("id"))
+    new = ranked(both.withColumn("_unknown", F.col("_id").isNull()), [*keys, "_unknown"], "_first", by, "_new")
+    return new.select(*keys, value_col, F.coalesce("_id", F.coalesce("_last", F.lit(0)) + F.col("_new")).cast("int").alias("id"))
 
 
-def label_index(df: DataFrame, value_col: str, keys: list[str], order: list[str], name: str, known: DataFrame | None = None, keeps: Column | None = None) -> DataFrame:
+def label_index(df: DataFrame, value_col: str, keys: list[str], order: list[str], name: str, known: DataFrame | None = None, keeps: Column | None = None, block: Column | None = None) -> DataFrame:
     """df with name: the id of the value by first appearance in its key, from 1; known: ids (keys, value_col, id) given before.
 
     First appearances are a small aggregate (one row for each key and value) that is ranked and joined back. keeps: the rows
-    whose new values get an id that lasts; any other new value takes the next id for its own row alone.
+    whose new values get an id that lasts; any other new value takes the next id for its own row alone. block: see value_ids.
     """
     rows = df if keeps is None else df.filter(keeps)
-    ids = value_ids(rows, value_col, keys, order, known)
+    ids = value_ids(rows, value_col, keys, order, known, block)
     if keeps is not None and known is not None:
         ids = ids.unionByName(known.select(*keys, value_col, F.col("id").cast("int"))).distinct()
     named = ids.select(*[F.col(k).alias(f"_i_{k}") for k in (*keys, value_col)], F.col("id").alias(name))

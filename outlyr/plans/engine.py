@@ -190,6 +190,7 @@ class Engine:
         features, errors = [], [F.lit(None).cast("string")]
         # The rows of a cohort without fields are all in one key.
         block = self.block if self.block is not None else self._blocks(df) if not cohort.fields else None
+        ordered = F.struct("phase", block) if block is not None else None
         embedded = cohort.model == "Autoencoder"
         # A cohort that holds few models at a time forgets the ids that it gave while it scored.
         keeps = F.col("phase") == 0 if cohort.lru_size is not None else None
@@ -204,7 +205,7 @@ class Engine:
                 df = df.withColumn("_v", F.when(F.col("phase") == 0, text))
                 if block is not None:
                     # The values of scored rows count in no block, so that they are looked up as texts of their own.
-                    df = encoders.frequency_blocks(df.withColumn("_w", text), "_v", ["key"], ORDER, F.struct("phase", block))
+                    df = encoders.frequency_blocks(df.withColumn("_w", text), "_v", ["key"], ORDER, ordered)
                     whole = df.filter("phase = 0 and _v is not null").groupBy("key", "_v").agg(F.count("*").alias("_all_seen"))
                     whole = whole.select(F.col("key").alias("_key"), F.col("_v").alias("_value"), "_all_seen")
                     df = df.join(whole, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_w") == F.col("_value")) & (F.col("phase") == 1), "left").drop("_key", "_value", "_w")
@@ -221,10 +222,10 @@ class Engine:
                 df = df.withColumn(out, F.when(text.isNull(), None).when(before == 0, F.lit(0.0)).otherwise(seen / F.when(before > 0, before))).drop("_seen", "_before", "_v", "seen", "before")
                 features.append(Feature(name, name, (out,)))
             elif encoder == "LabelIndex":
-                df = encoders.label_index(df, c, ["key"], ORDER, out, known.ids(name, c, df.schema[c].dataType), keeps)
+                df = encoders.label_index(df, c, ["key"], ORDER, out, known.ids(name, c, df.schema[c].dataType), keeps, ordered)
                 features.append(Feature(name, name, (out,), (0.0, float(p.get("expected_categories", 200))), embedded))
             elif encoder == "OneHotEncoder":
-                df = encoders.label_index(df, c, ["key"], ORDER, out, known.ids(name, c, df.schema[c].dataType), keeps)
+                df = encoders.label_index(df, c, ["key"], ORDER, out, known.ids(name, c, df.schema[c].dataType), keeps, ordered)
                 n = p.get("n_categories", 10)
                 errors.append(encoders.one_hot_error(F.col(out), name, n))
                 df = df.withColumns({f"{out}_{i}": F.when(F.col(out).isNotNull(), (F.col(out) == i).cast("double")) for i in range(1, n + 1)})

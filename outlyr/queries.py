@@ -212,6 +212,14 @@ def enc_label_index(spark, sf_dir):
     return encoders.label_index(events(spark, sf_dir), "event_type", ["user_id"], ORDER, "idx").select("event_id", "idx")
 
 
+@query("""
+WITH f AS (SELECT user_id, row_number() OVER (ORDER BY min({'t': ts, 'e': event_id})) AS idx FROM events GROUP BY user_id)
+SELECT event_id, idx::INT AS idx FROM events JOIN f USING (user_id)""")
+def enc_label_index_global(spark, sf_dir):
+    """Ids of users by first appearance among all events: one key with all rows, ranked by days."""
+    return encoders.label_index(events(spark, sf_dir), "user_id", [], ORDER, "idx", block=F.to_date("ts")).select("event_id", "idx")
+
+
 @query(_INDEX + " SELECT event_id, (idx = 1)::INT::DOUBLE AS f1, (idx = 2)::INT::DOUBLE AS f2, (idx = 3)::INT::DOUBLE AS f3, CASE WHEN idx > 3 THEN 'For ''event_type'' are only 3 categories available' END AS error FROM events JOIN f USING (user_id, event_type)".replace("(idx = ", "CASE WHEN idx <= 3 THEN (idx = ").replace("::DOUBLE AS", "::DOUBLE END AS"))
 def enc_one_hot(spark, sf_dir):
     df = encoders.label_index(events(spark, sf_dir), "event_type", ["user_id"], ORDER, "idx")
@@ -620,6 +628,12 @@ def cohort_keys(spark, sf_dir):
     return composite.by_cohort(df, [("user", ["u", "event_type"], 0.5), ("all", [], 2.0)]).select("event_id", "cohort", "cohort_key", "weight")
 
 
+@query("SELECT user_id, row_number() OVER (ORDER BY min({'t': ts, 'e': event_id}))::INT AS at FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def first_seen_users(spark, sf_dir):
+    """Many distinct values: they are ranked by days, none of which needs the others' rows."""
+    return composite.first_seen(events(spark, sf_dir), "user_id", ORDER, F.to_date("ts"))
+
+
 @query("SELECT event_id, CAST(NULL AS DOUBLE) AS score, 'INSUFFICIENT_DATA' AS label FROM events")
 def no_op_model(spark, sf_dir):
     score = F.lit(None).cast("double")

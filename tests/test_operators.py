@@ -44,6 +44,35 @@ def test_indexes(spark):
     assert row[0] == {"browser__388226": 1.0}
 
 
+def test_ids_by_blocks_are_those_of_one_window(spark):
+    """A key that holds nearly all rows, NULL keys and values, values known before, and values that scored rows alone have."""
+    rows = [(i, None if i % 97 == 0 else "big" if i % 10 else f"k{i % 3}", None if i % 13 == 0 else f"v{i * i % 211}", i < 500) for i in range(600)]
+    df = spark.createDataFrame(rows, "at long, k string, v string, learns boolean")
+    known = spark.createDataFrame([("big", "v4", 1), ("big", "other", 2), (None, "v0", 1)], "k string, v string, id long")
+    block = F.expr("at div 7")
+    ids = lambda **more: {(r.at, r.x) for r in encoders.label_index(df, "v", ["k"], ["at"], "x", **more).collect()}
+    for given in ({}, {"known": known}, {"known": known, "keeps": F.col("learns")}, {"keeps": F.col("learns")}):
+        found = ids(**given)
+        assert found == ids(**given, block=block) and len(found) == 600
+    seen = {}
+    want = {(at, None if v is None else seen.setdefault(k, {}).setdefault(v, len(seen[k]) + 1)) for at, k, v, _ in rows}
+    assert ids(block=block) == want
+    places = lambda *by: {tuple(r) for r in composite.first_seen(df, "v", ["at"], *by).collect()}
+    firsts = list(dict.fromkeys(v for _, _, v, _ in rows if v is not None))
+    assert places() == places(block) == {(v, i + 1) for i, v in enumerate(firsts)}
+
+
+def test_blocks_bound_the_largest_task(spark):
+    """One key holds all rows; no window of the plan by blocks is dealt by the key alone."""
+    df = spark.range(1000).select(F.col("id").alias("at"), F.lit("big").alias("k"), F.col("id").cast("string").alias("v"))
+    first = df.groupBy("k", "v").agg(F.min("at").alias("first"), F.min(F.expr("at div 100")).alias("block"))
+    plan = encoders.ranked(first, ["k"], "first", "block", "id")._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [line for line in plan.splitlines() if "row_number()" in line]
+    assert ranks and all("block" in line.split("windowspecdefinition(")[1].split("first")[0] for line in ranks)
+    sizes = [r["count"] for r in first.groupBy("k", "block").count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_warm_up_waits_for_its_last_row(spark):
     df = series(spark, [1.0, 2.0, 3.0, 4.0])
     x = column(encoders.warmed_up(df, "v", [], ["at"], 3, "x"))
