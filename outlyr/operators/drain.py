@@ -3,20 +3,48 @@
 A message joins the most similar template among those with its number of tokens and its first tokens, if enough of their
 tokens agree; tokens that differ become wildcards. State is bounded by the number of templates; the one used longest ago
 goes first.
+
+Messages of unlike lengths or first tokens never share a template, and meet only where the bound drops one. So templates()
+follows a key's messages in one task, while templates_by_lead() deals them by length and first tokens as well, numbers the
+templates by their first messages afterwards, and leaves to templates() the keys that have more than the bound.
 """
 
 import json
 import re
+import sys
+from functools import lru_cache
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outlyr.operators.encoders import ranked
 from outlyr.operators.sequential import by_key
+from outlyr.session import scratch
 
 WILD = "<*>"
+#: What str.split() takes for white space, as a class of Java's patterns.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Blank messages have no template; they are dealt into so many parts.
+BLANK_PARTS = 256
+
+
+@lru_cache
+def _digits() -> str:
+    """The characters that re takes for digits, as a class of Java's patterns, so that both worlds agree."""
+    points = [i for i in range(sys.maxunicode + 1) if chr(i).isdecimal()]
+    starts = [i for i in points if not chr(i - 1).isdecimal()]
+    ends = [i for i in points if not chr(i + 1).isdecimal()]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+def lead(text: Column, depth: int) -> Column:
+    """The number of tokens and the first of them, those with digits as wildcards; NULL for a blank text."""
+    tokens = F.filter(F.split(text, SPACE), lambda t: t != "")
+    first = F.transform(F.slice(tokens, 1, max(1, depth - 3)), lambda t: F.when(t.rlike(_digits()), WILD).otherwise(t))
+    return F.when(F.size(tokens) > 0, F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(first, " ")))
 
 
 @dataclass
@@ -85,23 +113,76 @@ def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_co
     state of miners that have learned already; finish: states are handed on (see sequential.by_key).
     """
 
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
+    schema = f"{kinds}, template_id long, template string, variables array<string>"
+    step = _step([*keys, id_col, *keep], text)
+    df = df.withColumn("_learns", F.expr(learns))
+    return by_key(df, keys, order, lambda: Miner(**params), step, schema, before, lambda data: Miner(**params).restored(data), Miner.saved if finish else None)
+
+
+def templates_by_lead(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), block: Column | None = None, bound_leads: bool = False, **params) -> DataFrame:
+    """The rows of templates(), with as many tasks for a key as its messages have lengths and first tokens.
+
+    order must tell the rows of a key apart. The rows are written once; what is joined to them is a number for each template.
+    Keys with more templates than the bound are followed as templates() does, as what is dropped depends on all messages before.
+    bound_leads: the bound is of the templates of one length and first tokens instead, and no key is followed as a whole.
+    block: a value of the order columns that never falls along them, by which the templates of a key are numbered where they
+    may be more than a task should hold (see encoders.ranked).
+    """
+    miner = Miner(**params)
+    at = dict.fromkeys([*keys, id_col, *keep, *order])
+    parts = F.concat(F.lit("0 "), F.pmod(F.xxhash64(*order), F.lit(BLANK_PARTS)).cast("string"))
+    rows = df.withColumns({"_learns": F.expr(learns), "_lead": F.coalesce(lead(F.col(text), miner.depth), parts)})
+    shown = [c for c in at if c not in keys]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, "_lead", *shown)), "_own long, template string, variables array<string>, _new boolean"])
+    step = _step([*keys, "_lead", *shown], text, "_own", True)
+    path = scratch(df.sparkSession, "templates")
+    by_key(rows, [*keys, "_lead"], order, lambda: Miner(**params), step, schema).write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
+
+    # Full keys are told by a count and not numbered here.
+    new = found.filter("_new").select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_lead", "_own")], F.struct(*order).alias("_at"), (F.lit(0) if block is None else block).alias("_block"))
+    key = [f"_k_{k}" for k in keys]
+    same = lambda a, b, names: [a[k].eqNullSafe(b[f"_k_{k}"]) for k in names]
+    full = new.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > miner.most).drop("_n")
+    out = [*dict.fromkeys([*keys, id_col, *keep]), "template_id", "template", "variables"]
+    again = not bound_leads and not full.isEmpty()
+    if again and not keys:
+        return templates(df, keys, order, text, id_col, learns, keep, **params).select(*out)
+    if again:
+        path = scratch(df.sparkSession, "full")
+        full.write.parquet(path)
+        full = df.sparkSession.read.parquet(path)
+        found = found.join(full, same(found, full, keys), "left_anti")
+        new = new.join(full.select(*[F.col(k).alias(f"_f{k}") for k in key]), [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in key], "left_anti")
+    ids = ranked(new, key, "_at", None if block is None else "_block", "template_id").withColumn("template_id", F.col("template_id").cast("long"))
+    named = found.join(ids, same(found, ids, [*keys, "_lead", "_own"]), "left")
+    named = named.select(*out)
+    if not again:
+        return named
+    rest = df.join(full, same(df, full, keys), "left_semi")
+    return named.unionByName(templates(rest, keys, order, text, id_col, learns, keep, **params).select(*out))
+
+
+def _step(shown: list[str], text: str, name: str = "template_id", marks: bool = False):
+    """A step of sequential.by_key: the columns shown, name, template, variables; with marks, whether the row made the template."""
+
     def step(miner: Miner, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for message, learn in zip(rows[text], rows["_learns"], strict=True):
             if not isinstance(message, str) or not message.strip():
-                out.append((None, None, None))
+                out.append((None, None, None, False))
                 continue
             # Learning looks for the template itself.
             found = None if learn else miner.match(message)
             if found is None and not learn:
-                out.append((None, None, None))
+                out.append((None, None, None, False))
                 continue
+            made = miner.made
             i = miner.learn(message) if learn else found[0]
-            out.append((i, " ".join(miner.clusters[i]), miner.variables(message, miner.clusters[i])))
-        found = pd.DataFrame(out, columns=["template_id", "template", "variables"], index=rows.index)
-        found["template_id"] = found["template_id"].astype("Int64")
-        return pd.concat([rows[[*keys, id_col, *keep]], found], axis=1)
+            out.append((i, " ".join(miner.clusters[i]), miner.variables(message, miner.clusters[i]), miner.made > made))
+        found = pd.DataFrame(out, columns=[name, "template", "variables", "_new"], index=rows.index)
+        found[name] = found[name].astype("Int64")
+        return pd.concat([rows[shown], found if marks else found.drop(columns="_new")], axis=1)
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
-    df = df.withColumn("_learns", F.expr(learns))
-    return by_key(df, keys, order, lambda: Miner(**params), step, f"{kinds}, template_id long, template string, variables array<string>", before, lambda data: Miner(**params).restored(data), Miner.saved if finish else None)
+    return step

@@ -68,7 +68,7 @@ def ranked(df: DataFrame, keys: list[str], at: str, block: str | None, name: str
     heads = heads.select(*[F.col(k).alias(f"_h_{k}") for k in (*keys, block)], F.coalesce(ahead, F.lit(0)).alias("_ahead"))
     inside = df.withColumn("_inside", F.row_number().over(Window.partitionBy(*keys, block).orderBy(at)))
     both = inside.join(heads, [inside[k].eqNullSafe(heads[f"_h_{k}"]) for k in (*keys, block)], "left")
-    return both.select(*[inside[c] for c in df.columns], (F.col("_ahead") + F.col("_inside")).cast("int").alias(name))
+    return both.select(*[inside[c] for c in df.columns], (F.col("_ahead") + F.col("_inside")).alias(name))
 
 
 def value_ids(df: DataFrame, value_col: str, keys: list[str], order: list[str], known: DataFrame | None = None, block: Column | None = None) -> DataFrame:
@@ -82,7 +82,7 @@ def value_ids(df: DataFrame, value_col: str, keys: list[str], order: list[str],
     by = "_block" if block is not None else None
     first = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(*at)
     if known is None:
-        return ranked(first, keys, "_first", by, "id").select(*keys, value_col, "id")
+        return ranked(first, keys, "_first", by, "id").select(*keys, value_col, F.col("id").cast("int").alias("id"))
     same = lambda left, names: [left[k].eqNullSafe(F.col(f"_k_{k}")) for k in names]
     old = known.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, value_col)], F.col("id").alias("_id"))
     last = known.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("id").alias("_last"))

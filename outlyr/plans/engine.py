@@ -245,8 +245,12 @@ class Engine:
             elif encoder == "Drain3Encoder":
                 given = {own: p[k] for k, own in (("similarity", "similarity"), ("most", "most"), ("depth", "depth"), ("sim_th", "similarity"), ("max_clusters", "most")) if k in p}
                 slots, n = p.get("max_vars", 20), p.get("n_hash_features", 2000)
-                found = drain.templates(df.select("key", *ORDER, c), ["key"], ORDER, c, "seq", learns="phase = 0", keep=["phase"], before=known.templates(name), finish=known.keeps, **given)
-                found = known.kept_templates(name, found)
+                texts, mined = df.select("key", *ORDER, c), {"learns": "phase = 0", "keep": ["phase"], **given}
+                before = known.templates(name)
+                if block is not None and before is None and not known.keeps:
+                    found = drain.templates_by_lead(texts, ["key"], ORDER, c, "seq", block=ordered, **mined)
+                else:
+                    found = known.kept_templates(name, drain.templates(texts, ["key"], ORDER, c, "seq", before=before, finish=known.keeps, **mined))
                 hashed = [encoders.hash_index(name, F.get("variables", F.lit(i)), n, p.get("seed", 0)).alias(f"{out}_v{i}") for i in range(slots)]
                 df = df.join(found.select("key", *ORDER, F.col("template_id").alias(out), F.col("template").alias(f"{out}_t"), F.col("variables").alias(f"{out}_w"), *hashed), ["key", *ORDER], "left")
                 features.append(Feature(name, f"{name}__template", (out,), (0.0, float(given.get("most", 200))), embedded, raw=F.col(f"{out}_t")))

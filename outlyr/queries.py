@@ -650,6 +650,13 @@ def text_templates(spark, sf_dir):
     return drain.templates(lines, ["lang"], ["doc_id", "line_no"], "line", "doc_id", keep=["line_no"])
 
 
+@query()
+def text_templates_by_lead(spark, sf_dir):
+    """Templates of all lines at once, dealt by length and first token, each of which keeps at most 200; numbered by blocks of documents."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return drain.templates_by_lead(lines, [], ["doc_id", "line_no"], "line", "doc_id", keep=["line_no"], block=F.expr("doc_id div 1000"), bound_leads=True)
+
+
 #: Numbers of a vector of the embeddings table, and those that it is projected on.
 WIDE, NARROW = 64, 8
 _DOTS = ", ".join(f"round(list_dot_product(embedding::DOUBLE[], {[float(x) for x in projection.matrix(WIDE, NARROW)[:, k]]}::DOUBLE[]), 6) + 0.0 AS p{k}" for k in range(NARROW))
