@@ -27,8 +27,8 @@ from outlyr.session import scratch
 WILD = "<*>"
 #: What str.split() takes for white space, as a class of Java's patterns.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-#: Blank messages have no template; they are dealt into so many parts.
-BLANK_PARTS = 256
+#: A key's lengths and first tokens are dealt into so many parts; a part's are followed one after another.
+PARTS = 1024
 
 
 @lru_cache
@@ -57,6 +57,13 @@ class Miner:
     clusters: OrderedDict = field(default_factory=OrderedDict)  #: id -> tokens, the one used last at the end
     index: dict = field(default_factory=dict)  #: (count, leading tokens) -> ids
     made: int = 0
+    lead: str | None = None  #: where messages come lead by lead, the present one
+
+    def forget(self, lead: str | None) -> None:
+        """Drops all templates, before the messages of another lead; their numbers are not used again."""
+        self.lead = lead
+        self.clusters.clear()
+        self.index.clear()
 
     def _lead(self, tokens: list[str]) -> tuple:
         layers = max(1, self.depth - 3)
@@ -131,17 +138,18 @@ def templates_by_lead(df: DataFrame, keys: list[str], order: list[str], text: st
     """
     miner = Miner(**params)
     at = dict.fromkeys([*keys, id_col, *keep, *order])
-    parts = F.concat(F.lit("0 "), F.pmod(F.xxhash64(*order), F.lit(BLANK_PARTS)).cast("string"))
-    rows = df.withColumns({"_learns": F.expr(learns), "_lead": F.coalesce(lead(F.col(text), miner.depth), parts)})
+    rows = df.withColumns({"_learns": F.expr(learns), "_lead": lead(F.col(text), miner.depth)})
+    # Blank messages have no template and no lead.
+    rows = rows.withColumn("_part", F.when(F.col("_lead").isNull(), F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int")).otherwise(F.pmod(F.xxhash64("_lead"), F.lit(PARTS)).cast("int")))
     shown = [c for c in at if c not in keys]
-    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, "_lead", *shown)), "_own long, template string, variables array<string>, _new boolean"])
-    step = _step([*keys, "_lead", *shown], text, "_own", True)
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, "_part", *shown)), "_own long, template string, variables array<string>, _new boolean"])
+    step = _step([*keys, "_part", *shown], text, "_own", True)
     path = scratch(df.sparkSession, "templates")
-    by_key(rows, [*keys, "_lead"], order, lambda: Miner(**params), step, schema).write.parquet(path)
+    by_key(rows, [*keys, "_part"], ["_lead", *order], lambda: Miner(**params), step, schema).write.parquet(path)
     found = df.sparkSession.read.parquet(path)
 
     # Full keys are told by a count and not numbered here.
-    new = found.filter("_new").select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_lead", "_own")], F.struct(*order).alias("_at"), (F.lit(0) if block is None else block).alias("_block"))
+    new = found.filter("_new").select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_part", "_own")], F.struct(*order).alias("_at"), (F.lit(0) if block is None else block).alias("_block"))
     key = [f"_k_{k}" for k in keys]
     same = lambda a, b, names: [a[k].eqNullSafe(b[f"_k_{k}"]) for k in names]
     full = new.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > miner.most).drop("_n")
@@ -156,7 +164,7 @@ def templates_by_lead(df: DataFrame, keys: list[str], order: list[str], text: st
         found = found.join(full, same(found, full, keys), "left_anti")
         new = new.join(full.select(*[F.col(k).alias(f"_f{k}") for k in key]), [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in key], "left_anti")
     ids = ranked(new, key, "_at", None if block is None else "_block", "template_id").withColumn("template_id", F.col("template_id").cast("long"))
-    named = found.join(ids, same(found, ids, [*keys, "_lead", "_own"]), "left")
+    named = found.join(ids, same(found, ids, [*keys, "_part", "_own"]), "left")
     named = named.select(*out)
     if not again:
         return named
@@ -165,11 +173,17 @@ def templates_by_lead(df: DataFrame, keys: list[str], order: list[str], text: st
 
 
 def _step(shown: list[str], text: str, name: str = "template_id", marks: bool = False):
-    """A step of sequential.by_key: the columns shown, name, template, variables; with marks, whether the row made the template."""
+    """A step of sequential.by_key: the columns shown, name, template, variables; with marks, whether the row made the template.
+
+    Marked rows are sorted by lead, so what a miner holds of one is dropped when the next begins; numbers go on.
+    """
 
     def step(miner: Miner, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for message, learn in zip(rows[text], rows["_learns"], strict=True):
+        leads = rows["_lead"] if marks else [None] * len(rows)
+        for message, learn, now in zip(rows[text], rows["_learns"], leads, strict=True):
+            if marks and now != miner.lead:
+                miner.forget(now)
             if not isinstance(message, str) or not message.strip():
                 out.append((None, None, None, False))
                 continue
