@@ -15,22 +15,29 @@ import sys
 from functools import lru_cache
 from collections import OrderedDict
 from dataclasses import dataclass, field
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outlyr.operators.encoders import ranked
-from outlyr.operators.sequential import by_key
+from outlyr.operators.sequential import by_key, by_key_in_blocks
 from outlyr.session import scratch
 
 WILD = "<*>"
+DIGIT = re.compile(r"\d").search
 #: What str.split() takes for white space, as a class of Java's patterns.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: A key's lengths and first tokens are dealt into so many parts; a part's are followed one after another.
 PARTS = 1024
 
 
+def lead_of(tokens: list[str], depth: int) -> tuple[int, tuple[str, ...]]:
+    """The number of tokens and the first of them, those with digits as wildcards."""
+    return len(tokens), tuple([WILD if DIGIT(t) else t for t in tokens[: max(1, depth - 3)]])
+
+
 @lru_cache
 def _digits() -> str:
     """The characters that re takes for digits, as a class of Java's patterns, so that both worlds agree."""
@@ -66,35 +73,47 @@ class Miner:
         self.index.clear()
 
     def _lead(self, tokens: list[str]) -> tuple:
-        layers = max(1, self.depth - 3)
-        return len(tokens), tuple(WILD if re.search(r"\d", t) else t for t in tokens[:layers])
+        return lead_of(tokens, self.depth)
+
+    def _best(self, tokens: list[str], lead: tuple) -> int | None:
+        """The id of the template that tokens join."""
+        best, most, fewest, n = None, self.similarity, 0, max(1, len(tokens))
+        for i in self.index.get(lead, ()):
+            template = self.clusters[i]
+            alike = sum(map(eq, template, tokens)) / n
+            if alike >= most:
+                wild = template.count(WILD)
+                if alike > most or best is None or wild > fewest:
+                    best, most, fewest = i, alike, wild
+        return best
 
     def match(self, message: str) -> tuple[int, list[str]] | None:
         """Id and tokens of the template that the message joins, without learning."""
         tokens = message.split()
-        best, most, fewest = None, self.similarity, 0
-        for i in self.index.get(self._lead(tokens), ()):
-            template = self.clusters[i]
-            alike = sum(a == b for a, b in zip(template, tokens, strict=True)) / max(1, len(tokens))
-            wild = template.count(WILD)
-            if alike > most or (alike == most and (best is None or wild > fewest)):
-                best, most, fewest = i, alike, wild
+        best = self._best(tokens, self._lead(tokens))
         return None if best is None else (best, self.clusters[best])
 
     def learn(self, message: str) -> int:
-        tokens = message.split()
-        found = self.match(message)
-        if found is None:
+        return self.learn_tokens(message.split())
+
+    def learn_tokens(self, tokens: list[str]) -> int:
+        lead = self._lead(tokens)
+        i = self._best(tokens, lead)
+        if i is None:
             self.made += 1
             i = self.made
             self.clusters[i] = tokens
-            self.index.setdefault(self._lead(tokens), []).append(i)
+            self.index.setdefault(lead, []).append(i)
             if len(self.clusters) > self.most:
                 old, gone = self.clusters.popitem(last=False)
-                self.index[self._lead(gone)].remove(old)
+                left = self.index[self._lead(gone)]
+                left.remove(old)
+                if not left:
+                    del self.index[self._lead(gone)]
             return i
-        i, template = found
-        self.clusters[i] = [a if a == b else WILD for a, b in zip(template, tokens, strict=True)]
+        template = self.clusters[i]
+        if template != tokens:
+            self.clusters[i] = [a if a == b else WILD for a, b in zip(template, tokens, strict=True)]
         self.clusters.move_to_end(i)
         return i
 
@@ -110,20 +129,28 @@ class Miner:
         return self
 
     def variables(self, message: str, template: list[str]) -> list[str]:
-        return [t for t, own in zip(message.split(), template, strict=True) if own == WILD]
+        return taken(message.split(), template)
+
 
+def taken(tokens: list[str], template: list[str]) -> list[str]:
+    """The tokens at a template's wildcards."""
+    return [t for t, own in zip(tokens, template, strict=True) if own == WILD] if WILD in template else []
 
-def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), before: DataFrame | None = None, finish: bool = False, **params) -> DataFrame:
+
+def templates(df: DataFrame, keys: list[str], order: list[str], text: str, id_col: str, learns: str = "true", keep: list[str] = (), before: DataFrame | None = None, finish: bool = False, in_blocks: bool = False, **params) -> DataFrame:
     """keys, id_col, keep, template_id, template, variables of each row, in order; NULLs for a blank text.
 
     Rows where the condition learns is false are matched with the templates of their moment, or with none. before: keys and
-    state of miners that have learned already; finish: states are handed on (see sequential.by_key).
+    state of miners that have learned already; finish: states are handed on (see sequential.by_key). in_blocks: a key's rows are
+    followed by stretches of the order, whose first column is a number or a time (see sequential.by_key_in_blocks).
     """
-
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, id_col, *keep))
     schema = f"{kinds}, template_id long, template string, variables array<string>"
     step = _step([*keys, id_col, *keep], text)
     df = df.withColumn("_learns", F.expr(learns))
+    if before is None and not finish and in_blocks:
+        size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
+        return by_key_in_blocks(df, keys, order, lambda: Miner(**params), step, schema, lambda data: Miner(**params).restored(data), Miner.saved, size)
     return by_key(df, keys, order, lambda: Miner(**params), step, schema, before, lambda data: Miner(**params).restored(data), Miner.saved if finish else None)
 
 
@@ -192,9 +219,10 @@ def _step(shown: list[str], text: str, name: str = "template_id", marks: bool =
             if found is None and not learn:
                 out.append((None, None, None, False))
                 continue
-            made = miner.made
-            i = miner.learn(message) if learn else found[0]
-            out.append((i, " ".join(miner.clusters[i]), miner.variables(message, miner.clusters[i]), miner.made > made))
+            made, tokens = miner.made, message.split()
+            i = miner.learn_tokens(tokens) if learn else found[0]
+            template = miner.clusters[i]
+            out.append((i, " ".join(template), taken(tokens, template), miner.made > made))
         found = pd.DataFrame(out, columns=[name, "template", "variables", "_new"], index=rows.index)
         found[name] = found[name].astype("Int64")
         return pd.concat([rows[shown], found if marks else found.drop(columns="_new")], axis=1)

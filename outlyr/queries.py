@@ -647,7 +647,7 @@ def no_op_model(spark, sf_dir):
 def text_templates(spark, sf_dir):
     """Templates of each language's lines, in the order of the documents and of the lines in them; a NULL text is a row of NULLs."""
     lines = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    return drain.templates(lines, ["lang"], ["doc_id", "line_no"], "line", "doc_id", keep=["line_no"])
+    return drain.templates(lines, ["lang"], ["doc_id", "line_no"], "line", "doc_id", keep=["line_no"], in_blocks=True)
 
 
 @query()

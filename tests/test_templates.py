@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from outlyr.operators import drain
+from outlyr.operators import drain, sequential
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
 
@@ -41,6 +41,21 @@ def test_parts_give_what_one_miner_gives(spark, params, keyed):
     assert len(got) == len(rows) and norm(got) == norm(recount(rows, **params))
 
 
+@pytest.mark.parametrize("params, keyed", [({}, True), ({"most": 12}, True), ({"most": 30}, False)])
+def test_stretches_of_the_order_give_what_one_task_gives(spark, monkeypatch, params, keyed):
+    """No task meets all rows of a key: templates, their numbers and what is dropped go on from one stretch to the next."""
+    rows = messages() if keyed else [(at, "x", text, learns) for at, _, text, learns in messages()]
+    df = spark.createDataFrame(rows, "at long, k string, v string, learns boolean")
+    followed, by_key = [], sequential.by_key
+    monkeypatch.setattr(sequential, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(sequential, "by_key", lambda part, *more: followed.append(part.count()) or by_key(part, *more))
+    got = drain.templates(df if keyed else df.drop("k"), ["k"] if keyed else [], ["at"], "v", "at", learns="learns", in_blocks=True, **params)
+    assert len(followed) > 4 and max(followed) < len(rows) / 3 and sum(followed) == len(rows)
+    got = [(r.k if keyed else "x", r.at, r.template_id, r.template, r.variables and tuple(r.variables)) for r in got.collect()]
+    norm = lambda found: {(*r[:4], r[4] or None) for r in found}
+    assert len(got) == len(rows) and norm(got) == norm(recount(rows, **params))
+
+
 def test_bounds_of_leads_and_numbers_by_blocks(spark):
     """Each length and first token has a miner of its own; templates are numbered over the whole key by first appearance."""
     rows = messages()
