@@ -11,8 +11,6 @@ templates by their first messages afterwards, and leaves to templates() the keys
 
 import json
 import re
-import sys
-from functools import lru_cache
 from collections import OrderedDict
 from dataclasses import dataclass, field
 from operator import eq
@@ -27,8 +25,6 @@ from outlyr.session import scratch
 
 WILD = "<*>"
 DIGIT = re.compile(r"\d").search
-#: What str.split() takes for white space, as a class of Java's patterns.
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: A key's lengths and first tokens are dealt into so many parts; a part's are followed one after another.
 PARTS = 1024
 
@@ -38,20 +34,18 @@ def lead_of(tokens: list[str], depth: int) -> tuple[int, tuple[str, ...]]:
     return len(tokens), tuple([WILD if DIGIT(t) else t for t in tokens[: max(1, depth - 3)]])
 
 
-@lru_cache
-def _digits() -> str:
-    """The characters that re takes for digits, as a class of Java's patterns, so that both worlds agree."""
-    points = [i for i in range(sys.maxunicode + 1) if chr(i).isdecimal()]
-    starts = [i for i in points if not chr(i - 1).isdecimal()]
-    ends = [i for i in points if not chr(i + 1).isdecimal()]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+def lead(text: Column, depth: int) -> Column:
+    """lead_of a text as one text; NULL for a blank one. Spark's patterns take many times as long for the spaces of all scripts."""
 
+    @F.pandas_udf("string")
+    def look(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            n, first = lead_of(t.split(), depth) if isinstance(t, str) else (0, ())
+            out.append(" ".join([str(n), *first]) if n else None)
+        return pd.Series(out, dtype=object)
 
-def lead(text: Column, depth: int) -> Column:
-    """The number of tokens and the first of them, those with digits as wildcards; NULL for a blank text."""
-    tokens = F.filter(F.split(text, SPACE), lambda t: t != "")
-    first = F.transform(F.slice(tokens, 1, max(1, depth - 3)), lambda t: F.when(t.rlike(_digits()), WILD).otherwise(t))
-    return F.when(F.size(tokens) > 0, F.concat_ws(" ", F.size(tokens).cast("string"), F.array_join(first, " ")))
+    return look(text)
 
 
 @dataclass

@@ -97,6 +97,12 @@ def test_messages_of_one_key_are_dealt_to_many_tasks(spark):
     assert len(parts) > 20 and max(r["count"] for r in parts) < len(tokens)
 
 
+def test_leads_are_found_in_one_pass(spark):
+    """A text is split once for its lead, by what splits it in the miner, and not by patterns that each scan it."""
+    plan = spark.createDataFrame([(1, "a b")], "at long, v string").select(drain.lead(F.col("v"), 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("look(") >= 1 and "split(" not in plan and "RLIKE" not in plan.upper()
+
+
 def test_no_messages(spark):
     empty = spark.createDataFrame([], "at long, k string, v string")
     assert drain.templates_by_lead(empty, ["k"], ["at"], "v", "at").collect() == []
