@@ -399,6 +399,14 @@ class Engine:
         phase = lambda df, k: df.select(F.lit(k).alias("phase"), "seq", "payload")
         return self._extracted(phase(ingest, 0).unionByName(phase(score, 1)))
 
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Extracted rows with the key of each cohort (key_0, ...) and identifiers instead of the payload, written: each cohort reads
+        them several times, and taking a payload apart costs more than all else that is done with a row."""
+        rows = rows.withColumns({f"key_{i}": self._key(c) for i, c in enumerate(self.config.cohorts)} | {"identifiers": self._identifiers()}).drop("payload")
+        path = scratch(rows.sparkSession, "extracted")
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
     def _error(self, upto: int | None = None) -> Column:
         """The first error of the cohorts, up to one of them."""
         errors = [F.col(f"error_{c.features}") for c in self.config.cohorts[:upto]]
@@ -448,13 +456,14 @@ class Engine:
         model gives none, as before its first window.
         """
         both, names = self._both(ingest, score)
+        both = self._once(both)
         parts = refused = None
         for i, cohort in enumerate(self.config.cohorts):
             if refused is not None:
                 both = both.join(refused, (F.col("seq") == F.col("_seq")) & (F.col("phase") == 0), "left_anti")
             # Learned: what no cohort up to this one refused. Scored: what none refused.
             taken = both.filter(F.when(F.col("phase") == 0, self._error(i + 1).isNull()).otherwise(self._error().isNull()))
-            used = taken.select(*ORDER, self._key(cohort).alias("key"), *names[cohort.features].values())
+            used = taken.select(*ORDER, F.col(f"key_{i}").alias("key"), *names[cohort.features].values())
             one = self._one_of(i, cohort, self._cohort(used, cohort, names[cohort.features], explain))
             parts = one if parts is None else parts.unionByName(one)
             refused = self._refused(used, cohort, names[cohort.features]) if i + 1 < len(self.config.cohorts) else None
@@ -493,7 +502,7 @@ class Engine:
             F.collect_list(row).alias("_rows"), F.min_by("failed", F.when(F.col("failed").isNotNull(), F.col("at"))).alias("_failed"),
             (F.sum(F.when(has, F.col("weight") * F.col("anomaly_score"))) / F.sum(F.when(has, F.col("weight")))).alias("_s"),
         )
-        asked = asked.select("seq", self._error().alias("_refused"), self._identifiers().alias("identifiers"))
+        asked = asked.select("seq", self._error().alias("_refused"), "identifiers")
         out = asked.join(per, "seq", "left").withColumn("error", F.coalesce("_refused", "_failed"))
         good = F.col("error").isNull()
         status = F.when(~good, None).when(F.col("_s").isNull(), "insufficient_data").otherwise(labels.label(F.col("_s")))

@@ -288,9 +288,10 @@ class Service(Engine):
     def score(self, events: DataFrame, explain: bool = False) -> DataFrame:
         """The response to each of events, as run() gives it, from the models that have been learned."""
         rows, names = self._extracted(events.select(F.lit(1).alias("phase"), "seq", "payload"))
+        rows = self._once(rows)
         parts = None
         for i, cohort in enumerate(self.config.cohorts):
-            asked = rows.filter(self._error().isNull()).select(*ORDER, self._key(cohort).alias("key"), *names[cohort.features].values())
+            asked = rows.filter(self._error().isNull()).select(*ORDER, F.col(f"key_{i}").alias("key"), *names[cohort.features].values())
             one = self._one_of(i, cohort, self._scored_by(cohort, asked, names[cohort.features], explain))
             parts = one if parts is None else parts.unionByName(one)
         return self._answers(rows, parts)

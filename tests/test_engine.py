@@ -125,3 +125,13 @@ def test_unknown_encoder(spark):
     raw = {"features": {"f": {"latency": {"type": "numeric", "preprocessor": "X"}}}, "cohorts": [hst()]}
     with pytest.raises(ValueError, match="Unknown preprocessor: 'X'"):
         run(spark, raw, ordinary(1), ordinary(1))
+
+
+def test_payloads_are_taken_apart_once(spark):
+    """What follows a run reads extracted values: each reading of a payload costs more than a cohort does."""
+    rows = spark.range(40).select(F.col("id").alias("seq"), F.to_variant_object(F.struct(F.col("id").cast("double").alias("v"), F.lit("a").alias("k"))).alias("payload"))
+    cohorts = [{"name": "all", "features_config": "f"}, {"name": "k", "features_config": "f", "fields": ["k"]}]
+    made = config.parse({"features": {"f": {"v": "numeric"}}, "identifiers": ["k"], "cohorts": cohorts})
+    out = Engine(made).run(rows.filter("seq < 30"), rows.filter("seq >= 30"))
+    assert "variant" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.seq, r.accepted, r.identifiers["k"], len(r.scores)) for r in out.collect()} == {(i, True, "a", 2) for i in range(30, 40)}
