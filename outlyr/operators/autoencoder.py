@@ -44,74 +44,102 @@ class Network:
         layers = [(total, wide), (wide, narrow), (narrow, wide), (wide, total)]
         first = [rng.uniform(-1, 1, (a, b)) / np.sqrt(a) for a, b in layers] + [rng.uniform(-1, 1, b) / np.sqrt(a) for a, b in layers]
         first += [rng.standard_normal((v + o.headroom, w)) for v, w in zip(sizes, self.widths, strict=True)]
-        # Numbers of one kind lie in one array, which a step moves at once; p, m, v and g are views of its parts.
-        self.flat = {kind: np.zeros(sum(a.size for a in first)) for kind in "pmvgt"}
+        # Numbers of one kind lie in one array, which a step moves at once; p, m, v and g are views of its parts. Embeddings come
+        # last: a step has gradients for the rows that its batch looks up alone, held in looked.
+        self.flat = {kind: np.zeros(sum(a.size for a in first)) for kind in "pmvgtu"}
         ends = np.cumsum([a.size for a in first])
+        self.dense, self.looked = ends[7], np.zeros((0, len(sizes)), np.int64)
         self.p, self.m, self.v, self.g = ([self.flat[kind][e - a.size : e].reshape(a.shape) for a, e in zip(first, ends, strict=True)] for kind in "pmvg")
         for own, a in zip(self.p, first, strict=True):
             own[...] = a
 
-    def _input(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _numbers(x: np.ndarray) -> np.ndarray:
         present = ~np.isnan(x)
-        flat = np.stack([np.where(present, x, 0.0), present], 2).reshape(len(x), -1)
-        return np.concatenate([*[self.p[8 + k][ids[:, k]] for k in range(len(self.widths))], flat], 1)
+        return np.stack([np.where(present, x, 0.0), present], 2).reshape(len(x), -1)
+
+    def _input(self, ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return np.concatenate([*[self.p[8 + k][ids[:, k]] for k in range(len(self.widths))], numbers], 1)
 
     def _forward(self, x: np.ndarray):
         w, b = self.p[:4], self.p[4:8]
-        h1 = np.maximum(x @ w[0] + b[0], 0)
-        h2 = np.tanh(h1 @ w[1] + b[1])
-        h3 = np.maximum(h2 @ w[2] + b[2], 0)
-        return h1, h2, h3, h3 @ w[3] + b[3]
+        h1 = x @ w[0]
+        h1 += b[0]
+        np.maximum(h1, 0, out=h1)
+        h2 = h1 @ w[1]
+        h2 += b[1]
+        np.tanh(h2, out=h2)
+        h3 = h2 @ w[2]
+        h3 += b[2]
+        np.maximum(h3, 0, out=h3)
+        out = h3 @ w[3]
+        out += b[3]
+        return h1, h2, h3, out
 
     def errors(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Squared error of each input of each row."""
-        z = self._input(ids, x)
+        z = self._input(ids, self._numbers(x))
         return (self._forward(z)[3] - z) ** 2
 
     def train(self, ids: np.ndarray, x: np.ndarray) -> None:
+        # What is left of gradients long gone is too small to be seen, and slow to multiply.
+        m = self.flat["m"]
+        m[np.abs(m) < 1e-290] = 0
+        numbers = self._numbers(x)
         for _ in range(self.o.epochs):
             order = self.rng.permutation(len(x))
             for at in range(0, len(order), self.o.batch):
                 part = order[at : at + self.o.batch]
-                self._learn(ids[part], x[part])
+                self._learn(ids[part], x[part], numbers[part])
 
-    def _learn(self, ids: np.ndarray, x: np.ndarray) -> None:
-        w = self.p[:4]
-        z = self._input(ids, x)
+    def _learn(self, ids: np.ndarray, x: np.ndarray, numbers: np.ndarray | None = None) -> None:
+        w, g = self.p[:4], self.g
+        z = self._input(ids, self._numbers(x) if numbers is None else numbers)
         h1, h2, h3, out = self._forward(z)
         d = 2 * (out - z) / z.size
-        d3 = (d @ w[3].T) * (h3 > 0)
-        d2 = (d3 @ w[2].T) * (1 - h2**2)
-        d1 = (d2 @ w[1].T) * (h1 > 0)
-        back = d1 @ w[0].T - d
-        g = self.g
-        for own, made in zip(g, (z.T @ d1, h1.T @ d2, h2.T @ d3, h3.T @ d, d1.sum(0), d2.sum(0), d3.sum(0), d.sum(0)), strict=False):
-            own[...] = made
+        d3 = d @ w[3].T
+        d3 *= h3 > 0
+        d2 = d3 @ w[2].T
+        d2 *= 1 - h2**2
+        d1 = d2 @ w[1].T
+        d1 *= h1 > 0
+        back = d1 @ w[0].T
+        back -= d
+        for k, (a, b) in enumerate(((z, d1), (h1, d2), (h2, d3), (h3, d))):
+            np.matmul(a.T, b, out=g[k])
+            np.add.reduce(b, 0, out=g[4 + k])
         at = 0
         for k, width in enumerate(self.widths):
-            g[8 + k][...] = 0
+            g[8 + k][self.looked[:, k]] = 0
             np.add.at(g[8 + k], ids[:, k], back[:, at : at + width])
             at += width
+        self.looked = ids
         self._move()
 
     def _move(self) -> None:
-        """A step of Adam along the gradient, in place."""
+        """A step of Adam along the gradient, in place; a gradient of 0 adds nothing to the moments, and is left out."""
         self.step += 1
-        p, m, v, g, t = self.flat.values()
+        p, m, v, g, t, u = self.flat.values()
         m *= 0.9
-        np.multiply(g, 0.1, out=t)
-        m += t
         v *= 0.999
-        np.multiply(g, 0.001, out=t)
-        t *= g
-        v += t
-        np.divide(v, 1 - 0.999**self.step, out=t)
-        np.sqrt(t, out=t)
+        g, part = g[: self.dense], t[: self.dense]
+        np.multiply(g, 0.1, out=part)
+        m[: self.dense] += part
+        np.multiply(g, 0.001, out=part)
+        part *= g
+        v[: self.dense] += part
+        for k in range(len(self.widths)):
+            # A row that is looked up twice is written twice, with one value.
+            rows, own = self.looked[:, k], self.g[8 + k][self.looked[:, k]]
+            self.m[8 + k][rows] += own * 0.1
+            self.v[8 + k][rows] += own * 0.001 * own
+        # In the long run both divisors are 1.
+        first, second = 1 - 0.9**self.step, 1 - 0.999**self.step
+        np.sqrt(v if second == 1 else np.divide(v, second, out=t), out=t)
         t += 1e-8
-        np.divide(m, 1 - 0.9**self.step, out=g)
-        g *= self.o.rate
-        g /= t
-        p -= g
+        np.multiply(m if first == 1 else np.divide(m, first, out=u), self.o.rate, out=u)
+        u /= t
+        p -= u
 
 
 class State:

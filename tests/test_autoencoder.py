@@ -98,3 +98,38 @@ def test_learned_and_scored_rows_in_turn(spark):
         else:
             want[at] = (made.score([row])[0][0], len(made.rows), (made.seen - 40) % 10 if made.seen >= 40 else None)
     assert got == want
+
+
+def test_steps_touch_the_moments_of_looked_up_rows_as_a_dense_step_would():
+    """Bit for bit, over enough steps that the divisors of the moments are 1, with rows that are looked up often, once and never."""
+    o = Options(headroom=2, epochs=1, batch=12)
+    net, (ids, x) = Network([30, 5], 2, o), batch()
+    p, m, v = (net.flat[k].copy() for k in "pmv")
+    rng = np.random.default_rng(9)
+    for t in range(1, 401):
+        now = ids + [[20 if t == 7 else 0, 0]]
+        at = rng.permutation(len(x))[:8]
+        net._learn(now[at], x[at])
+        g = net.flat["g"]
+        m *= 0.9
+        m += g * 0.1
+        v *= 0.999
+        v += g * 0.001 * g
+        p -= m / (1 - 0.9**t) * o.rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert (net.flat["p"] == p).all() and (net.flat["m"] == m).all() and (net.flat["v"] == v).all()
+
+
+def test_marks_of_keys_take_no_step_for_each_row(spark, monkeypatch):
+    """Keys are told apart column by column: a call for each row took more of a task than its network."""
+    import pandas as pd
+
+    from outlyr.operators import sequential
+
+    seen, by_key = {}, sequential.by_key
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else f"k{i % 2}", i % 2) for i in range(60)], "at long, a string, b long")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: seen.update(run=run))
+    by_key(df, ["a", "b"], ["at"], list, lambda state, rows: rows[["a", "b"]].assign(n=range(len(state), len(state) + len(state.extend(rows["at"]) or rows))), "a string, b long, n long")
+    monkeypatch.setattr(pd.DataFrame, "apply", lambda *_, **__: pytest.fail("a call for each row"))
+    rows = df.toPandas().sort_values(["a", "b", "at"], na_position="first")
+    got = pd.concat(seen["run"](iter([rows.iloc[:25], rows.iloc[25:]])))
+    assert got["n"].tolist() == rows.groupby(["a", "b"], dropna=False).cumcount().tolist()
