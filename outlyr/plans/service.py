@@ -96,7 +96,9 @@ class Service(Engine):
         version = self.store.version() + 1
         self.store.discard(version)
         rows, names = self._extracted(events.select(F.lit(0).alias("phase"), "seq", "payload"))
-        rows = rows.withColumns({f"key_{i}": self._key(c) for i, c in enumerate(self.config.cohorts)} | {"json": F.to_json("payload")}).drop("payload")
+        # Only a cohort that warms up keeps events as they came.
+        json = F.to_json("payload") if any(c.warmup for c in self.config.cohorts) else F.lit(None).cast("string")
+        rows = rows.withColumns({f"key_{i}": self._key(c) for i, c in enumerate(self.config.cohorts)} | {"json": json}).drop("payload")
         rows = self.kept(rows, "extracted")
         states: dict[str, list[DataFrame]] = {}
         for i, cohort in enumerate(self.config.cohorts):

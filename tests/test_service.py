@@ -210,3 +210,12 @@ def test_runs_and_results(spark, tmp_path):
     assert [f.rsplit("/", 2)[1:] for f in folders] == [["2026-01-02", "001"], ["2026-01-02", "002"]]
     sinks.dump(scored, folders[0], frame(spark, events(3)))
     assert spark.read.json(f"{folders[0]}/input").count() == 3 and spark.read.json(f"{folders[0]}/output").count() == 2
+
+
+@pytest.mark.parametrize("warmup", [0, 10])
+def test_events_are_kept_as_they_came_where_a_cohort_warms_up(spark, tmp_path, monkeypatch, warmup):
+    kept, seen = Service.kept, {}
+    monkeypatch.setattr(Service, "kept", lambda self, df, name: seen.setdefault(name, df) and kept(self, df, name))
+    cohort = {"name": "all", "features_config": "f", "warmup_count": warmup}
+    Service(spark, config.parse({"features": {"f": {"latency": "numeric"}}, "cohorts": [cohort]}), str(tmp_path)).learn(frame(spark, [{"latency": i} for i in range(20)]))
+    assert [r.json is not None for r in seen["extracted"].collect()] == [warmup > 0] * 20
