@@ -23,6 +23,7 @@ smallest id. Only the two named columns are read.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,17 +159,18 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, pe
     leads = entries.groupBy("bucket").agg(F.min("f").alias("lead"), F.max("f").alias("last")).filter("lead < last").select(F.col("bucket").alias("key"), "lead")
     met = written(entries.join(leads, F.col("bucket") == hidden_number("key")).select("bucket", "f", "lead"), "met")
     in_bucket = met.select("f").distinct()
-    sets = sets_of(texts, items, items.join(in_bucket, "f", "left_semi").select("fp"), size)
+    sets = sets_of(texts, items.join(in_bucket, "f", "left_semi"), size)
     labels, tried = None, []
 
     def paired(pairs: DataFrame) -> DataFrame:
-        """Pairs (f, other) as sets a < b that sizes allow and that have not been tried."""
-        one, two = (items.select(F.col("f").alias(k), F.col("fp").alias(f"{k}_fp"), F.col("n").alias(f"{k}_n")) for k in ("f", "other"))
-        both = pairs.join(one, "f").join(two, "other").filter(sizes_allow(F.col("f_n"), F.col("other_n"), percent))
-        both = both.select(F.least("f_fp", "other_fp").alias("a"), F.greatest("f_fp", "other_fp").alias("b")).distinct()
-        for done in tried:
-            both = both.join(done, ["a", "b"], "left_anti")
-        return both
+        """Pairs of sets (fp, n and other_fp, other_n) as a < b, if sizes allow a link and they have not been tried."""
+        both = pairs.filter(sizes_allow(F.col("n"), F.col("other_n"), percent))
+        both = both.select(F.least("fp", "other_fp").alias("a"), F.greatest("fp", "other_fp").alias("b"))
+        return both.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti") if tried else both
+
+    def ends(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Pairs of numbers (f, other) with what is known of both."""
+        return pairs.join(of, "f").join(of.select(*(F.col(c).alias("other" if c == "f" else f"other_{c}") for c in of.columns)), "other")
 
     def joined(pairs: DataFrame, more: DataFrame | None = None) -> None:
         """Confirms pairs and adds their links, and more of them, to the components."""
@@ -177,9 +179,9 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, pe
         before = [] if labels is None else [labels]
         tried.append(pairs)
         links = verified(pairs, sets, percent)
-        links = written((links if more is None else links.unionByName(more)).distinct(), "links")
+        links = written(links if more is None else links.unionByName(more), "links")
         if labels is None or not links.isEmpty():
-            known = [x.filter("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")) for x in before]
+            known = [x.select(F.col("fp").alias("a"), F.col("label").alias("b")) for x in before]
             labels = components(links.unionByName(*known) if known else links)
             discard(*before)
         discard(links)
@@ -188,15 +190,19 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, pe
         """f, fp, n and a number for the component of each set that is in a bucket."""
         return items.join(labels, "fp", "left").select("f", "fp", "n", F.xxhash64(F.coalesce("label", "fp")).alias("c"))
 
-    joined(paired(met.groupBy("f").agg(F.min("lead").alias("other")).filter("f <> other")))
-    other = labelled().select(F.col("f").alias("other"), F.col("c").alias("d"))
-    joined(paired(met.filter("f <> lead").select("f", F.col("lead").alias("other")).distinct().join(labelled(), "f").join(other, "other").filter("c <> d").select("f", "other")))
+    # A lead is less than the sets that it leads, so two sets meet in one order only.
+    joined(paired(ends(met.groupBy("f").agg(F.min("lead").alias("other")).filter("f <> other"), items.select("f", "fp", "n"))))
+    marked = written(labelled(), "marked")
+    led = met.filter("f <> lead").select("f", F.col("lead").alias("other")).distinct()
+    joined(paired(ends(led, marked).filter("c <> other_c")))
+    discard(marked)
     open_ = met.select("bucket", "f").distinct().join(labelled(), "f")
     several = open_.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low < high").select(F.col("bucket").alias("key"), "m")
-    open_ = written(open_.join(several, F.col("bucket") == hidden_number("key")).drop("key"), "open")
+    open_ = written(open_.join(several, F.col("bucket") == hidden_number("key")).select("bucket", "fp", "n", "c", "m"), "open")
     x, y = (open_.filter(F.col("m") <= PAIRED).alias(t) for t in "xy")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & sizes_allow(F.col("x.n"), F.col("y.n"), percent))
-    joined(paired(across.select(F.col("x.f").alias("f"), F.col("y.f").alias("other")).distinct()), blocked(open_.drop("m"), sets, percent))
+    across = across.select("x.fp", "x.n", F.col("y.fp").alias("other_fp"), F.col("y.n").alias("other_n")).distinct()
+    joined(paired(across), blocked(open_.drop("m"), sets, percent))
     discard(open_, met, sets, *tried)
     found = named(items, labels)
     discard(items, labels)

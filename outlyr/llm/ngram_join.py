@@ -40,6 +40,8 @@ COUNT_BITS, BUCKETS_A_TASK = 40, 4
 FILTER_BITS_A_TEXT, FILTER_MOST = 16, 1 << 28
 #: Bytes of text whose sets a task makes at once, and shingles that it gathers before it counts them.
 SLICE, HELD = 1 << 18, 1 << 20
+#: Links for each task that makes stars of them, and nodes that a task holds at most at once, as tasks are not quite even.
+LINKS_A_TASK, FOREST = 1 << 15, 1 << 18
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -205,27 +207,58 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(same * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent).select("a", "b")
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: u, and the smallest node v that it reaches by them."""
+    up: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        top = x
+        while top in up:
+            top = up[top]
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        us = list(up)
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array([root(u) for u in us], pa.binary())], ["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            low, high = sorted((root(u), root(v)))
+            if low != high:
+                up[high] = low
+        if len(up) > FOREST:
+            yield stars()
+            up.clear()
+    yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """fp, label of each end of links, written: the smallest fp that it reaches, by alternating large and small stars.
+    """fp, label of each end of links (a table that was written), written: the smallest fp that it reaches.
 
-    A star's centre is found by an aggregate and joined back, so no list of neighbours is gathered.
+    Tasks grow in number with the links, and each makes stars of its own; if one takes all links, its stars are the components.
+    Otherwise stars meet in rounds. A node has at most one neighbour for each task that met it; all of them go to the
+    smallest, and who points to a node that points on is handed on. When no node has several neighbours and none is handed
+    on, the stars are the components. Nodes that many point to are keys of a join alone, whose rows adaptive execution can
+    split, so no list of a star's nodes is gathered.
     """
-    edges, before = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if before == state or not state[0]:
-            out = edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
-            out.outlyr_path = edges.outlyr_path
-            return out
-        before = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        centre = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(centre, F.col("u") == hidden("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        centre = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(centre, F.col("u") == hidden("c"))
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        spent, edges = edges, written(small, "edges")
-        discard(spent)
+    tasks = -(-links.count() // LINKS_A_TASK) or 1
+    edges, more, spent = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), True, []
+    while more:
+        stars = edges.select("u", "v").coalesce(tasks).mapInArrow(_forests, "u binary, v binary")
+        if tasks == 1:
+            edges = written(stars, "edges")
+            break
+        near = written(stars.groupBy("u").agg(F.collect_set("v").alias("near")).select("u", "near", F.array_min("near").alias("m")), "near")
+        rows = near.select(F.explode(F.array_append(F.filter("near", lambda v: v != F.col("m")), F.col("u"))).alias("u"), "m", (F.size("near") > 1).alias("several"))
+        rows = rows.join(near.select(F.col("u").alias("c"), F.col("m").alias("on")), F.col("m") == hidden("c"), "left")
+        edges = written(rows.select("u", F.coalesce("on", "m").alias("v"), (F.col("several") | F.col("on").isNotNull()).alias("more")), "edges")
+        discard(near, *spent)
+        more, spent = edges.agg(F.max("more")).first()[0], [edges]
+    out = edges.select(F.col("u").alias("fp"), F.col("v").alias("label"))
+    out.outlyr_path = edges.outlyr_path
+    return out
 
 
 def similar(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -290,7 +323,7 @@ def named(items: DataFrame, labels: DataFrame) -> DataFrame:
 def _marked(ids: DataFrame, bits: int) -> np.ndarray:
     """A filter of so many bits: for each hash h of the rows, the bits at two parts of it are set."""
     at = F.explode(F.array(F.pmod("h", F.lit(bits)), F.pmod(F.shiftrightunsigned("h", 32), F.lit(bits)))).alias("at")
-    rows = ids.select(at).select((F.col("at") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    rows = ids.select(at).select((F.col("at") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -304,13 +337,13 @@ def _passes(h: pa.Array, marks: np.ndarray, bits: int) -> np.ndarray:
     return np.logical_and(*((marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) for at in places))
 
 
-def sets_of(texts: DataFrame, items: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """fp, set of the given fps (one column), written.
+def sets_of(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """fp, set of the texts of the rows of items that are wanted, written.
 
     Texts are scanned once; a filter over the wanted ids spares the others, and joins drop what passes it by chance. Rows
     that repeat give a set twice.
     """
-    ids = items.join(ends, "fp", "left_semi").select(F.xxhash64("id").alias("h"))
+    ids = written(wanted.select(F.xxhash64("id").alias("h")), "ids")
     rows = texts.select(F.xxhash64("id").alias("h"), "text")
     n = ids.count()
     bits = max(1 << 20, 1 << (n * FILTER_BITS_A_TEXT - 1).bit_length())
@@ -326,6 +359,7 @@ def sets_of(texts: DataFrame, items: DataFrame, ends: DataFrame, size: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "set"])
 
     sets = written(rows.mapInArrow(whole, "fp binary, set array<long>"), "sets")
+    discard(ids)
     if shared is not None:
         shared.destroy()
     return sets
@@ -334,7 +368,7 @@ def sets_of(texts: DataFrame, items: DataFrame, ends: DataFrame, size: int) -> D
 def _links(texts: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs that hold, written: tested on the whole sets of the texts that are in a pair."""
     ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    sets = sets_of(texts, items, ends, size)
+    sets = sets_of(texts, items.join(ends, "fp", "left_semi"), size)
     links = written(verified(pairs, sets, percent).distinct(), "links")
     discard(sets)
     return links

@@ -109,3 +109,59 @@ def test_which_rows_stay(spark, rows, want):
     if want == [(rows[0][0], None)] and len(got) == 1:
         got = [(got[0][0], None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def labels_of(links):
+    up = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        if low != high:
+            up[high] = low
+    return {x: root(x) for x in up}
+
+
+@pytest.mark.parametrize(("a_task", "held"), [(1 << 15, 1 << 18), (40, 1 << 18), (15, 7)])
+def test_components_of_any_links(spark, monkeypatch, a_task, held):
+    """Paths, stars, pairs and random links, in one task, in several, and in tasks that hold a few nodes at once."""
+    monkeypatch.setattr(ngram_join, "LINKS_A_TASK", a_task)
+    monkeypatch.setattr(ngram_join, "FOREST", held)
+    rng = random.Random(5)
+    name = [rng.randbytes(16) for _ in range(700)]
+    links = [(i, i + 1) for i in range(150)] + [(200, i) for i in range(201, 300)] + [(i, i + 1) for i in range(300, 400, 2)]
+    links += [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(140)]
+    links = [(name[a], name[b]) for a, b in links if a != b]
+    rng.shuffle(links)
+    links += links[:20]
+    found = ngram_join.components(ngram_join.written(spark.createDataFrame(links, "a binary, b binary").repartition(9), "links"))
+    got = [(bytes(r.fp), bytes(r.label)) for r in found.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == labels_of(links)
+    assert ngram_join.components(ngram_join.written(spark.createDataFrame([], "a binary, b binary"), "links")).count() == 0
+
+
+def tasks_of(spark, made):
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    counts = []
+    for _ in range(2):
+        bus.waitUntilEmpty(30_000)
+        counts.append(sum(store.executorList(True).apply(i).totalTasks() for i in range(store.executorList(True).size())))
+        made = made() if len(counts) == 1 else made
+    return counts[1] - counts[0]
+
+
+def test_few_links_cost_few_tasks(spark):
+    """However many partitions shuffles have: a job for each of them, round after round, took most of the time."""
+    links = ngram_join.written(spark.range(1, 300).selectExpr("unhex(lpad(hex(id), 32, '0')) a", "unhex(lpad(hex(id - 1), 32, '0')) b"), "links")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert tasks_of(spark, lambda: ngram_join.components(links)) < 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
