@@ -98,6 +98,15 @@ def test_ipv6_golden_value(spark):
     assert row["ip.is_private"] == 1.0 and abs(row["ip.subnet_hash"] - 0.719720471119443) < 1e-12
 
 
+def test_ipv6_groups_have_four_digits_at_most(spark):
+    """What is no address has no network: extract_ipv6 makes such texts of user ids above 65,535."""
+    import hashlib
+
+    (good, none), (bad, error) = run(spark, {"ip": Field("ip_address")}, '{"ip": "2001:db8:ffff::1"}', '{"ip": "2001:db8:10000::1"}')
+    assert none is None and good["ip.subnet_hash"] == int(hashlib.sha256(b"2001:db8:ffff::/48").hexdigest()[:8], 16) / 0xFFFFFFFF
+    assert error == "ip: cannot parse '2001:db8:10000::1' as IP address" and bad["ip.subnet_hash"] is None and bad["ip.is_private"] is None
+
+
 def nested(depth):
     """A payload of texts in texts, and the fields that read a number, a version and an alias of each level."""
     import json
